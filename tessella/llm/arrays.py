@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one kernel call expands at a time; bounds worker memory.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 BYTE_KEYS = _rng.integers(1, 2**64, 256, dtype=U64)
@@ -135,6 +135,14 @@ def hash_grams(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def hash_grams_at(word_hashes: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """hash_grams() at the given places only."""
+    out = word_hashes[places] * GRAM_KEYS[0]
+    for j in range(1, k):
+        out += word_hashes[places + j] * GRAM_KEYS[j]
+    return mix(out)
+
+
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values; len - w + 1 entries."""
     n = len(values)
