@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, language, mixing, ngram_join, pii
+from tessella.llm import decontaminate, html_extract, importance, language, mixing, ngram_join, outliers, pii, suffix_dedup, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str | None] = {}
@@ -67,16 +67,43 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return importance.resample(table(spark, sf_dir, "documents"), good)
+
+
 @query(OP5_SQL)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), language.crc_mod(5) != 0)
+    return found.select("doc_id", (language.crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.report(outliers.verdicts(table(spark, sf_dir, "documents")))
+
+
 @query()
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.mark(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@query()
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query()
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(table(spark, sf_dir, "documents"), language.crc_mod(4) != 2)

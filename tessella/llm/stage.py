@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,12 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs, which the driver else keeps until it happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of a few thousand rows: a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
