@@ -38,18 +38,16 @@ from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
 from tessella.llm.components import components
-from tessella.llm.stage import bounded_batches, save
+from tessella.llm.sharing import BATCH, KEY, KEY_DTYPE, MAX_OWNERS, SLICE_TYPE, cut, fragment_of, sharing_owners
+from tessella.llm.stage import bounded_batches, save, sweep
 
 N = 5
 #: Links: DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-#: N-grams of one batch and, about, of one fragment: bounds a worker's memory.
-BATCH, FRAGMENT = 1_000_000, 2_000_000
-MAX_OWNERS = 65_000
+#: N-grams of one fragment, about: bounds a worker's memory.
+FRAGMENT = 2_000_000
 #: Vertical fragments of the exact count, and of the counts that bound it.
 PARTS, BOUNDS = 4, 32
-MANY = 0xFFFF
-KEY = "n int, hi long, lo long"
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,131 +91,36 @@ def keys(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1])], names=["doc_id", "n", "hi", "lo"])
 
 
-def fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
-    return ((h >> A.U64(32)) * A.U64(fragments) >> A.U64(32)).astype(np.int64)
-
-
-KEY_DTYPE = np.dtype([("n", "<i4"), ("hi", "<i8"), ("lo", "<i8")])
-SLICE = pa.schema([("grp", pa.int32()), ("grams", pa.binary()), ("owners", pa.binary()), ("keys", pa.binary())])
-SHARED = pa.schema([("n", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("salt", pa.int32()), ("grams", pa.binary())])
-
-
-def cut(flats: list, sizes: list, fragments: int) -> pa.RecordBatch:
-    """Slices of one batch by fragment.
-
-    Group g < fragments: each n-gram of that fragment once, with its class or
-    MANY. Group g >= fragments: all classes of n-grams that several have here.
-    """
-    flat, size = np.concatenate(flats), np.concatenate(sizes)
-    key = set_keys(flat, size)
-    table = np.empty(len(size), KEY_DTYPE)
-    table["n"], table["hi"], table["lo"] = size, key[:, 0], key[:, 1]
-    table, index = np.unique(table, return_index=True)
-    keep = table["n"] > 0
-    table, index = table[keep], index[keep]
-    grams = flat[A.ranges((np.cumsum(size) - size)[index], size[index])]
-    owner = np.repeat(np.arange(len(index)), size[index]).astype(np.uint16)
-    order = np.argsort(grams, kind="stable")
-    grams, owner = grams[order], owner[order]
-    first = np.ones(len(grams), bool)
-    first[1:] = grams[1:] != grams[:-1]
-    begin = np.flatnonzero(first)
-    many = np.diff(np.r_[begin, len(grams)]) > 1
-    one = np.where(many, MANY, owner[begin]).astype(np.uint16)
-    each = grams[begin]
-    bounds = np.searchsorted(fragment_of(each, fragments), np.arange(fragments + 1))
-    rows = []
-
-    def put(group: int, g: np.ndarray, o: np.ndarray) -> None:
-        used = np.unique(o[o != MANY])
-        local = np.searchsorted(used, o).astype(np.uint16)
-        local[o == MANY] = MANY
-        rows.append((group, g.tobytes(), local.tobytes(), table[used].tobytes()))
-
-    for f in range(fragments):
-        a, b = bounds[f], bounds[f + 1]
-        if b > a:
-            put(f, each[a:b], one[a:b])
-    common = np.repeat(many, np.diff(np.r_[begin, len(grams)]))
-    if common.any():
-        put(fragments + int(table["hi"][0]) % fragments, grams[common], owner[common])
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SLICE.types, strict=True)], schema=SLICE) if rows else pa.RecordBatch.from_pylist([], SLICE)
+def slices(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iterator[pa.RecordBatch]:
+    """The n-grams of each different set of a batch, cut by fragment."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    grams = owners = 0
 
+    def flush() -> pa.RecordBatch:
+        flat, size = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        key = set_keys(flat, size)
+        table = np.empty(len(size), KEY_DTYPE)
+        table["n"], table["hi"], table["lo"] = size, key[:, 0], key[:, 1]
+        table, index = np.unique(table, return_index=True)
+        own = flat[A.ranges((np.cumsum(size) - size)[index], size[index])]
+        return cut(own, np.repeat(np.arange(len(index)), size[index]), table, fragments)
 
-def slices(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iterator[pa.RecordBatch]:
-    flats, sizes, held, owners = [], [], 0, 0
-    for part, data, off in A.chunks(batches):
+    for _, data, off in A.chunks(batches):
         flat, size = shingle_sets(data, off, n)
-        if flats and (held + len(flat) > BATCH or owners + len(size) > MAX_OWNERS):
-            yield cut(flats, sizes, fragments)
-            flats, sizes, held, owners = [], [], 0, 0
-        flats.append(flat)
-        sizes.append(size)
-        held, owners = held + len(flat), owners + len(size)
-    if flats:
-        yield cut(flats, sizes, fragments)
-
-
-def shared_grams(group: pa.Table, fragments: int, salts: int) -> pa.Table:
-    """The n-grams of a group that several classes hold, by class."""
-    if not group.num_rows:
-        return SHARED.empty_table()
-    number = group["grp"][0].as_py()
-    grams, owners, tables, base = [], [], [], 0
-    for g, o, k in zip(group["grams"], group["owners"], group["keys"], strict=True):
-        local = np.frombuffer(o.as_buffer(), np.uint16).astype(np.int32)
-        grams.append(np.frombuffer(g.as_buffer(), A.U64))
-        owners.append(np.where(local == MANY, -1, local + base))
-        tables.append(np.frombuffer(k.as_buffer(), KEY_DTYPE))
-        base += len(tables[-1])
-    grams, owners, table = np.concatenate(grams), np.concatenate(owners), np.concatenate(tables)
-    ident = A.mix(table["hi"].view(A.U64) ^ A.mix(table["lo"].view(A.U64) + table["n"].astype(A.U64)))
-    if number < fragments:
-        order = np.argsort(grams, kind="stable")
-        grams, owners = grams[order], owners[order]
-        begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        who = np.where(owners < 0, A.U64(0), ident[owners])
-        several = (np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)) | (np.minimum.reduceat(owners, begin) < 0)
-        keep = np.repeat(several, np.diff(np.r_[begin, len(grams)])) & (owners >= 0)
-        grams, owners = grams[keep], owners[keep]
-    if not len(grams):
-        return SHARED.empty_table()
-    who = ident[owners]
-    order = np.lexsort((grams, who))
-    grams, owners, who = grams[order], owners[order], who[order]
-    new = np.r_[True, (grams[1:] != grams[:-1]) | (who[1:] != who[:-1])]
-    grams, owners, who = grams[new], owners[new], who[new]
-    begin = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-    mine = table[owners[begin]]
-    salt = np.full(len(begin), number % salts, np.int32)
-    return pa.Table.from_arrays([pa.array(mine["n"]), pa.array(mine["hi"]), pa.array(mine["lo"]), pa.array(salt), A.binary_rows(grams, np.diff(np.r_[begin, len(grams)]))], schema=SHARED)
-
-
-def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace each row's list of n-gram blobs by their union."""
-    at = None
-    for batch in batches:
-        at = batch.schema.get_field_index("grams")
-        lists = batch.column(at)
-        blobs, off = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
-        data, edge = A.utf8_views(blobs)
-        merged = [np.unique(data[edge[a] : edge[b]].view(A.U64)) for a, b in zip(off[:-1], off[1:], strict=True)]
-        column = A.binary_rows(np.concatenate(merged) if merged else np.empty(0, A.U64), [len(m) for m in merged])
-        yield batch.set_column(at, "grams", column)
+        if held and (grams + len(flat) > BATCH or owners + len(size) > MAX_OWNERS):
+            yield flush()
+            held, grams, owners = [], 0, 0
+        held.append((flat, size))
+        grams, owners = grams + len(flat), owners + len(size)
+    if held:
+        yield flush()
 
 
 def candidates(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Classes that share at least num/den of their n-grams with all others: n, hi, lo, grams."""
-    total = classes.agg(F.sum("n").alias("t")).first()["t"] or 0
-    fragments = max(2, math.ceil(total / FRAGMENT))
-    salts = max(1, math.isqrt(fragments))
-    parts = docs.mapInArrow(lambda it: slices(it, n, fragments), "grp int, grams binary, owners binary, keys binary")
-    shared = parts.groupBy("grp").applyInArrow(lambda t: shared_grams(t, fragments, salts), f"{KEY}, salt int, grams binary")
-    once = shared.groupBy("n", "hi", "lo", "salt").agg(F.collect_list("grams").alias("grams")).mapInArrow(united, f"{KEY}, salt int, grams binary")
-    whole = once.groupBy("n", "hi", "lo").agg(F.sum(F.length("grams")).alias("most"), F.collect_list("grams").alias("grams"))
-    # the lists of different salts can repeat n-grams, so their total is a bound from above
-    whole = whole.where(F.col("most") / 8 * den >= F.col("n") * num).drop("most").mapInArrow(united, f"{KEY}, grams binary")
-    return whole.where(F.length("grams") / 8 * den >= F.col("n") * num)
+    size = classes.agg(F.sum("n").alias("t"), F.count("*").alias("c")).first()
+    fragments = max(2, math.ceil((size["t"] or 0) / FRAGMENT))
+    return sharing_owners(docs.mapInArrow(lambda it: slices(it, n, fragments), SLICE_TYPE), size["c"], fragments, num, den)
 
 
 def flat_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -355,6 +258,7 @@ def ngram_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     classes = own.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("least"))
     classes = save(classes.withColumn("cid", F.xxhash64("n", "hi", "lo")), "set_classes")
     found = save(candidates(texts, classes, n, num, den).join(classes, ["n", "hi", "lo"]).select("cid", "n", "grams"), "sharing_sets")
+    sweep(docs.sparkSession)
     near = links_between(with_prefixes(found, num, den), num, den)
     joined = classes.join(near, F.col("cid") == near["node"]).select("n", "hi", "lo", "component", "least")
     least = joined.groupBy("component").agg(F.min("least").alias("to"))

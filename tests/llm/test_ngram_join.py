@@ -4,6 +4,7 @@ import re
 import pytest
 
 from tessella.llm import ngram_join as J
+from tessella.llm import sharing
 
 
 def brute(rows, n=5):
@@ -51,9 +52,13 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,batch", [(1, 150), (2, 1_000_000)])
-def test_groups_equal_brute_force(spark, monkeypatch, seed, batch):
+@pytest.mark.parametrize("seed,batch,fragment", [(1, 150, 500), (2, 1_000_000, 2_000_000)])
+def test_groups_equal_brute_force(spark, monkeypatch, seed, batch, fragment):
     monkeypatch.setattr(J, "BATCH", batch)
+    monkeypatch.setattr(J, "FRAGMENT", fragment)
+    if batch < 1000:
+        monkeypatch.setattr(sharing, "BUCKET", 20)
+        monkeypatch.setattr(sharing.math, "isqrt", lambda n: 3)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(map(tuple, J.ngram_groups(docs).collect())) == brute(rows)
