@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; without that setting, one beside the warehouse (tests)."""
@@ -40,5 +42,6 @@ def sweep(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of a few thousand rows: a batch of long texts stays small."""
+    """Arrow batches of a few thousand rows, so that a batch of long texts stays small, for workers that have this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
