@@ -32,7 +32,7 @@ BUCKETS = 10_000
 #: Target rows that the target model is fitted on, at most (those of least hash).
 FIT_DOCS = 100_000
 LENGTH = 30.0
-SHARE = 0.75
+SHARE = 0.85
 
 
 def doc_grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

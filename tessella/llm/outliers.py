@@ -34,13 +34,13 @@ WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 #: Share of a group that a concentration step keeps; steps; least group.
 KEEP, STEPS, MIN_GROUP = 0.75, 4, 100
 #: Statistics, with the resolution that floors their standard deviation.
-STATS = {"word_length": 0.06, "symbols": 0.04, "capitals": 0.05, "marks": 0.04, "dup_lines": 0.08, "repeats": 0.10}
+STATS = {"word_length": 0.06, "symbols": 0.04, "capitals": 0.05, "marks": 0.04, "dup_lines": 0.15, "repeats": 0.20}
 D = len(STATS)
 #: Fixed values for 6 degrees of freedom: the chi-square quantile at 0.75, the
 #: factor that makes the scatter of the nearest 75 % consistent (0.75 over the
 #: chi-square distribution of 8 degrees at that quantile), and the quantile at
 #: 1 - 1e-5 that rejects.
-NEAR, CONSISTENT, FAR = 7.840804, 1.361, 33.11
+NEAR, CONSISTENT, FAR = 7.8408, 1.3616, 33.107
 
 
 def base_statistics(text: str = "text") -> list[Column]:
