@@ -5,19 +5,576 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessella.functions import params, text, vectors
+from tessella.operators import archive, calibration, fields, metrics, ownership, pairs, quality, series, simulation, spawn
+from tessella.plans import adapters as V
+from tessella.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "archive_best"
+
 
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to a number of places: sums may differ in the last bits with their order."""
+    return df.select(*[(F.round(F.col(f.name), places) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
 
-def query(name: str, sql: str | None = None):
-    """Register a builder under ``name``, with its DuckDB equivalent when there is one."""
+
+def query(sql: str | None = None):
+    """Register a builder under its name, with its DuckDB equivalent when there is one."""
 
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[fn.__name__] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
         if sql:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[fn.__name__] = sql
         return fn
 
     return add
+
+
+def celled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.nearest(V.rollouts(spark, sf_dir), V.centroids(spark))
+
+
+def with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.insertion_status(celled(spark, sf_dir), "run_id")
+
+
+# --- filter and rank, calibration, archive ----------------------------------------------------
+
+REASON = """CASE WHEN NOT (final_mass + final_signal BETWEEN 50.0 AND 200.0 AND final_mass >= 5.0) THEN 'dead' WHEN bbox_mean >= 0.6 THEN 'exploded' WHEN final_mass <= 0 THEN 'no_descriptors' WHEN n_steps < 100 OR drift > 0.2 THEN 'unstable' END"""
+RATED = (
+    V.JUDGED
+    + f""", rated AS (SELECT *, {REASON} AS reason FROM judged), scored AS (
+  SELECT arrival, run_id, reason, CASE WHEN reason IS NULL OR reason = 'unstable' THEN d0 END AS d0, CASE WHEN reason IS NULL THEN
+    CASE WHEN has_signal THEN 0.5 * least(greatest(compactness, 0.0), 1.0) + 0.3 * least(greatest(1.0 - drift / 0.2, 0.0), 1.0) + 0.2 * least(greatest(final_mass / 100.0, 0.0), 1.0)
+    ELSE 0.6 * least(greatest(compactness, 0.0), 1.0) + 0.4 * least(greatest(1.0 - drift / 0.2, 0.0), 1.0) END END AS quality FROM rated)"""
+)
+
+
+@query(f"WITH {RATED} SELECT arrival, reason, round(d0, 6) AS d0, round(quality, 6) AS quality FROM scored")
+def quality_pipeline(spark, sf_dir):
+    return quality.evaluate(V.judged(spark, sf_dir).drop("quality")).select("arrival", "reason", "d0", "quality")
+
+
+@query(f"WITH {RATED} SELECT run_id, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM scored GROUP BY ALL")
+def reject_breakdown(spark, sf_dir):
+    rows = quality.evaluate(V.judged(spark, sf_dir).drop("quality"))
+    return rows.groupBy("run_id", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+SCALE = V.ROLL + """, long AS (SELECT 0 AS axis, d0 AS v FROM roll UNION ALL SELECT 1, d1 FROM roll UNION ALL SELECT 2, d2 FROM roll), scale AS (
+  SELECT axis, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.95) AS p95 FROM long GROUP BY axis)"""
+
+
+@query(f"WITH {SCALE} SELECT axis, round(p5, 6) AS p5, round(p95, 6) AS p95, round(CASE WHEN p95 > p5 THEN 1 / (p95 - p5) ELSE 1.0 END, 6) AS scale FROM scale")
+def axis_scale(spark, sf_dir):
+    return calibration.axis_scale(V.rollouts(spark, sf_dir))
+
+
+@query(f"WITH {V.CELLED} SELECT arrival, cell FROM celled")
+def nearest_cell(spark, sf_dir):
+    return celled(spark, sf_dir).select("arrival", "cell")
+
+
+@query(f"WITH {V.CELLED} SELECT run_id, cell, arrival, round(quality, 6) AS quality, run_id || '-' || arrival AS creature_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, cell ORDER BY quality DESC, arrival) AS rn FROM celled WHERE quality IS NOT NULL) WHERE rn = 1")
+def archive_best(spark, sf_dir):
+    best = archive.best_per_cell(celled(spark, sf_dir), "run_id")
+    return archive.with_creature_id(best).select("run_id", "cell", "arrival", "quality", "creature_id")
+
+
+@query(f"WITH {V.STATUS} SELECT run_id, arrival, cell, status FROM status")
+def insertion_status(spark, sf_dir):
+    return with_status(spark, sf_dir).select("run_id", "arrival", "cell", "status")
+
+
+@query()
+def archive_gated(spark, sf_dir):
+    return archive.gated(V.rollouts(spark, sf_dir), V.centroids(spark), epsilon=8.0)
+
+
+@query(f"WITH {V.CELLED} SELECT run_id, count(DISTINCT cell) AS occupied, round(count(DISTINCT cell) / {V.CELLS}.0, 6) AS fill FROM celled WHERE quality IS NOT NULL GROUP BY run_id")
+def archive_fill(spark, sf_dir):
+    return archive.fill(archive.best_per_cell(celled(spark, sf_dir), "run_id"), V.CELLS, "run_id")
+
+
+@query(f"WITH {V.CELLED} SELECT run_id, cell, count(*) AS n, round(avg(quality), 6) AS mean_quality FROM celled GROUP BY ALL")
+def cell_population(spark, sf_dir):
+    return celled(spark, sf_dir).groupBy("run_id", "cell").agg(F.count("*").alias("n"), F.avg("quality").alias("mean_quality"))
+
+
+@query()
+def random_parent(spark, sf_dir):
+    best = archive.best_per_cell(celled(spark, sf_dir))
+    return archive.random_parents(spark.range(1000).withColumnRenamed("id", "child"), best, 7)
+
+
+@query(f"WITH RECURSIVE {V.ROLL}, up AS (SELECT arrival AS node, arrival AS root, 0 AS depth FROM roll WHERE parent IS NULL UNION ALL SELECT roll.arrival, up.root, up.depth + 1 FROM roll JOIN up ON roll.parent = up.node) SELECT node, root, CAST(depth AS BIGINT) AS depth FROM up")
+def lineage_depth(spark, sf_dir):
+    return archive.lineage(V.rollouts(spark, sf_dir), "arrival", "parent")
+
+
+@query(f"WITH {V.ROLL} SELECT a.arrival AS child, b.arrival AS parent, round(a.quality - b.quality, 6) AS gain FROM roll a JOIN roll b ON a.parent = b.arrival")
+def lineage_gain(spark, sf_dir):
+    rows = V.rollouts(spark, sf_dir)
+    up = rows.select(F.col("arrival").alias("parent"), F.col("quality").alias("before"))
+    return rows.join(up, "parent").select(F.col("arrival").alias("child"), "parent", (F.col("quality") - F.col("before")).alias("gain"))
+
+
+@query(f"""WITH RECURSIVE {V.ROLL}, {V.CENTRES}, pts AS (SELECT arrival, d0, d1, d2 FROM roll WHERE quality IS NOT NULL), r AS (
+  SELECT 0 AS round, idx, c0, c1, c2 FROM centre), a1 AS (SELECT arg_min(idx, struct_pack(g := (d0 - c0) * (d0 - c0) + (d1 - c1) * (d1 - c1) + (d2 - c2) * (d2 - c2), i := idx)) AS cell, any_value(d0) AS d0, any_value(d1) AS d1, any_value(d2) AS d2 FROM pts, r GROUP BY arrival),
+  r1 AS (SELECT idx, coalesce(avg(a1.d0), any_value(c0)) AS c0, coalesce(avg(a1.d1), any_value(c1)) AS c1, coalesce(avg(a1.d2), any_value(c2)) AS c2 FROM r LEFT JOIN a1 ON a1.cell = idx GROUP BY idx),
+  a2 AS (SELECT arg_min(idx, struct_pack(g := (d0 - c0) * (d0 - c0) + (d1 - c1) * (d1 - c1) + (d2 - c2) * (d2 - c2), i := idx)) AS cell, any_value(d0) AS d0, any_value(d1) AS d1, any_value(d2) AS d2 FROM pts, r1 GROUP BY arrival)
+  SELECT idx, round(coalesce(avg(a2.d0), any_value(c0)), 6) AS c0, round(coalesce(avg(a2.d1), any_value(c1)), 6) AS c1, round(coalesce(avg(a2.d2), any_value(c2)), 6) AS c2 FROM r1 LEFT JOIN a2 ON a2.cell = idx GROUP BY idx""")
+def kmeans_lloyd(spark, sf_dir):
+    return calibration.kmeans(calibration.survivors(V.rollouts(spark, sf_dir)), V.centroids(spark), 2)
+
+
+@query()
+def uniform_fallback(spark, sf_dir):
+    return calibration.uniform_centroids(V.rollouts(spark, sf_dir), 64, 3)
+
+
+# --- metrics ------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {V.STATUS} SELECT run_id, count(*) AS n, count_if(status = 'inserted') AS inserted, count_if(status = 'replaced') AS replaced, count_if(status = 'rejected_filter') AS rejected_filter, count_if(status = 'rejected_quality') AS rejected_quality, count_if(status = 'rejected_similarity') AS rejected_similarity,
+  round(count_if(status IN ('inserted', 'replaced')) / count(*), 6) AS insertion_share, round((epoch_us(max(created_at)) - epoch_us(min(created_at))) / 1e6, 6) AS wall_seconds FROM status GROUP BY run_id""")
+def status_totals(spark, sf_dir):
+    return metrics.status_totals(with_status(spark, sf_dir), "run_id")
+
+
+FRAMES = V.STATUS + """, framed AS (SELECT *, row_number() OVER o - 1 AS i, count_if(status IN ('inserted', 'replaced')) OVER f AS hits, count(*) OVER f AS nrows, epoch_us(last_value(created_at) OVER f) - epoch_us(first_value(created_at) OVER f) AS span
+  FROM status WINDOW o AS (PARTITION BY run_id ORDER BY arrival), f AS (PARTITION BY run_id ORDER BY arrival ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING))"""
+
+
+@query(f"WITH {FRAMES} SELECT run_id, i, round(CASE WHEN nrows >= 2 AND span > 0 THEN hits * 60e6 / span ELSE 0.0 END, 6) AS rate FROM framed WHERE i % 12 = 0")
+def rolling_rate(spark, sf_dir):
+    return metrics.rolling_rate(with_status(spark, sf_dir), "run_id")
+
+
+SHARES = ", ".join(f"round(avg(CASE WHEN status = '{s}' THEN 1.0 ELSE 0.0 END) OVER f, 6) AS {s}" for s in archive.STATUSES)
+
+
+@query(f"WITH {V.STATUS} SELECT * FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY arrival) - 1 AS i, {SHARES} FROM status WINDOW f AS (PARTITION BY run_id ORDER BY arrival ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING)) WHERE i % 12 = 0")
+def rolling_share(spark, sf_dir):
+    return metrics.rolling_share(with_status(spark, sf_dir), "run_id")
+
+
+LAST = ", ".join(f"count_if(status = '{s}') OVER f AS {s}" for s in archive.STATUSES)
+
+
+@query(f"WITH {V.STATUS} SELECT run_id, arrival, {LAST} FROM status WINDOW f AS (PARTITION BY run_id ORDER BY arrival ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
+def last10_summary(spark, sf_dir):
+    return metrics.last_summary(with_status(spark, sf_dir), "run_id")
+
+
+@query(f"WITH {V.STATUS}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY arrival) AS i FROM status) SELECT run_id, arrival, round(max(quality) OVER w, 6) AS best, i - max(CASE WHEN status IN ('inserted', 'replaced') THEN i END) OVER w AS gap FROM n WINDOW w AS (PARTITION BY run_id ORDER BY arrival)")
+def best_so_far(spark, sf_dir):
+    return metrics.best_so_far(with_status(spark, sf_dir), "run_id")
+
+
+@query(f"WITH {V.ROLL}, h AS (SELECT run_id, CAST(least(floor(quality * 20), 19) AS INT) AS bin, count(*) AS n, avg(quality) AS mean FROM roll WHERE quality IS NOT NULL GROUP BY ALL) SELECT g.run_id, CAST(b AS INT) AS bin, coalesce(n, 0) AS n, round(mean, 6) AS mean FROM (SELECT DISTINCT run_id FROM roll) g CROSS JOIN range(20) t(b) LEFT JOIN h ON h.run_id = g.run_id AND h.bin = b")
+def quality_histogram(spark, sf_dir):
+    return metrics.quality_histogram(V.rollouts(spark, sf_dir), "run_id")
+
+
+@query(f"WITH {SCALE} SELECT axis, CAST(CASE WHEN p95 > p5 THEN least(greatest(floor((v - p5) / (p95 - p5) * 28), 0), 27) ELSE 0 END AS INT) AS bucket, count(*) AS n FROM long JOIN scale USING (axis) GROUP BY ALL")
+def descriptor_coverage(spark, sf_dir):
+    rows = V.rollouts(spark, sf_dir)
+    return metrics.coverage(rows, calibration.axis_scale(rows))
+
+
+@query(f"WITH {V.ROLL}, c AS (SELECT run_id, corr(d0, d1) AS r01, corr(d0, d2) AS r02, corr(d1, d2) AS r12 FROM roll GROUP BY run_id) SELECT run_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CASE WHEN i = j THEN 1.0 WHEN least(i, j) = 0 AND greatest(i, j) = 1 THEN r01 WHEN least(i, j) = 0 THEN r02 ELSE r12 END, 6) AS r FROM c, range(3) a(i), range(3) b(j)")
+def descriptor_corr(spark, sf_dir):
+    return metrics.correlations(V.rollouts(spark, sf_dir), "run_id")
+
+
+@query("SELECT user_id % 10 AS hostname, user_id % 4 AS gpu_index, round(avg(value), 6) AS utilization FROM events GROUP BY ALL")
+def gpu_utilisation(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events")
+    return metrics.utilisation(e.select((F.col("user_id") % 10).alias("hostname"), (F.col("user_id") % 4).alias("gpu_index"), F.col("value").alias("utilization")))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ROLLUP (event_type)")
+def status_rollup(spark, sf_dir):
+    return V.table(spark, sf_dir, "events").rollup("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+# --- pairs --------------------------------------------------------------------------------------
+
+DOT = "list_sum(list_transform(range(1, 17), lambda i: a.emission[i] * b.receptor[i]))"
+TOD = "list_sum(list_transform(range(1, 17), lambda i: b.emission[i] * a.receptor[i]))"
+PAIRS = V.CREATURE + f""", pairs AS (SELECT *, CASE WHEN ab < -0.1 AND ba < -0.1 THEN 'repulsion' WHEN ab > 0.1 AND ba > 0.1 THEN 'competition' WHEN (ab > 0.1 AND ba < -0.1) OR (ab < -0.1 AND ba > 0.1) THEN 'pursuit' ELSE 'blind' END AS mode, abs(ab) + abs(ba) + 0.3 * distance + 0.5 * avg_quality AS score FROM (
+  SELECT a.id AS id_a, b.id AS id_b, a.run AS run_a, b.run AS run_b, {DOT} AS ab, {TOD} AS ba, sqrt(list_sum(list_transform(range(1, 4), lambda i: (a.d[i] - b.d[i]) * (a.d[i] - b.d[i])))) AS distance, (a.quality + b.quality) / 2 AS avg_quality FROM creature a JOIN creature b ON a.id < b.id))"""
+
+
+@query(f"WITH {PAIRS} SELECT mode, count(*) AS n FROM pairs GROUP BY mode")
+def pair_modes(spark, sf_dir):
+    return pairs.scored_pairs(V.creatures(spark, sf_dir)).groupBy("mode").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PAIRS} SELECT mode, rank, id_a, id_b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY score DESC, id_a, id_b) AS rank FROM pairs) WHERE rank <= 5")
+def pair_topk(spark, sf_dir):
+    return pairs.top_pairs(pairs.scored_pairs(V.creatures(spark, sf_dir)), 5).select("mode", "rank", "id_a", "id_b", "score")
+
+
+@query(f"WITH {PAIRS} SELECT least(run_a, run_b) AS run_lo, greatest(run_a, run_b) AS run_hi, count(*) AS n, round(max(score), 6) AS best FROM pairs WHERE run_a <> run_b GROUP BY ALL")
+def cross_run_pairs(spark, sf_dir):
+    p = pairs.scored_pairs(V.creatures(spark, sf_dir), cross="run")
+    return p.groupBy(F.least("run_a", "run_b").alias("run_lo"), F.greatest("run_a", "run_b").alias("run_hi")).agg(F.count("*").alias("n"), F.max("score").alias("best"))
+
+
+@query()
+def pair_experiments(spark, sf_dir):
+    return pairs.experiment_yaml(pairs.top_pairs(pairs.scored_pairs(V.creatures(spark, sf_dir), min_quality=0.5), 3))
+
+
+SPECIES = V.CREATURE + """, species AS (SELECT run AS species, list_transform(range(1, 17), lambda i: list_avg(list_transform(e, lambda v: v[i]))) AS emission, list_transform(range(1, 17), lambda i: list_avg(list_transform(r, lambda v: v[i]))) AS receptor FROM (SELECT run, list(emission ORDER BY id) AS e, list(receptor ORDER BY id) AS r FROM creature GROUP BY run))"""
+
+
+def species_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.creatures(spark, sf_dir)
+    mean = lambda name: F.array(*[F.avg(F.get(name, F.lit(i))) for i in range(16)]).alias(name)
+    return c.groupBy(F.col("run").alias("species")).agg(mean("emission"), mean("receptor"))
+
+
+@query(f"WITH {SPECIES} SELECT a.species AS a, b.species AS b, round({DOT}, 6) AS product FROM species a, species b")
+def emission_matrix(spark, sf_dir):
+    return pairs.emission_matrix(species_means(spark, sf_dir))
+
+
+@query(f"WITH {V.CREATURE} SELECT id, CAST(list_position(emission, list_max(emission)) - 1 AS INT) AS dominant_channel, round(list_max(emission) / list_sum(emission), 6) AS dominant_fraction FROM creature")
+def dominant_channel(spark, sf_dir):
+    return pairs.dominant(V.creatures(spark, sf_dir), "emission").select("id", "dominant_channel", "dominant_fraction")
+
+
+@query(f"WITH {SPECIES} SELECT a.id, round(list_sum(list_transform(range(1, 17), lambda i: a.receptor[i] * s.emission[i])), 6) AS alignment FROM creature a JOIN species s ON a.run = s.species")
+def receptor_alignment(spark, sf_dir):
+    c, s = V.creatures(spark, sf_dir), species_means(spark, sf_dir).select(F.col("species").alias("run"), F.col("emission").alias("heard"))
+    return c.join(s, "run").select("id", vectors.dot(F.col("receptor"), F.col("heard")).alias("alignment"))
+
+
+@query(f"WITH {V.CREATURE} SELECT id, list_min(receptor) >= -0.3 AND list_max(receptor) <= 0.3 AS in_range FROM creature")
+def in_range_params(spark, sf_dir):
+    return V.creatures(spark, sf_dir).select("id", vectors.within(F.col("receptor"), -0.3, 0.3).alias("in_range"))
+
+
+@query(f"WITH {V.CREATURE} SELECT run, round(quantile_cont(quality, 0.999), 6) AS p999, count(*) AS n FROM creature WHERE quality >= 0.45 GROUP BY run")
+def intensity_percentile(spark, sf_dir):
+    return V.creatures(spark, sf_dir).where("quality >= 0.45").groupBy("run").agg(F.percentile("quality", 0.999).alias("p999"), F.count("*").alias("n"))
+
+
+# --- series descriptors ---------------------------------------------------------------------------
+
+
+def described(*columns: str):
+    def build(spark, sf_dir):
+        return series.descriptors(V.traces(spark, sf_dir)).select("creature", *columns)
+
+    return build
+
+
+CLIPPED = "round(coalesce(least(greatest({}, 0.0), 100.0), 0.0), 6)"
+SERIES = {
+    "velocity": "avg(CASE WHEN rn < 50 THEN speed END)",
+    "oscillation": "var_pop(CASE WHEN rn <= 50 THEN bbox END)",
+    "mass_asymmetry": "abs(avg(CASE WHEN rn < 50 THEN abs(dx) END) - avg(CASE WHEN rn < 50 THEN abs(dy) END)) / nullif(avg(CASE WHEN rn < 50 THEN abs(dx) END) + avg(CASE WHEN rn < 50 THEN abs(dy) END), 0)",
+    "displacement_ratio": "sqrt(pow(max(CASE WHEN rn = 1 THEN com_y END) - max(CASE WHEN rn = least(n, 50) THEN com_y END), 2) + pow(max(CASE WHEN rn = 1 THEN com_x END) - max(CASE WHEN rn = least(n, 50) THEN com_x END), 2)) / nullif(sum(CASE WHEN rn < 50 THEN speed END), 0)",
+    "angular_velocity": "CASE WHEN count_if(rn < 49 AND speed > 1e-4 AND before > 1e-4) >= 2 THEN avg(CASE WHEN rn < 49 AND speed > 1e-4 AND before > 1e-4 THEN abs(turn + pi() - floor((turn + pi()) / (2 * pi())) * (2 * pi()) - pi()) END) END",
+    "morphological_instability": "var_pop(CASE WHEN rn <= 50 THEN gyradius END)",
+    "activity": "avg(CASE WHEN rn < 50 THEN abs(dg) END)",
+    "persistence_score": "CASE WHEN max(n) >= 100 THEN greatest(abs(avg(CASE WHEN rn < 50 THEN speed END) - avg(CASE WHEN rn > 50 AND rn < 100 THEN speed END)), abs(avg(CASE WHEN rn <= 50 THEN gyradius END) - avg(CASE WHEN rn > 50 AND rn <= 100 THEN gyradius END))) END",
+}
+for _name, _sql in SERIES.items():
+    _fn = described(_name)
+    _fn.__name__ = _name
+    query(f"WITH {V.TRACE} SELECT creature, {CLIPPED.format(_sql)} AS {_name} FROM turns GROUP BY creature")(_fn)
+
+
+# --- fields -----------------------------------------------------------------------------------------
+
+MOMENTS = V.FIELD + ", mom AS (SELECT entity, sum(value) AS mass, sum(value * y) / sum(value) AS cy, sum(value * x) / sum(value) AS cx, sum(value * (y * y + x * x)) / sum(value) AS rr FROM field GROUP BY entity)"
+
+
+@query(f"WITH {MOMENTS} SELECT entity, round(mass, 6) AS mass, round(cy, 6) AS com_y, round(cx, 6) AS com_x, round(sqrt(greatest(rr - cy * cy - cx * cx, 0)), 6) AS gyradius FROM mom")
+def step_stats(spark, sf_dir):
+    return fields.moments(V.fields(spark, sf_dir), "entity")
+
+
+@query(f"WITH {V.FIELD}, p AS (SELECT entity, max(value) AS peak, sum(value) AS mass FROM field GROUP BY entity), b AS (SELECT entity, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM field JOIN p USING (entity) WHERE value > 0.75 * peak GROUP BY entity) SELECT entity, round(sum(value) / any_value(mass), 6) AS compactness, round(any_value((y1 - y0 + 1) * (x1 - x0 + 1)) / 256.0, 6) AS bbox_fraction FROM field JOIN p USING (entity) JOIN b USING (entity) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 GROUP BY entity")
+def compactness(spark, sf_dir):
+    return fields.bounding_box(V.fields(spark, sf_dir), V.SIZE, "entity", share=0.75)
+
+
+@query(f"WITH {MOMENTS}, s AS (SELECT entity, least(floor((atan2(y - cy, x - cx) + pi()) / (2 * pi()) * 16), 15) AS sector, sum(value) AS m FROM field JOIN mom USING (entity) GROUP BY ALL), t AS (SELECT entity, sum(m) AS t, sum(m * m) AS q FROM s GROUP BY entity) SELECT entity, round((q / 16 - pow(t / 16, 2)) / (t * t / 16 - pow(t / 16, 2)), 6) AS rotational_symmetry FROM t")
+def rotational_symmetry(spark, sf_dir):
+    return fields.rotational_symmetry(V.fields(spark, sf_dir), "entity")
+
+
+@query(f"WITH {V.FIELD}, g AS (SELECT e.entity, CAST(a AS INT) AS y, CAST(b AS INT) AS x, coalesce(value, 0.0) AS v FROM (SELECT DISTINCT entity FROM field) e CROSS JOIN range({V.SIZE}) t(a) CROSS JOIN range({V.SIZE}) u(b) LEFT JOIN field f ON f.entity = e.entity AND f.y = a AND f.x = b), s AS (SELECT entity, v, CASE WHEN y0 IS NULL THEN y1 - v WHEN y1 IS NULL THEN v - y0 ELSE (y1 - y0) / 2 END AS gy, CASE WHEN x0 IS NULL THEN x1 - v WHEN x1 IS NULL THEN v - x0 ELSE (x1 - x0) / 2 END AS gx FROM (SELECT *, lag(v) OVER wy AS y0, lead(v) OVER wy AS y1, lag(v) OVER wx AS x0, lead(v) OVER wx AS x1 FROM g WINDOW wy AS (PARTITION BY entity, x ORDER BY y), wx AS (PARTITION BY entity, y ORDER BY x))) SELECT entity, round(least(sum(v * sqrt(gy * gy + gx * gx)) / sum(v), 100.0), 6) AS growth_gradient FROM s GROUP BY entity")
+def growth_gradient(spark, sf_dir):
+    return fields.growth_gradient(V.fields(spark, sf_dir), V.SIZE, "entity")
+
+
+@query(f"WITH {V.FIELD}, b AS (SELECT entity, y // 2 AS by, x // 2 AS bx, sum(value) AS m FROM field GROUP BY ALL), t AS (SELECT entity, sum(m) AS t, sum(m * ln(m)) AS s FROM b WHERE m > 0 GROUP BY entity) SELECT entity, round((ln(t) - s / t) / ln(64), 6) AS spatial_entropy FROM t")
+def spatial_entropy(spark, sf_dir):
+    return fields.coarse_entropy(V.fields(spark, sf_dir), V.SIZE, "entity")
+
+
+@query(f"WITH {V.FIELD}, s AS (SELECT entity // 4 AS creature, entity % 4 AS channel, y, x, value FROM field), c AS (SELECT creature, y, x, sum(value) AS v FROM s GROUP BY ALL), p AS (SELECT creature, sum(v) AS t, sum(v * v) AS q FROM c GROUP BY creature), h AS (SELECT creature, channel, sum(value) AS m FROM s GROUP BY ALL), k AS (SELECT creature, max(m) AS top, arg_max(channel, struct_pack(m := m, c := -channel)) AS dominant_channel FROM h GROUP BY creature) SELECT creature, round(q / 256 - pow(t / 256, 2), 4) AS signal_field_variance, round(least(t / 100000.0, 100.0), 6) AS signal_mass_ratio, dominant_channel, round(top / t, 6) AS dominant_channel_fraction FROM p JOIN k USING (creature)")
+def signal_statistics(spark, sf_dir):
+    f = V.fields(spark, sf_dir).select(F.floor(F.col("entity") / 4).alias("creature"), (F.col("entity") % 4).alias("channel"), "y", "x", "value")
+    return fields.signal_statistics(f, 256, 100000.0, "creature").withColumn("signal_field_variance", F.round("signal_field_variance", 4))
+
+
+@query()
+def spectral_entropy(spark, sf_dir):
+    return fields.transforms(V.fields(spark, sf_dir), V.SIZE, "entity").select("entity", "spectral_entropy")
+
+
+@query()
+def png_compressibility(spark, sf_dir):
+    return fields.transforms(V.fields(spark, sf_dir), V.SIZE, "entity").select("entity", "png_compressibility")
+
+
+# --- species on a grid ------------------------------------------------------------------------------
+
+TH = "0.33"
+
+
+@query(f"WITH {V.OWN} SELECT snap, species, round(sum(w), 6) AS territory, round(sum(m * w), 6) AS mass FROM own GROUP BY ALL")
+def species_territory(spark, sf_dir):
+    return ownership.territory(V.ownership(spark, sf_dir), "snap")
+
+
+@query(f"WITH {V.HISTORY}, c AS (SELECT *, abs(mass - lag(mass) OVER (PARTITION BY species ORDER BY step)) AS change FROM hist) SELECT species, arg_min(mass, step) AS initial_mass, arg_max(mass, step) AS final_mass, max(mass) AS peak_mass, min(mass) AS min_mass, round(coalesce(avg(change), 0.0) / arg_min(mass, step), 6) AS turnover FROM c GROUP BY species")
+def mass_turnover(spark, sf_dir):
+    return ownership.mass_summary(V.mass_history(spark, sf_dir), "species")
+
+
+@query(f"WITH {V.HISTORY} SELECT step, CAST(sum(mass) AS DOUBLE) AS mass FROM hist GROUP BY step")
+def mass_history(spark, sf_dir):
+    return V.mass_history(spark, sf_dir).groupBy("step").agg(F.sum("mass").alias("mass"))
+
+
+@query(f"WITH {V.HISTORY}, t AS (SELECT step, sum(CASE WHEN species = 'P' THEN mass ELSE 0 END) AS sig, sum(mass) AS total FROM hist GROUP BY step) SELECT step, round(CASE WHEN total <> 0 THEN sig / total ELSE 0.0 END, 6) AS signal_fraction FROM t")
+def signal_fraction(spark, sf_dir):
+    t = V.mass_history(spark, sf_dir).groupBy("step").agg(F.sum(F.when(F.col("species") == "P", F.col("mass")).otherwise(0.0)).alias("sig"), F.sum("mass").alias("total"))
+    return t.select("step", vectors.safe_ratio(F.col("sig"), F.col("total")).alias("signal_fraction"))
+
+
+@query(f"WITH {V.OWN}, c AS (SELECT snap, species, sum(w * y) / sum(w) AS cy, sum(w * x) / sum(w) AS cx FROM own GROUP BY ALL) SELECT a.snap, a.species AS a, b.species AS b, round(sqrt(pow(a.cy - b.cy, 2) + pow(a.cx - b.cx, 2)), 6) AS distance FROM c a JOIN c b ON a.snap = b.snap AND a.species <> b.species")
+def com_distance(spark, sf_dir):
+    return ownership.com_distance(V.ownership(spark, sf_dir), "snap")
+
+
+AREA = V.OWN + f""", s AS (SELECT DISTINCT snap, species FROM own), i AS (SELECT p.snap, p.species AS a, q.species AS b, (SELECT count(*) FROM own u JOIN own v ON u.snap = v.snap AND u.y = v.y AND u.x = v.x WHERE u.snap = p.snap AND u.species = p.species AND v.species = q.species AND u.w > {TH} AND v.w > {TH}) AS interface_area FROM s p JOIN s q ON p.snap = q.snap AND p.species <> q.species)"""
+
+
+@query(f"WITH {AREA} SELECT snap, a, b, interface_area FROM i")
+def interface_area(spark, sf_dir):
+    return ownership.interface_area(V.ownership(spark, sf_dir), "snap", mask=float(TH))
+
+
+@query(f"WITH {AREA} SELECT a, b, bool_or(interface_area > 0) AS contact FROM i GROUP BY ALL")
+def contact_occurred(spark, sf_dir):
+    return ownership.contact(V.ownership(spark, sf_dir), "snap", mask=float(TH))
+
+
+@query(f"WITH {V.OWN}, b AS (SELECT snap, species, y // 2 AS by, x // 2 AS bx, sum(w) AS m FROM own GROUP BY ALL), t AS (SELECT snap, species, sum(m) AS t, sum(m * ln(m)) AS s FROM b WHERE m > 0 GROUP BY ALL) SELECT snap, species, round((ln(t) - s / t) / ln(64), 6) AS spatial_entropy FROM t")
+def species_entropy(spark, sf_dir):
+    return fields.coarse_entropy(V.ownership(spark, sf_dir).withColumn("value", F.col("w")), V.SIZE, "snap", "species")
+
+
+ENTROPY = V.OWN + ", h AS (SELECT snap, ln(sum(w)) - sum(w * ln(w)) / sum(w) AS h FROM own WHERE w > 0 GROUP BY snap, y, x HAVING sum(w) > 0.1), ent AS (SELECT snap, avg(h) / (SELECT ln(count(DISTINCT species)) FROM own) AS ownership_entropy FROM h GROUP BY snap)"
+
+
+@query(f"WITH {ENTROPY} SELECT snap, round(ownership_entropy, 6) AS ownership_entropy FROM ent")
+def ownership_entropy(spark, sf_dir):
+    return ownership.ownership_entropy(V.ownership(spark, sf_dir), "snap")
+
+
+PATCH = V.OWN + f""", cells AS (SELECT snap, species, y, x, y * {V.SIZE} + x AS id FROM own WHERE w > {TH}), flow AS (SELECT snap, species, y, x, id, id AS label FROM cells UNION SELECT c.snap, c.species, c.y, c.x, c.id, f.label FROM flow f JOIN cells c ON c.snap = f.snap AND c.species = f.species AND abs(c.y - f.y) + abs(c.x - f.x) = 1 WHERE c.id > f.label), comp AS (SELECT snap, species, id, min(label) AS label FROM flow GROUP BY ALL), size AS (SELECT snap, species, label, count(*) AS n FROM comp GROUP BY ALL), patch AS (SELECT o.snap, o.species, count(label) AS patch_count, coalesce(list(n ORDER BY n DESC) FILTER (n IS NOT NULL), []) AS patch_sizes FROM (SELECT DISTINCT snap, species FROM own) o LEFT JOIN size USING (snap, species) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {PATCH} SELECT snap, species, patch_count FROM patch")
+def patch_count(spark, sf_dir):
+    return ownership.patches(V.ownership(spark, sf_dir), V.SIZE, "snap", mask=float(TH)).select("snap", "species", "patch_count")
+
+
+@query(f"WITH RECURSIVE {PATCH} SELECT snap, species, list_aggregate(patch_sizes, 'string_agg', ',') AS sizes FROM patch WHERE patch_count > 0")
+def patch_sizes(spark, sf_dir):
+    p = ownership.patches(V.ownership(spark, sf_dir), V.SIZE, "snap", mask=float(TH)).where("patch_count > 0")
+    return p.select("snap", "species", F.array_join(F.transform("patch_sizes", lambda x: x.cast("string")), ",").alias("sizes"))
+
+
+INTER = "round(avg(CASE WHEN q.w > 0.4 THEN p.g END) - avg(CASE WHEN q.w < 0.2 THEN p.g END), 6) AS coefficient FROM own p JOIN own q ON p.snap = q.snap AND p.y = q.y AND p.x = q.x"
+
+
+@query(f"WITH {V.OWN} SELECT p.species AS a, q.species AS b, {INTER} GROUP BY ALL")
+def interaction_matrix(spark, sf_dir):
+    return ownership.interaction(V.ownership(spark, sf_dir), "snap", present=0.4, absent=0.2)
+
+
+@query(f"WITH {AREA.replace(TH, '0.6')} SELECT p.species AS a, q.species AS b, {INTER} WHERE p.species = q.species OR EXISTS (SELECT 1 FROM i WHERE i.snap = p.snap AND i.a = p.species AND i.b = q.species AND interface_area > 0) GROUP BY ALL")
+def interaction_gated(spark, sf_dir):
+    return ownership.interaction(V.ownership(spark, sf_dir), "snap", present=0.4, absent=0.2, gate=True, mask=0.6)
+
+
+LABELS = ENTROPY.replace("WITH", "") + PATCH[len(V.OWN) :] + f""", terr AS (SELECT snap, species, sum(w) AS t FROM own GROUP BY ALL), lab AS (SELECT t.snap, t.species, CASE WHEN t.t / (SELECT arg_min(z.t, z.snap) FROM terr z WHERE z.species = t.species) < 0.99 THEN 'exclusion' WHEN ownership_entropy >= 0.93 THEN 'merger' WHEN patch_count > 40 THEN 'fragmentation' ELSE 'coexistence' END AS label FROM terr t JOIN ent USING (snap) JOIN patch USING (snap, species))"""
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    own = V.ownership(spark, sf_dir)
+    terr = ownership.territory(own, "snap").withColumn("first", F.first("territory").over(Window.partitionBy("species").orderBy("snap")))
+    rows = terr.join(ownership.ownership_entropy(own, "snap"), "snap").join(ownership.patches(own, V.SIZE, "snap", mask=float(TH)), ["snap", "species"])
+    shifted = ownership.hetero_label(F.col("territory"), F.col("first"), F.col("ownership_entropy"), F.col("patch_count") - 39, excluded=0.99, merged=0.93)
+    return rows.select("snap", "species", shifted.alias("label"))
+
+
+@query(f"WITH RECURSIVE {LABELS} SELECT snap, species, label FROM lab")
+def raw_labels(spark, sf_dir):
+    return raw(spark, sf_dir)
+
+
+SMOOTH = """, runs AS (SELECT *, sum(ch) OVER (PARTITION BY key ORDER BY step) AS run FROM (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY key ORDER BY step) THEN 1 ELSE 0 END AS ch FROM seq)), pos AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY step) AS p FROM runs), sm AS (SELECT key, step, label, last_value(CASE WHEN p >= 3 OR run = 1 THEN label END IGNORE NULLS) OVER (PARTITION BY key ORDER BY step) AS smooth FROM pos)"""
+SEQ = V.ROLL + ", seq AS (SELECT run_id AS key, arrival AS step, CASE WHEN value < 20 THEN 'exclusion' WHEN value < 60 THEN 'merger' ELSE 'coexistence' END AS label FROM roll)" + SMOOTH
+ISLAND = SEQ + ", isl AS (SELECT *, sum(ch) OVER (PARTITION BY key ORDER BY step) AS island FROM (SELECT *, CASE WHEN smooth IS DISTINCT FROM lag(smooth) OVER (PARTITION BY key ORDER BY step) THEN 1 ELSE 0 END AS ch FROM sm)), win AS (SELECT key, any_value(smooth) AS label, min(step) AS from_step, max(step) AS to_step FROM isl GROUP BY key, island)"
+
+
+def label_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return V.rollouts(spark, sf_dir).select(F.col("run_id").alias("key"), F.col("arrival").alias("step"), F.when(v < 20, "exclusion").when(v < 60, "merger").otherwise("coexistence").alias("label"))
+
+
+@query(f"WITH {SEQ} SELECT key, step, label, smooth FROM sm")
+def debounced_labels(spark, sf_dir):
+    return ownership.debounced(label_sequence(spark, sf_dir), 3, "key").select("key", "step", "label", "smooth")
+
+
+@query(f"WITH {ISLAND} SELECT key, label, from_step, to_step FROM win")
+def outcome_windows(spark, sf_dir):
+    return ownership.windows(ownership.debounced(label_sequence(spark, sf_dir), 3, "key"), "key")
+
+
+@query(f"WITH {ISLAND}, last AS (SELECT key, arg_max(label, to_step) AS label FROM win GROUP BY key) SELECT key % 2 AS run, arg_min(label, list_position(['exclusion', 'merger', 'fragmentation', 'coexistence'], label)) AS final_label FROM last GROUP BY ALL")
+def final_label(spark, sf_dir):
+    w = ownership.windows(ownership.debounced(label_sequence(spark, sf_dir), 3, "key"), "key").withColumn("run", F.col("key") % 2)
+    return ownership.final_label(w, "run", species="key")
+
+
+@query(f"WITH RECURSIVE {PATCH}, f AS (SELECT *, first_value(patch_count) OVER w AS n0, first_value(patch_sizes) OVER w AS s0 FROM patch WINDOW w AS (PARTITION BY species ORDER BY snap)) SELECT snap, species, CASE WHEN patch_count = 1 THEN 'full_merger' WHEN patch_count > n0 THEN 'fragmentation' WHEN patch_count < n0 AND patch_sizes[1] > 1.5 * list_sort(s0)[len(s0) // 2 + 1] THEN 'cannibalism' WHEN patch_count < n0 THEN 'partial_clustering' ELSE 'stable_isolation' END AS label FROM f")
+def homo_labels(spark, sf_dir):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("species").orderBy("snap")
+    p = ownership.patches(V.ownership(spark, sf_dir), V.SIZE, "snap", mask=float(TH))
+    p = p.withColumn("n0", F.first("patch_count").over(by)).withColumn("s0", F.first("patch_sizes").over(by))
+    return p.select("snap", "species", ownership.homo_label(F.col("patch_count"), F.col("n0"), F.get("patch_sizes", F.lit(0)), vectors.upper_median(F.col("s0"))).alias("label"))
+
+
+@query(f"WITH {V.HISTORY}, q AS (SELECT DISTINCT species, step + 5 AS step FROM hist) SELECT q.species, q.step, (SELECT arg_max(mass, h.step) FROM hist h WHERE h.species = q.species AND h.step <= q.step) AS mass FROM q")
+def territory_as_of(spark, sf_dir):
+    h = V.mass_history(spark, sf_dir)
+    return ownership.as_of(h.select("species", (F.col("step") + 5).alias("step")).distinct(), h, "mass", "species")
+
+
+# --- event time, text, generators -------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_tumbling(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.tumbling(e).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT s AS start, count(*) AS n, round(max(value), 6) AS most FROM (SELECT value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY ALL")
+def event_sliding(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.sliding(e).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, user_id, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, sum(br) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS br FROM events)) GROUP BY user_id, s")
+def event_session(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.sessions(e).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "stop")})
+
+
+@query("SELECT event_id, user_id || '-' || event_id AS creature_id, regexp_replace(event_type || ' ' || user_id, '[^A-Za-z0-9._-]', '_', 'g') AS name, lpad(CAST(event_id AS VARCHAR), 8, '0') AS frame, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM events")
+def identifiers(spark, sf_dir):
+    e = V.table(spark, sf_dir, "events")
+    return e.select("event_id", text.creature_id(F.col("user_id"), F.col("event_id")).alias("creature_id"), text.safe_name(F.concat_ws(" ", "event_type", F.col("user_id").cast("string"))).alias("name"), F.lpad(F.col("event_id").cast("string"), 8, "0").alias("frame"), text.iso_millis(F.col("ts")).alias("at"))
+
+
+@query("SELECT DISTINCT user_id % 10 AS run_id FROM events UNION ALL SELECT CAST(label AS BIGINT) FROM (SELECT DISTINCT label FROM embeddings)")
+def union_of_runs(spark, sf_dir):
+    a = V.table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("run_id")).distinct()
+    return a.unionByName(V.table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("run_id")).distinct())
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def stale_products(spark, sf_dir):
+    orders, built = V.table(spark, sf_dir, "orders"), V.table(spark, sf_dir, "lineitem").select("l_orderkey")
+    return orders.join(built, orders["o_orderkey"] == built["l_orderkey"], "left_anti").select("o_orderkey")
+
+
+@query()
+def sample_population(spark, sf_dir):
+    return params.population(params.seeds(spark, 0, 256), 10, True).select("seed", "radius", F.size("r").alias("kernels"), params.in_range(True).alias("in_range"))
+
+
+@query()
+def mutate_population(spark, sf_dir):
+    first = params.population(params.seeds(spark, 0, 256), 10)
+    return params.mutate(first).select("seed", "radius", params.in_range().alias("in_range"))
+
+
+@query()
+def spawn_positions(spark, sf_dir):
+    rows = [("a", 96, 96, 12, 6, 0, [5, 4]), ("b", 64, 128, 40, 8, 1, [9])]
+    return spawn.spawn_table(spark.createDataFrame(rows, "name string, grid_h int, grid_w int, min_dist int, patch int, seed long, counts array<int>"))
+
+
+@query()
+def simulate_mass(spark, sf_dir):
+    world = simulation.World(32, 32, 20, 4)
+    return simulation.rollouts(params.population(params.seeds(spark, 0, 16), 4).repartition(8), world)
+
+
+def ecosystem(spark: SparkSession, species: int) -> DataFrame:
+    made = params.population(params.seeds(spark, 0, species), 3).withColumnRenamed("seed", "species")
+    rows = made.withColumns({"name": F.lit("eco"), "n": F.lit(2), "patch": F.lit(6), "min_dist": F.lit(10), "seed": F.lit(0).cast("long"), "snapshot_every": F.lit(5)})
+    return simulation.ecosystems(rows, simulation.World(32, 32, 10, 3))
+
+
+@query()
+def homo_ecosystem(spark, sf_dir):
+    own = ecosystem(spark, 1)
+    return ownership.patches(ownership.homo_mask(own.drop("w"), "name"), 32, "name", "snap", mask=0.0)
+
+
+@query()
+def hetero_ecosystem(spark, sf_dir):
+    return ownership.interaction(ecosystem(spark, 2), "snap", "name")
+
+
+@query()
+def stream_archive(spark, sf_dir):
+    """Accepted candidates of the event stream, folded by a stateful operator."""
+    import uuid
+
+    from tessella.session import ship
+    from tessella.sources.tables import shared_dir
+
+    ship(spark)
+    e = stream.read(spark, sf_dir)
+    k = F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("long")
+    rows = e.select((F.col("user_id") % 10).alias("run_id"), F.pmod(k, F.lit(16)).alias("cell"), F.when(F.col("event_type") != "error", F.col("value") / (F.col("value") + 50.0)).alias("quality"), F.col("event_id").alias("arrival"))
+    name = f"archive_{uuid.uuid4().hex}"
+    return stream.drain(stream.archive(rows), name, f"{shared_dir(spark)}/{name}")
