@@ -8,8 +8,9 @@ threshold, with enough different contexts as evidence, are spans of kind
 ``term`` in documents with that entity, and are generalised like the rest.
 
 Contexts are the words within REACH characters of an entity, so their number
-is linear in the entities; equal contexts (copies) count once. All of it is
-DataFrame expressions. Places of matches come from the lengths of what lies
+is linear in the entities. Evidence is contexts that differ in the words right
+beside the entity, none of which makes up over half of them: a text and its
+near copies are no evidence. All of it is DataFrame expressions. Places of matches come from the lengths of what lies
 between them.
 
 The patterns below accept what their plain forms accept; possessive repeats and
@@ -111,11 +112,14 @@ def disclosing_terms(marked: DataFrame, docs: DataFrame, *, min_contexts: int, d
     before = F.when(lo > 0, F.regexp_replace(before, f"^{WORD}+", "")).otherwise(before)
     after = F.when(F.length(after) == REACH, F.regexp_replace(after, f"{WORD}+$", "")).otherwise(after)
     context = F.lower(F.concat_ws(" ", F.element_at(F.split(before, "\n"), -1), F.element_at(F.split(after, "\n"), 1)))
-    contexts = each.select(entity(F.col("s")).alias("entity"), context.alias("context")).distinct()
+    beside = F.xxhash64(F.regexp_extract(F.lower(before), r"(\S+\s+\S+)\s*$", 1), F.regexp_extract(F.lower(after), r"^\s*(\S+\s+\S+)", 1))
+    contexts = each.select(entity(F.col("s")).alias("entity"), context.alias("context"), beside.alias("beside"))
     size = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
     words = F.array_distinct(F.regexp_extract_all("context", F.lit(f"{WORD}{{{MIN_WORD},}}"), F.lit(0)))
-    seen = contexts.select("entity", F.explode(words).alias("term")).where(~F.col("term").rlike("^[0-9]+$"))
-    pairs = save(seen.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_contexts), "disclosures")
+    seen = contexts.select("entity", "beside", F.explode(words).alias("term")).where(~F.col("term").rlike("^[0-9]+$"))
+    places = seen.groupBy("entity", "term", "beside").agg(F.count("*").alias("n"))
+    evidence = places.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_places"), F.max("n").alias("most"))
+    pairs = save(evidence.where((F.col("n_places") >= min_contexts) & (2 * F.col("most") <= F.col("n_te"))), "disclosures")
     if pairs.isEmpty():
         return None
     of = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"{WORD}{{{MIN_WORD},}}"), F.lit(0)))
