@@ -200,12 +200,12 @@ def first_signal(world: World, seed: int, level: float = 0.01, cut: float = 0.2)
     return np.maximum(field * level / np.maximum(np.abs(field).mean(axis=(1, 2), keepdims=True), 1e-12), 0.0)
 
 
-def measures(mass: np.ndarray) -> tuple[float, float, float, float, float]:
-    """mass, centre (y, x), bounding-box share and gyradius of a field."""
+def measures(mass: np.ndarray) -> tuple[float, float, float, float, float, float]:
+    """mass, centre (y, x), bounding-box share, gyradius and compactness (mass inside the box) of a field."""
     total = float(mass.sum())
     h, w = mass.shape
     if total <= 0 or not np.isfinite(total):
-        return total, float("nan"), float("nan"), 0.0, 0.0
+        return total, float("nan"), float("nan"), 0.0, 0.0, 0.0
     y, x = np.arange(h), np.arange(w)
     rows, cols = mass.sum(axis=1), mass.sum(axis=0)
     cy, cx = float(rows @ y) / total, float(cols @ x) / total
@@ -213,10 +213,11 @@ def measures(mass: np.ndarray) -> tuple[float, float, float, float, float]:
     ys, xs = np.flatnonzero(lit.any(axis=1)), np.flatnonzero(lit.any(axis=0))
     box = (ys[-1] - ys[0] + 1) * (xs[-1] - xs[0] + 1) / (h * w)
     spread = float(rows @ (y - cy) ** 2 + cols @ (x - cx) ** 2) / total
-    return total, cy, cx, float(box), float(np.sqrt(max(spread, 0.0)))
+    inside = float(mass[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1].sum())
+    return total, cy, cx, float(box), float(np.sqrt(max(spread, 0.0))), inside / total
 
 
-TRACE = "seed long, step int, mass double, com_y double, com_x double, bbox double, gyradius double, signal_total double"
+TRACE = "seed long, step int, mass double, com_y double, com_x double, bbox double, gyradius double, compactness double, signal_total double"
 
 
 def rollouts(records: DataFrame, world: World, signal: bool = False) -> DataFrame:
@@ -294,9 +295,10 @@ def search(spark, world: World, *, budget: int, calibration: int, cells: int, ba
 
     def judged(records: DataFrame) -> DataFrame:
         trace = stage(rollouts(records, world), "trace")
-        d = descriptors(trace.withColumnRenamed("seed", "creature"), min(50, world.steps // 2)).withColumnRenamed("creature", "seed")
-        ends = trace.groupBy("seed").agg(F.min_by("mass", "step").alias("initial_mass"), F.max_by("mass", "step").alias("final_mass"), F.avg("bbox").alias("bbox_mean"), F.avg("gyradius").alias("gyradius"))
-        rows = d.join(ends, "seed").select("seed", F.col("velocity").alias("d0"), F.col("gyradius").alias("d1"), F.col("activity").alias("d2"), "initial_mass", "final_mass", F.lit(0.0).alias("final_signal"), "bbox_mean", F.lit(100).alias("n_steps"), F.col("persistence_score").alias("drift"), F.lit(0.5).alias("compactness"), F.lit(False).alias("has_signal"))
+        tail = max(2, min(50, world.steps // 2))
+        d = descriptors(trace.withColumnRenamed("seed", "creature"), tail).withColumnRenamed("creature", "seed")
+        ends = trace.groupBy("seed").agg(F.min_by("mass", "step").alias("initial_mass"), F.max_by("mass", "step").alias("final_mass"), F.avg("bbox").alias("bbox_mean"), F.avg("gyradius").alias("gyradius"), F.max_by("compactness", "step").alias("compactness"))
+        rows = d.join(ends, "seed").select("seed", F.col("velocity").alias("d0"), F.col("gyradius").alias("d1"), F.col("activity").alias("d2"), "initial_mass", "final_mass", F.lit(0.0).alias("final_signal"), "bbox_mean", (F.col("n_steps") * (50.0 / tail)).alias("n_steps"), F.col("persistence_score").alias("drift"), "compactness", F.lit(False).alias("has_signal"))
         return stage(records.join(evaluate(rows), "seed"), "judged")
 
     first = judged(P.population(P.seeds(spark, base_seed, calibration, True), world.kernels))
