@@ -110,3 +110,33 @@ def parse_gpu_csv(lines: DataFrame, column: str = "value") -> DataFrame:
     part = F.split(F.col(column), r"\s*,\s*")
     text = {"name", "pstate"}
     return lines.select(*[(F.nullif(F.get(part, F.lit(i)), F.lit("[N/A]")) if n in text else F.trim(F.get(part, F.lit(i))).try_cast("int" if n == "index" else "double")).alias(n) for i, n in enumerate(names)])
+
+
+def write_document(fields: dict, spark: SparkSession, path: str) -> None:
+    """Write a run's manifest or configuration as one JSON document; what JSON cannot hold is left out."""
+    import json
+
+    def plain(v):
+        try:
+            json.dumps(v)
+            return True
+        except TypeError:
+            return False
+
+    text = json.dumps({k: v for k, v in fields.items() if plain(v)}, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def merge_document(spark: SparkSession, path: str, extra: dict) -> dict:
+    """Add fields to a document; a missing or broken one counts as empty."""
+    import json
+
+    from pyspark.errors import AnalysisException
+
+    try:
+        lines = [r["value"] for r in spark.read.text(path).limit(1000).collect()]
+        now = json.loads("\n".join(lines))
+    except (AnalysisException, ValueError):
+        now = {}
+    write_document(now | extra, spark, path)
+    return now | extra
