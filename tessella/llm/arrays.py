@@ -61,13 +61,13 @@ def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut record batches into slices of about CHUNK_BYTES of text; a long document is a slice of its own."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut record batches into slices of about ``size`` bytes of text; a long document is a slice of its own."""
     for batch in batches:
         data, off = utf8_views(batch.column(batch.schema.get_field_index(text)))
         n, at = batch.num_rows, 0
         while at < n:
-            to = int(np.searchsorted(off, off[at] + CHUNK_BYTES, side="right")) - 1
+            to = int(np.searchsorted(off, off[at] + size, side="right")) - 1
             to = min(max(to, at + 1), n)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to

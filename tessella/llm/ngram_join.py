@@ -45,7 +45,7 @@ N = 5
 #: Links: DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 #: N-grams of one fragment, about: bounds a worker's memory.
-FRAGMENT = 2_000_000
+FRAGMENT = 1_000_000
 #: Vertical fragments of the exact count, and of the counts that bound it.
 PARTS, BOUNDS = 4, 32
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from tessella.llm import arrays as A
 
 #: Hashes of one batch: bounds a worker's memory.
-BATCH = 1_000_000
+BATCH = 600_000
 MAX_OWNERS = 65_000
 MANY = 0xFFFF
 KEY = "n int, hi long, lo long"

@@ -43,10 +43,12 @@ from tessella.llm.stage import bounded_batches, save
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 #: Window starts of one piece of a long text; anchors of one run and of one merger, about.
-PIECE, RUN, MERGE = 1 << 20, 100_000, 250_000
+PIECE, RUN, MERGE = 1 << 18, 60_000, 80_000
 #: Grams of one fragment of the first exchange, about.
-FRAGMENT = 2_000_000
+FRAGMENT = 1_000_000
 PLACE_BITS = 24
+#: Bytes of text at a time: the kernels hold about a hundred bytes for each.
+CHUNK = 1 << 18
 _POWERS = A.powers(A.BASE, 1)
 _INVERSE = A.powers(A.BASE_INV, 1)
 
@@ -98,7 +100,7 @@ def owners(part: pa.RecordBatch) -> np.ndarray:
 
 def gram_slices(batches: Iterator[pa.RecordBatch], fragments: int) -> Iterator[pa.RecordBatch]:
     sharer = Sharer(fragments)
-    for part, data, off in A.chunks(batches):
+    for part, data, off in A.chunks(batches, size=CHUNK):
         table = owners(part)
         for piece, edges, _ in pieces(data, off):
             doc, _, _, _, h = anchors(piece, edges)
@@ -160,7 +162,7 @@ def common(a: bytes, b: bytes, at: int) -> int:
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     runs = Runs(groups)
-    for part, data, off in A.chunks(batches):
+    for part, data, off in A.chunks(batches, size=CHUNK):
         grams = part.column(part.schema.get_field_index("grams"))
         table = owners(part)
         texts = part.column(part.schema.get_field_index("text"))
