@@ -125,7 +125,8 @@ def estimates(rows: DataFrame, steps: int, keep: float) -> DataFrame:
 
 def verdicts(docs: DataFrame, *, steps: int = STEPS, keep: float = KEEP, far: float = FAR, min_group: int = MIN_GROUP, **cols) -> DataFrame:
     """The statistics of each row with base_failed, d2 and kept."""
-    rows = save(grouped(statistics(docs, **cols), min_group), "statistics")
+    # one pass over the texts: the groups are counted on its rows
+    rows = save(grouped(save(statistics(docs, **cols), "statistics"), min_group), "grouped")
     fit = rows.where(F.col("x0").isNotNull())
     scored = with_distance(rows, estimates(fit, steps, keep))
     good = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= far)
