@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 from tessella.llm import arrays as A
 from tessella.llm.components import components
 from tessella.llm.sharing import BATCH, KEY, KEY_DTYPE, MAX_OWNERS, SLICE_TYPE, cut, fragment_of, sharing_owners
-from tessella.llm.stage import bounded_batches, save, sweep
+from tessella.llm.stage import bounded_batches, release, save, sweep
 
 N = 5
 #: Links: DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 #: N-grams of one fragment, about: bounds a worker's memory.
-FRAGMENT = 1_000_000
+FRAGMENT = 2_000_000
 #: Vertical fragments of the exact count, and of the counts that bound it.
 PARTS, BOUNDS = 4, 32
 
@@ -84,11 +84,16 @@ def set_keys(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def set_ids(size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The 64-bit number that a set goes by once equal sets are classes."""
+    return A.mix(key[:, 0].view(A.U64) ^ A.mix(key[:, 1].view(A.U64) + size.astype(A.U64))).view(np.int64)
+
+
 def keys(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for part, data, off in A.chunks(batches):
         flat, size = shingle_sets(data, off, n)
         key = set_keys(flat, size)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1])], names=["doc_id", "n", "hi", "lo"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(set_ids(size, key))], names=["doc_id", "n", "hi", "lo", "cid"])
 
 
 def slices(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iterator[pa.RecordBatch]:
@@ -99,8 +104,8 @@ def slices(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iterato
     def flush() -> pa.RecordBatch:
         flat, size = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         key = set_keys(flat, size)
-        table = np.empty(len(size), KEY_DTYPE)
-        table["n"], table["hi"], table["lo"] = size, key[:, 0], key[:, 1]
+        table = np.zeros(len(size), KEY_DTYPE)
+        table["n"], table["hi"] = size, set_ids(size, np.ascontiguousarray(key))
         table, index = np.unique(table, return_index=True)
         own = flat[A.ranges((np.cumsum(size) - size)[index], size[index])]
         return cut(own, np.repeat(np.arange(len(index)), size[index]), table, fragments)
@@ -117,10 +122,11 @@ def slices(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iterato
 
 
 def candidates(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Classes that share at least num/den of their n-grams with all others: n, hi, lo, grams."""
+    """Classes that share at least num/den of their n-grams with all others: cid, n, grams."""
     size = classes.agg(F.sum("n").alias("t"), F.count("*").alias("c")).first()
     fragments = max(2, math.ceil((size["t"] or 0) / FRAGMENT))
-    return sharing_owners(docs.mapInArrow(lambda it: slices(it, n, fragments), SLICE_TYPE), size["c"], fragments, num, den)
+    found = sharing_owners(docs.mapInArrow(lambda it: slices(it, n, fragments), SLICE_TYPE), size["c"], fragments, num, den)
+    return found.select(F.col("hi").alias("cid"), "n", "grams")
 
 
 def flat_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +233,7 @@ def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
     first = F.col("cid") < F.col("pc")
     pairs = star.select(F.least("cid", "pc").alias("a"), F.greatest("cid", "pc").alias("b"), F.when(first, F.col("n")).otherwise(F.col("pn")).alias("n1"), F.when(first, F.col("pn")).otherwise(F.col("n")).alias("n2")).distinct()
     near = components(linked(pairs, segments, num, den), "a", "b")
+    sweep(found.sparkSession)
 
     # what is left: pairs of one prefix n-gram in different components
     of = posts.join(near, F.col("cid") == near["node"], "left").select(*posts.columns, F.coalesce("component", "cid").alias("comp"))
@@ -243,7 +250,9 @@ def links_between(found: DataFrame, num: int, den: int) -> DataFrame:
     turned = F.col("cid1") > F.col("cid2")
     late = both.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b"), F.when(turned, F.col("n2")).otherwise(F.col("n1")).alias("n1"), F.when(turned, F.col("n1")).otherwise(F.col("n2")).alias("n2"))
     bridges = linked(late, segments, num, den).select(F.col("a"), F.col("b"))
-    return components(bridges.union(near.select("node", "component").where("node <> component")), "a", "b")
+    final = components(bridges.union(near.select("node", "component").where("node <> component")), "a", "b")
+    release(near, segments, found)
+    return final
 
 
 def ngram_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -254,12 +263,14 @@ def ngram_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = save(texts.mapInArrow(lambda it: keys(it, n), f"doc_id long, {KEY}"), "set_keys")
-    classes = own.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("least"))
-    classes = save(classes.withColumn("cid", F.xxhash64("n", "hi", "lo")), "set_classes")
-    found = save(candidates(texts, classes, n, num, den).join(classes, ["n", "hi", "lo"]).select("cid", "n", "grams"), "sharing_sets")
+    own = save(texts.mapInArrow(lambda it: keys(it, n), f"doc_id long, {KEY}, cid long"), "set_keys")
+    classes = own.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("least"), F.min("cid").alias("cid"))
+    classes = save(classes, "set_classes")
+    found = save(candidates(texts, classes, n, num, den), "sharing_sets")
     sweep(docs.sparkSession)
     near = links_between(with_prefixes(found, num, den), num, den)
+    release(found)
+    sweep(docs.sparkSession)
     joined = classes.join(near, F.col("cid") == near["node"]).select("n", "hi", "lo", "component", "least")
     least = joined.groupBy("component").agg(F.min("least").alias("to"))
     moved = joined.join(least, "component").select("n", "hi", "lo", "to")

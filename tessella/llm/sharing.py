@@ -143,7 +143,7 @@ def shared_grams(group: pa.Table, fragments: int, buckets: int, salts: int) -> p
     grams = np.concatenate([unpacked(x) for x in blobs(group["grams"], np.uint8)])
     owners, tables, base = [], [], 0
     for local, table in zip(blobs(group["owners"], np.uint16), blobs(group["keys"], KEY_DTYPE), strict=True):
-        owners.append(np.where(local == MANY, -1, local.astype(np.int64) + base))
+        owners.append(np.where(local == MANY, -1, local.astype(np.int32) + base).astype(np.int32))
         tables.append(table)
         base += len(table)
     owners, table = np.concatenate(owners), np.concatenate(tables)
