@@ -137,8 +137,8 @@ def bundles(grams: np.ndarray, who: np.ndarray, table: np.ndarray, owners: np.nd
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BUNDLE.types, strict=True)], schema=BUNDLE)
 
 
-def shared_grams(group: pa.Table, fragments: int, buckets: int, salts: int) -> pa.Table:
-    """The hashes of a group that several owners hold, by owner."""
+def shared_grams(group: pa.Table, fragments: int, buckets: int, salts: int, within: bool = False) -> pa.Table:
+    """The hashes of a group that several owners hold, by owner; ``within``: or one owner in several rows."""
     number = group["grp"][0].as_py()
     grams = np.concatenate([unpacked(x) for x in blobs(group["grams"], np.uint8)])
     owners, tables, base = [], [], 0
@@ -154,9 +154,14 @@ def shared_grams(group: pa.Table, fragments: int, buckets: int, salts: int) -> p
         order = np.argsort(grams, kind="stable")
         grams, owners = grams[order], owners[order]
         begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        who = np.where(owners < 0, A.U64(0), ident[owners])
-        several = (np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)) | (np.minimum.reduceat(owners, begin) < 0)
-        keep = np.repeat(several, np.diff(np.r_[begin, len(grams)])) & (owners >= 0)
+        count = np.diff(np.r_[begin, len(grams)])
+        if within:  # an owner that spans batches has a row in each
+            several = count > 1
+        else:
+            who = np.where(owners < 0, A.U64(0), ident[owners])
+            several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
+        several |= np.minimum.reduceat(owners, begin) < 0
+        keep = np.repeat(several, count) & (owners >= 0)
         grams, owners = grams[keep], owners[keep]
     if not len(grams):
         return BUNDLE.empty_table()
@@ -191,15 +196,17 @@ def by_owner(group: pa.Table, num: int, den: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(mine["n"]), pa.array(mine["hi"]), pa.array(mine["lo"]), A.binary_rows(grams[A.ranges(begin, size)], size)], schema=OWNED)
 
 
-def sharing_owners(parts: DataFrame, owners: int, fragments: int, num: int = 0, den: int = 1, salts: int | None = None) -> DataFrame:
-    """(n, hi, lo, grams): the hashes that each owner shares with others, or shares within itself.
+def sharing_owners(parts: DataFrame, owners: int, fragments: int, num: int = 0, den: int = 1, salts: int | None = None, within: bool = False) -> DataFrame:
+    """(n, hi, lo, grams): the hashes that each owner shares with others.
 
     ``parts`` has the slices of cut(); ``owners`` about counts the owners. An
-    owner in very many batches is put together on two levels.
+    owner in very many batches is put together on two levels. A hash that one
+    owner alone has more than once comes out if both are in one batch; with
+    ``within``, always (and owners that come in several rows share all theirs).
     """
     buckets = max(1, -(-owners // BUCKET))
     salts = salts or max(1, math.isqrt(fragments // 64))
-    found = parts.groupBy("grp").applyInArrow(lambda t: shared_grams(t, fragments, buckets, salts), BUNDLE_TYPE)
+    found = parts.groupBy("grp").applyInArrow(lambda t: shared_grams(t, fragments, buckets, salts, within), BUNDLE_TYPE)
     if salts > 1:
         found = found.groupBy("bucket", "salt").applyInArrow(lambda t: rebundled(t, buckets), BUNDLE_TYPE)
     return found.groupBy("bucket").applyInArrow(lambda t: by_owner(t, num, den), OWNED_TYPE)

@@ -4,7 +4,7 @@ Only suffixes at anchors are sorted: of the GRAM-byte strings in each window of
 LENGTH bytes, the one with the least hash (leftmost of equals) anchors it, so
 equal windows are anchored at equal places. Anchors whose gram occurs once in
 the corpus are dropped first; the grams of the rest are found in fragments of
-the hash space.
+the hash space, where a long text has an entry for each batch that it spans.
 
 The suffixes that are left (the text from the anchor to the end of its last
 window, then the text before it read backwards) are sorted in runs by the
@@ -352,7 +352,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("c")).first()
     fragments = max(2, math.ceil((size["n"] or 0) * 2 / (WINDOW + 1) / FRAGMENT))
     parts = texts.mapInArrow(lambda it: gram_slices(it, fragments), SLICE_TYPE)
-    own = save(sharing_owners(parts, size["c"], fragments).select(F.col("hi").alias("doc_id"), F.col("lo").alias("key"), "grams"), "repeated_grams")
+    own = save(sharing_owners(parts, size["c"], fragments, within=True).select(F.col("hi").alias("doc_id"), F.col("lo").alias("key"), "grams"), "repeated_grams")
     count = own.agg(F.sum(F.length("grams")).alias("n")).first()["n"] or 0
     groups = max(2, math.ceil(count / 8 / MERGE))
     runs = texts.join(own, ["doc_id", "key"]).select("doc_id", "key", F.encode("text", "UTF-8").alias("text"), "grams").mapInArrow(lambda it: sorted_runs(it, groups), RUN_TYPE)

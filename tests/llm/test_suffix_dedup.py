@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from tessella.llm import sharing
 from tessella.llm import suffix_dedup as S
 
 
@@ -69,6 +71,42 @@ def test_long_texts_are_cut_into_pieces():
     assert sorted(windows) == list(range(4901))
 
 
+def test_repeats_of_one_long_text_survive_a_flush_between_its_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 123, 400, dtype=np.uint8).tobytes()
+    noise = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+    text = noise(300) + passage + noise(4000) + passage + noise(300)
+    monkeypatch.setattr(S, "PIECE", 700)
+    monkeypatch.setattr(sharing, "BATCH", 50)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "key": [2], "text": [text.decode()]})
+    slices = list(S.gram_slices(iter([batch]), 2))
+    assert len(slices) > 2
+    rows = [r for s in slices for r in s.to_pylist()]
+    found = set()
+
+    class Groups:  # groupBy().applyInArrow() of the rows, in this process
+        def __init__(self, rows):
+            self.rows = rows
+
+        def groupBy(self, *by):
+            self.by = by
+            return self
+
+        def applyInArrow(self, fn, schema):
+            groups = {}
+            for r in self.rows:
+                groups.setdefault(tuple(r[b] for b in self.by), []).append(r)
+            types = sharing.SLICE if "grp" in self.rows[0] else sharing.BUNDLE
+            return Groups([r for g in groups.values() for r in fn(pa.Table.from_pylist(g, types)).to_pylist()])
+
+    for r in sharing.sharing_owners(Groups(rows), 1, 2, within=True).rows:
+        found |= set(np.frombuffer(r["grams"], np.uint64).tolist())
+    whole = np.frombuffer(passage, np.uint8)
+    assert set(S.anchors(whole, np.array([0, len(whole)]))[4].tolist()) <= found
+    docs = spark.createDataFrame([(1, text.decode())], "doc_id long, text string")
+    assert sorted(map(tuple, S.report(docs).collect())) == brute([(1, text.decode())])
+
+
 def test_loser_tree_gives_order_and_shared_prefixes():
     rng = random.Random(1)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(40))) for _ in range(7)]
