@@ -1,17 +1,21 @@
 """Personal data: fixed patterns, and terms that disclose what the patterns protect.
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers. Each
-value found is a protected entity. A word near an entity discloses it by
-PMI(word, entity) / IC(entity): how much of the entity's information content
-the word gives away, estimated over the whole corpus. Words that exceed the
-threshold, with enough different contexts as evidence, are spans of kind
+value found is a protected entity. A word in a document with an entity discloses
+it by PMI(word, entity) / IC(entity): how much of the entity's information
+content the word gives away, by the documents of the corpus that have either or
+both. Words that exceed the threshold, with enough evidence, are spans of kind
 ``term`` in documents with that entity, and are generalised like the rest.
 
-Contexts are the words within REACH characters of an entity, so their number
-is linear in the entities. Evidence is contexts that differ in the words right
-beside the entity, none of which makes up over half of them: a text and its
-near copies are no evidence. All of it is DataFrame expressions. Places of matches come from the lengths of what lies
-between them.
+Evidence is near-duplicate classes of whole documents: a text and its near copies
+are one. Words count wherever they stand in a document, but not inside of
+personal data. Only entities in several classes have their documents' words
+looked at, and only words that are rare enough to reach the threshold; neither
+leaves out a term. Classes are components of links between texts that agree in
+NEAR of their BINS least 3-gram hashes; texts of Jaccard similarity 0.75 meet
+with a probability of 0.997, more similar ones nearly always, and meet the first
+and the last text of their band only. All of it is DataFrame expressions. Places
+of matches come from the lengths of what lies between them.
 
 The patterns below accept what their plain forms accept; possessive repeats and
 the look-behind only keep long runs of one kind from being tried again from
@@ -29,6 +33,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.components import components
 from tessella.llm.stage import save
 
 #: Fixed patterns, in the order in which kinds are listed.
@@ -44,8 +49,10 @@ OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
 KINDS = (*PATTERNS, "term")
 SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
 WORD = r"[\p{L}\p{N}_]"
-#: Characters beside an entity that are its context; evidence and threshold for disclosure.
-REACH, MIN_CONTEXTS, DISCLOSURE, MIN_WORD = 60, 3, 0.75, 3
+#: Evidence and threshold for disclosure, least length of a term.
+MIN_CONTEXTS, DISCLOSURE, MIN_WORD = 3, 0.75, 3
+#: Bins and bands of a text's sketch; share of agreeing bins that makes two texts near copies.
+BINS, BAND, NEAR = 64, 4, 0.7
 
 
 def located(text: Column, pattern: Column, kind: int) -> Column:
@@ -99,36 +106,61 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), F.when(span["kind"] == 0, F.lower(v)).when(span["kind"] == 1, v).otherwise(F.regexp_replace(v, "[^0-9]", "")))
 
 
+def classes(texts: DataFrame) -> DataFrame:
+    """(key, class): near-duplicate classes of different texts, each named by its least key; (key, text) come in."""
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, F.lit(3))))
+    grams = texts.select("key", words.alias("w")).select("key", F.explode(runs).alias("h"))
+    least = grams.groupBy("key", F.pmod("h", F.lit(BINS)).cast("int").alias("bin")).agg(F.min("h").alias("h"))
+    held = least.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bin", "h"))).alias("bins"))
+    sketch = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.try_element_at("bins", i), F.lit(0)))
+    sketches = held.select("key", sketch.alias("sketch"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // BAND - 1)), lambda i: F.struct(i.alias("band"), F.slice("sketch", i * BAND + 1, F.lit(BAND)).alias("part")))
+    posts = sketches.select("key", "sketch", F.explode(bands).alias("b")).where(F.exists("b.part", lambda x: x != 0))
+    posts = posts.select("key", "sketch", F.xxhash64("b").alias("b"))
+    ends = posts.groupBy("b").agg(F.min(F.struct("key", "sketch")).alias("x"), F.max(F.struct("key", "sketch")).alias("y")).where("x.key <> y.key")
+    ends = ends.select("b", F.explode(F.array("x", "y")).alias("to"))
+    agree = F.aggregate(F.zip_with("sketch", "to.sketch", lambda p, q: F.when((p == q) & (p != 0), 1).otherwise(0)), F.lit(0), lambda t, v: t + v)
+    either = F.aggregate(F.zip_with("sketch", "to.sketch", lambda p, q: F.when((p != 0) | (q != 0), 1).otherwise(0)), F.lit(0), lambda t, v: t + v)
+    links = posts.join(ends, "b").where((F.col("key") != F.col("to.key")) & (agree >= NEAR * either)).select(F.col("key").alias("a"), F.col("to.key").alias("b")).distinct()
+    links = save(links, "near_copies")
+    if links.isEmpty():
+        return texts.select("key", F.col("key").alias("class"))
+    found = components(links, "a", "b")
+    return texts.select("key").join(found, F.col("key") == found["node"], "left").select("key", F.coalesce("component", "key").alias("class"))
+
+
 def disclosing_terms(marked: DataFrame, docs: DataFrame, *, min_contexts: int, disclosure: float) -> DataFrame | None:
     """(entity, term) above the disclosure threshold; None if no word has evidence enough.
 
     ``marked`` has text and spans of the documents with entities, ``docs`` all texts.
     """
-    each = marked.select("text", F.explode("spans").alias("s"))
-    lo = F.greatest(F.col("s.start") - REACH, F.lit(0))
-    before = F.substring(F.col("text"), lo + 1, F.col("s.start") - lo)
-    after = F.substring(F.col("text"), F.col("s.stop") + 1, F.lit(REACH))
-    # the words that the reach cuts through are left out
-    before = F.when(lo > 0, F.regexp_replace(before, f"^{WORD}+", "")).otherwise(before)
-    after = F.when(F.length(after) == REACH, F.regexp_replace(after, f"{WORD}+$", "")).otherwise(after)
-    context = F.lower(F.concat_ws(" ", F.element_at(F.split(before, "\n"), -1), F.element_at(F.split(after, "\n"), 1)))
-    beside = F.xxhash64(F.regexp_extract(F.lower(before), r"(\S+\s+\S+)\s*$", 1), F.regexp_extract(F.lower(after), r"^\s*(\S+\s+\S+)", 1))
-    contexts = each.select(entity(F.col("s")).alias("entity"), context.alias("context"), beside.alias("beside"))
-    size = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = F.array_distinct(F.regexp_extract_all("context", F.lit(f"{WORD}{{{MIN_WORD},}}"), F.lit(0)))
-    seen = contexts.select("entity", "beside", F.explode(words).alias("term")).where(~F.col("term").rlike("^[0-9]+$"))
-    places = seen.groupBy("entity", "term", "beside").agg(F.count("*").alias("n"))
-    evidence = places.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_places"), F.max("n").alias("most"))
-    pairs = save(evidence.where((F.col("n_places") >= min_contexts) & (2 * F.col("most") <= F.col("n_te"))), "disclosures")
-    if pairs.isEmpty():
+    keyed = marked.withColumn("key", F.xxhash64("text"))
+    per = keyed.select("key", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity", "key").agg(F.count("*").alias("n"))
+    per = save(per, "entities")
+    often = per.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= min_contexts).select("entity", "n_e")
+    held = save(per.join(often, "entity"), "repeated_entities")
+    if held.isEmpty():
+        return None
+    outside = replaced(F.col("text"), F.col("spans"), F.array(*[F.lit(" ")] * len(KINDS)))
+    own = keyed.join(held.select("key").distinct(), "key", "left_semi")
+    texts = save(own.groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans")).select("key", "text", outside.alias("outside")), "entity_texts")
+    held = save(held.join(classes(texts), "key"), "entity_classes")
+    several = held.groupBy("entity").agg(F.count_distinct("class").alias("c")).where(F.col("c") >= min_contexts)
+    held = save(held.join(several.select("entity"), "entity", "left_semi"), "evident_entities")
+    if held.isEmpty():
         return None
-    of = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"{WORD}{{{MIN_WORD},}}"), F.lit(0)))
-    df = docs.select(F.explode(of).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.count() + 1
-    scored = pairs.join(size, "entity").join(df, "term")
-    pmi = F.log(F.col("n_te") * float(total) / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    content = F.log(float(total) / F.least(F.col("n_e"), F.lit(total - 1)))
-    return scored.where(pmi >= disclosure * content).select("entity", "term")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"{WORD}{{{MIN_WORD},}}"), F.lit(0)))
+    within = texts.join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode(words("outside")).alias("term")).where(~F.col("term").rlike("^[0-9]+$"))
+    df = docs.select(F.explode(words("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= min_contexts)
+    total = float(docs.count() + 1)
+    # n_te <= n_e, so a more frequent word cannot reach the threshold
+    rare = F.log("n_t") <= disclosure * F.log("n_e") + (1 - disclosure) * F.log(F.lit(total)) + 1e-9
+    seen = held.join(within.join(df, "term"), "key").where(rare)
+    each = seen.groupBy("entity", "term", "class").agg(F.sum("n").alias("n"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    evidence = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_classes"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    pmi = F.log(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
+    return evidence.where((F.col("n_classes") >= min_contexts) & (pmi >= disclosure * F.log(F.lit(total) / F.col("n_e")))).select("entity", "term")
 
 
 def mark(docs: DataFrame, *, text_col: str = "text", min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -164,9 +196,9 @@ def report(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return marked.select(F.col(id_col).cast("long").alias("doc_id"), *kinds, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(c).alias("spans"), count(len(PATTERNS)).alias("n_term"))
 
 
-def replaced(text: Column, spans: Column) -> Column:
+def replaced(text: Column, spans: Column, names: Column | None = None) -> Column:
     """``text`` with each union of overlapping spans replaced by the name of its first kind."""
-    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS]) if names is None else names
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

@@ -65,3 +65,21 @@ def test_terms_that_disclose_an_entity_are_generalised(spark):
     assert got[902]["text"] == "zorbo alone" and got[900]["text"] is None and got[500]["text"] == "copy Quux of the text <EMAIL>"
     assert all(got[10 + i]["text"] == rows[6 + i][1] for i in range(200))
     assert pii.report(pii.mark(docs.limit(0))).count() == 0
+
+
+def test_evidence_is_different_documents_whatever_stands_beside_the_entity(spark):
+    rng = random.Random(5)
+    filler = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}y" for i in range(300)]
+    some = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    rows = [(i, f"{some(25)} contact Janine Dorrit at jane@x.com for details {some(25)}") for i in range(12)]
+    rows += [(20 + i, f"{some(30)}\nOrvyl Tamsin\n{some(12)}\nphone: +49 30 1234567\n{some(9)}") for i in range(8)]
+    copy = some(80).split()
+    rows += [(40 + i, " ".join([*copy[: 7 * i], f"edit{i}", *copy[7 * i :], "Mirabo q@near.org"])) for i in range(8)]
+    rows += [(100 + i, some(60)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all("Janine" not in got[i] and "Dorrit" not in got[i] and "<EMAIL>" in got[i] for i in range(12))
+    assert all("Orvyl" not in got[20 + i] and "Tamsin" not in got[20 + i] for i in range(8))
+    assert all(got[40 + i] == rows[20 + i][1].replace("q@near.org", "<EMAIL>") for i in range(8))
+    kept = sum(w in got[i] for i, t in rows[:20] for w in t.split() if w in filler)
+    assert kept == sum(w in filler for i, t in rows[:20] for w in t.split())
