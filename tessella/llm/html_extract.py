@@ -8,10 +8,13 @@ has several tokens is part of its template. Vectors are compared by a hash that
 is combined page by page with XOR, so they aggregate before any shuffle, and a
 host of a third of all pages is never in one place. Equal pages count once.
 
-Classes are nested by the paths of their tokens. What is left between template
-tokens are slots. The text of a page is what its slots hold inside the article:
-the article or main element where there is one, else the element whose slots
-hold most text outside links over the pages of the host, else of the page.
+The template of a host is the flat set of the tokens of its classes; classes are
+not nested and slots are not formed from them: names of elements, classes and
+ids find the text, and the template takes repeated text out of it. The text of
+a page is what is inside the article or main element where there is one, else
+in the innermost element (by its path) that holds nearly all text outside links
+over the pages of the host, else of the page, at any depth below it; there,
+boxes (lists, divisions) of which half or more is links go as a whole.
 Parts that are no main text by their element, role or name (menus, headers,
 footers, sidebars, notices, adverts, forms, comments) go; so do text blocks in
 the article that are template tokens: the same on nearly every page of a host.
@@ -38,11 +41,16 @@ from tessella.llm.stage import bounded_batches, save
 #: A valid class covers that share of a host's different pages, has so many tokens,
 #: and is looked for on hosts of so many pages.
 SUPPORT, CLASS_SIZE, MIN_PAGES = 0.9, 3, 20
+#: Share of the text outside links that the chosen holder has, at least.
+HELD = 0.9
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math textarea select".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+#: Elements that can be the one that holds the text; these and lists and tables are judged as lists of links.
+HOLDERS = frozenset("html body main section div center fieldset details".split())
+BOXES = HOLDERS | frozenset("article ul ol dl table dir".split())
 DROPPED = frozenset("head title nav footer aside form button label dialog menu".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Names of classes and ids that mark parts which are no main text, as whole words of the name.
@@ -84,9 +92,9 @@ class Page:
 
     def __init__(self, source: str):
         self.tags: list[tuple[str, str]] = []
-        #: (path, text, characters in links, dropped, inside an article, paths of the elements around it)
-        self.blocks: list[tuple[str, str, int, bool, bool, tuple[str, ...]]] = []
-        stack: list[tuple[str, str, bool, bool]] = []  # name, path, dropped, article
+        #: (path, text, characters in links, dropped, inside an article, paths of the holders around it, number of its box)
+        self.blocks: list[tuple[str, str, int, bool, bool, tuple[str, ...], int]] = []
+        stack: list[tuple[str, str, bool, bool, int]] = []  # name, path, dropped, article, box
         text: list[str] = []
         linked = 0
         at, n = 0, len(source)
@@ -96,8 +104,8 @@ class Page:
             if text:
                 whole = SPACE.sub(" ", "".join(text)).strip(" ")
                 if whole:
-                    top = stack[-1] if stack else ("", "", False, False)
-                    self.blocks.append((top[1], whole, linked, top[2], top[3], tuple(s[1] for s in stack)))
+                    top = stack[-1] if stack else ("", "", False, False, 0)
+                    self.blocks.append((top[1], whole, linked, top[2], top[3], tuple(s[1] for s in stack if s[0] in HOLDERS), top[4]))
                 text, linked = [], 0
 
         while at < n:
@@ -135,7 +143,7 @@ class Page:
                         break
                     if over in ("article", "main", "section", "div", "body", "ul", "ol", "table", "nav", "footer", "aside", "blockquote", "td"):
                         break
-            up = stack[-1] if stack else ("", "", False, False)
+            up = stack[-1] if stack else ("", "", False, False, 0)
             out, body = marks(m[3]) if m[3] else (False, False)
             article = up[3] or name in ("article", "main") or body
             header = name == "header" and not up[3]
@@ -146,10 +154,27 @@ class Page:
                 close = re.compile("</" + re.escape(name) + r"\s*>?", re.I).search(source, at)
                 at = close.end() if close else n
             elif name not in VOID and not m[3].endswith("/"):
-                stack.append((name, path, drop, article))
+                stack.append((name, path, drop, article, len(self.tags) if name in BOXES else up[4]))
         end_block()
 
 
+def held_text(blocks: list[tuple]) -> dict[str, int]:
+    """Characters outside links below each holder's path, and of all blocks by the name ""."""
+    held = {"": 0}
+    for _, text, linked, _, _, around, _ in blocks:
+        for p in {"", *around}:
+            held[p] = held.get(p, 0) + len(text) - linked
+    return held
+
+
+def without_link_lists(blocks: list[tuple]) -> list[tuple]:
+    """The blocks of boxes (elements that hold blocks, as lists do) of which links are less than half."""
+    size: dict[int, int] = {}
+    for _, text, linked, _, _, _, box in blocks:
+        size[box] = size.get(box, 0) + len(text) - 2 * linked
+    return [b for b in blocks if size[b[6]] > 0]
+
+
 def token_hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts)) >> 1
 
@@ -166,25 +191,22 @@ def page_tokens(page: Page) -> dict[int, int]:
     return counts
 
 
-TOKENS = pa.schema([("host", pa.string()), ("page", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary()), ("slots", pa.list_(pa.struct([("path", pa.int64()), ("chars", pa.int64())])))])
-TOKENS_TYPE = "host string, page long, tokens binary, counts binary, slots array<struct<path:long,chars:long>>"
+TOKENS = pa.schema([("host", pa.string()), ("page", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary()), ("slots", pa.list_(pa.struct([("path", pa.int64()), ("chars", pa.int64()), ("depth", pa.int32())])))])
+TOKENS_TYPE = "host string, page long, tokens binary, counts binary, slots array<struct<path:long,chars:long,depth:int>>"
 
 
 def analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of each page, and the characters outside links that each element path holds."""
+    """Tokens of each page, and the characters outside links below each holder's path."""
     for batch in batches:
         rows = []
         for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = Page(source)
             counts = page_tokens(page)
-            slots: dict[int, int] = {}
+            slots = []
             if not any(b[4] for b in page.blocks):
-                for _, text, linked, drop, _, around in page.blocks:
-                    if not drop:
-                        for p in set(around[-2:]):  # the block's element and the one around it
-                            h = token_hash("s", p)
-                            slots[h] = slots.get(h, 0) + len(text) - linked
-            rows.append((host_of(url), xxhash.xxh64_intdigest(source) >> 1, np.fromiter(counts, np.int64, len(counts)).tobytes(), np.fromiter(counts.values(), np.int32, len(counts)).tobytes(), [{"path": k, "chars": v} for k, v in slots.items()]))
+                held = held_text([b for b in page.blocks if not b[3]])
+                slots = [{"path": token_hash("s", p), "chars": n, "depth": p.count("/")} for p, n in held.items()]
+            rows.append((host_of(url), xxhash.xxh64_intdigest(source) >> 1, np.fromiter(counts, np.int64, len(counts)).tobytes(), np.fromiter(counts.values(), np.int32, len(counts)).tobytes(), slots))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TOKENS.types, strict=True)], schema=TOKENS)
 
@@ -213,7 +235,7 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template, best): the template tokens of a host, and its element path with most text.
+    """(host, template, best): the template tokens of a host, and the path of the holder that has its text.
 
     ``pages`` has url and html.
     """
@@ -227,8 +249,11 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = frequent.groupBy("host", "vector", "pages", "times").agg(F.count("*").alias("size")).where(F.col("size") >= CLASS_SIZE)
     valid = frequent.join(classes, ["host", "vector", "pages", "times"], "left_semi")
     tokens = valid.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("template"))
-    slots = seen.select("host", F.explode("slots").alias("s")).groupBy("host", F.col("s.path").alias("path")).agg(F.sum("s.chars").alias("chars"))
-    best = slots.groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("best"))
+    slots = seen.select("host", F.explode("slots").alias("s")).groupBy("host", F.col("s.path").alias("path")).agg(F.sum("s.chars").alias("chars"), F.max("s.depth").alias("depth"))
+    # holders that have most of the text are one inside another: the innermost
+    whole = slots.groupBy("host").agg(F.max("chars").alias("whole"))
+    most = slots.join(whole, "host").where((F.col("depth") > 0) & (F.col("chars") > 0) & (F.col("chars") >= HELD * F.col("whole")))
+    best = most.groupBy("host").agg(F.max_by("path", "depth").alias("best"))
     return total.select("host").join(tokens, "host", "left").join(best, "host", "left")
 
 
@@ -237,15 +262,12 @@ def article(page: Page, template: set[int], best: int | None) -> str:
     kept = [b for b in page.blocks if not b[3] and token_hash("b", b[0], b[1]) not in template]
     inside = [b for b in kept if b[4]]
     if not inside and not any(b[4] for b in page.blocks):
-        kept = [b for b in kept if 2 * b[2] < len(b[1])]  # lists of links
-        inside = [b for b in kept if best in {token_hash("s", p) for p in b[5][-2:]}] if best is not None else []
+        kept = without_link_lists(kept)
+        inside = [b for b in kept if best in {token_hash("s", p) for p in b[5]}] if best is not None else []
         if not inside:
-            held: dict[str, int] = {}
-            for _, text, linked, *_, around in kept:
-                for p in set(around[-2:]):
-                    held[p] = held.get(p, 0) + len(text) - linked
-            top = max(held, key=lambda p: (held[p], -len(p)), default=None)
-            inside = [b for b in kept if top in b[5][-2:] or not b[5]]
+            held = held_text(kept)
+            top = max((p for p in held if p and held[p] >= HELD * held[""] > 0), key=lambda p: p.count("/"), default="")
+            inside = [b for b in kept if not top or top in b[5]]
     return "\n".join(b[1] for b in inside)
 
 

@@ -35,3 +35,12 @@ def test_template_text_goes_copies_count_once_and_rows_come_back(spark):
     assert by[7] == "t7\nbody 7" and by[100] == "only copy\nof this" and by[200] == "" and by[201] == ""
     assert by[302] == "long text number 2 here\nno 2" or by[302] == "long text number 2 here"
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_nested_blocks_and_link_paragraphs_of_pages_without_article(spark):
+    body = lambda i: f"<div id=c><p>intro {i} text</p><p><a href=x>a paragraph that is all link {i}</a></p><ul><li>item {i}<ul><li>nested {i}</ul></ul><blockquote><div><p>quoted {i}</p></div></blockquote><table><tr><td>cell {i}</table><p>{'long words ' * 9}{i}</p></div>"
+    page = lambda i: f"<body><div><ul><li><a href=x>menu</a><li><a href=y>more menu</a></ul>{body(i)}</div></body>"
+    want = lambda i: f"intro {i} text\na paragraph that is all link {i}\nitem {i}\nnested {i}\nquoted {i}\ncell {i}\n{'long words ' * 9}{i}"
+    assert text(page(3)) == want(3)
+    pages = spark.createDataFrame([(i, "http://d.example/", page(i)) for i in range(2)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in H.extract(pages).collect()} == {i: want(i) for i in range(2)}
