@@ -6,7 +6,10 @@ over the different pages of a host (so many times on this page, so many on
 that) form an equivalence class; a class that covers most pages of the host and
 has several tokens is part of its template. Vectors are compared by a hash that
 is combined page by page with XOR, so they aggregate before any shuffle, and a
-host of a third of all pages is never in one place. Equal pages count once.
+host of a third of all pages is never in one place. Pages whose blocks of text,
+but for the dropped parts, are equal count once. Hosts of three different pages
+have templates; of two, what they share is not told from a quotation. A class on
+a host of up to nine pages is on all of them.
 
 The template of a host is the flat set of the tokens of its classes; classes are
 not nested and slots are not formed from them: names of elements, classes and
@@ -40,7 +43,7 @@ from tessella.llm.stage import bounded_batches, save
 
 #: A valid class covers that share of a host's different pages, has so many tokens,
 #: and is looked for on hosts of so many pages.
-SUPPORT, CLASS_SIZE, MIN_PAGES = 0.9, 3, 20
+SUPPORT, CLASS_SIZE, MIN_PAGES = 0.9, 3, 3
 #: Share of the text outside links that the chosen holder has, at least.
 HELD = 0.9
 
@@ -206,7 +209,7 @@ def analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not any(b[4] for b in page.blocks):
                 held = held_text([b for b in page.blocks if not b[3]])
                 slots = [{"path": token_hash("s", p), "chars": n, "depth": p.count("/")} for p, n in held.items()]
-            rows.append((host_of(url), xxhash.xxh64_intdigest(source) >> 1, np.fromiter(counts, np.int64, len(counts)).tobytes(), np.fromiter(counts.values(), np.int32, len(counts)).tobytes(), slots))
+            rows.append((host_of(url), token_hash(*(b[1] for b in page.blocks if not b[3])), np.fromiter(counts, np.int64, len(counts)).tobytes(), np.fromiter(counts.values(), np.int32, len(counts)).tobytes(), slots))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TOKENS.types, strict=True)], schema=TOKENS)
 
@@ -239,7 +242,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     ``pages`` has url and html.
     """
-    seen = pages.mapInArrow(analyse, TOKENS_TYPE).groupBy("host", "page").agg(F.first("tokens").alias("tokens"), F.first("counts").alias("counts"), F.first("slots").alias("slots"))
+    seen = pages.mapInArrow(analyse, TOKENS_TYPE).groupBy("host", "page").agg(F.min(F.struct("tokens", "counts", "slots")).alias("one")).select("host", "page", "one.*")
     seen = save(seen, "pages")
     parts = seen.select("host", "page", "tokens", "counts").mapInArrow(vectors, "host string, token long, vector long, pages long, times long")
     each = parts.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"))

@@ -44,3 +44,12 @@ def test_nested_blocks_and_link_paragraphs_of_pages_without_article(spark):
     assert text(page(3)) == want(3)
     pages = spark.createDataFrame([(i, "http://d.example/", page(i)) for i in range(2)], "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in H.extract(pages).collect()} == {i: want(i) for i in range(2)}
+
+
+def test_small_hosts_have_templates_and_pages_of_one_text_count_once(spark):
+    page = lambda ad, *ps: f"<html><body><div class=ad>{ad}</div><article>{''.join(f'<p>{p}</p>' for p in ps)}</article></body></html>"
+    rows = [(i, "http://three.example/", page(i, f"body {i}", "Share this page")) for i in range(3)]
+    rows += [(10 + i, "http://one.example/", page(i, "the text", "of one article")) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"body {i}" for i in range(3)} | {10 + i: "the text\nof one article" for i in range(9)}
+    assert {r["page_id"]: r["text"] for r in H.extract(pages).collect()} == want
