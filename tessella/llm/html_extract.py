@@ -1,4 +1,4 @@
-"""Main text of web pages by equivalence classes of template tokens.
+"""Main text of web pages by names of elements, less the template tokens of their hosts.
 
 A page is a sequence of tokens: tags and blocks of text, told apart by the path
 of open elements in which they stand. Tokens that have one occurrence vector
