@@ -39,6 +39,8 @@ FEATURES = ("lexicon_share", "lexicon_weight", "lexicon_count", "lexicon_most",
 
 EDGE = np.zeros(256, bool)  # bytes that are cut off a word's ends
 EDGE[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[*b"@$!+"]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 
@@ -61,17 +63,21 @@ class Words:
         starts, ends, first = A.words(self.low, off, A.NOT_SPACE)
         self.doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
         self.raw = (starts.copy(), ends.copy())
-        for _ in range(3):  # punctuation around a word
-            starts = starts + ((starts < ends) & EDGE[self.low[np.minimum(starts, len(data) - 1)]]) if len(data) else starts
-            ends = ends - ((starts < ends) & EDGE[self.low[ends - 1]]) if len(data) else ends
-        self.starts, self.ends = starts, np.maximum(ends, starts)
+        inner = np.flatnonzero(~EDGE[self.low])  # not punctuation
+        inner = np.r_[-1, inner, len(data)]
+        starts = np.minimum(inner[np.searchsorted(inner, starts)], ends)
+        self.starts, self.ends = starts, np.maximum(inner[np.searchsorted(inner, ends) - 1] + 1, starts)
         full = self.ends > self.starts
         self.keys = np.zeros(len(starts), A.U64)
         if full.any():
             self.keys[full] = A.hash_words(self.low, self.starts[full], self.ends[full])
 
     def plain_forms(self) -> tuple[np.ndarray, np.ndarray]:
-        """(words, hashes) of obfuscated words as they would be spelled plainly."""
+        """(words, hashes) of obfuscated words as they would be spelled plainly.
+
+        A word has a form with the signs at its ends read as letters and one
+        without them; a run of single letters is one word, at its first letter.
+        """
         inner = np.concatenate([[0], np.cumsum(~_LETTER[self.low])])
         letters = np.concatenate([[0], np.cumsum(_LETTER[self.low])])
         a, b = self.raw
@@ -80,21 +86,42 @@ class Words:
             run = np.zeros(len(self.low), bool)
             run[2:] = (self.low[2:] == self.low[1:-1]) & (self.low[1:-1] == self.low[:-2]) & _LETTER[self.low[2:]]
             same[1:] = np.cumsum(run)
-        odd = (inner[self.ends] - inner[self.starts] > 0) | (same[b] - same[a] > 0)
-        at = np.flatnonzero(odd & (letters[b] - letters[a] > 1) & (b - a < 40))
-        forms = []
+        edges = np.zeros(len(a), bool)
+        if len(a):  # signs for letters at the ends; an exclamation mark at the end is none
+            edges = (self.starts > a) & _SIGN[self.low[self.starts - 1]] | (self.ends < b) & _SIGN[self.low[np.minimum(self.ends, len(self.low) - 1)]] & (self.low[np.minimum(self.ends, len(self.low) - 1)] != 0x21)
+        odd = (inner[self.ends] - inner[self.starts] > 0) | (same[b] - same[a] > 0) | edges
+        at, forms = [], []
         text = self.low.tobytes()
-        for i in at.tolist():
-            word = text[a[i] : b[i]].decode("utf-8", "replace").strip("'\"`´’,;:?()[]{}<>")
-            word = "".join(LEET.get(c, c) for c in word)
-            out = []
-            for c in word:  # no letter three times
-                if len(out) > 1 and out[-1] == c == out[-2]:
-                    continue
-                out.append(c)
-            forms.append("".join(out).encode())
-        kept = [i for i, f in enumerate(forms) if f]
-        return at[kept], word_keys([forms[i] for i in kept]) if kept else np.empty(0, A.U64)
+        for i in np.flatnonzero(odd & (letters[b] - letters[a] > 1)).tolist():
+            for word in {plain(text[a[i] : b[i]]), plain(text[self.starts[i] : self.ends[i]])} - {b""}:
+                at.append(i)
+                forms.append(word)
+        for i, j in self.spaced():
+            word = plain(b"".join(text[x:y] for x, y in zip(self.starts[i:j].tolist(), self.ends[i:j].tolist(), strict=True)))
+            if word:
+                at.append(i)
+                forms.append(word)
+        return np.array(at, np.int64), word_keys(forms) if forms else np.empty(0, A.U64)
+
+    def spaced(self) -> list[tuple[int, int]]:
+        """(first, end) of runs of three single letters and more, in one document."""
+        head = np.concatenate([[0], np.cumsum((self.low & 0xC0) != 0x80)])  # characters
+        single = np.r_[False, head[self.ends] - head[self.starts] == 1, False]
+        joint = single[1:-1].copy()
+        joint[1:] &= self.doc[1:] == self.doc[:-1]
+        begin = np.flatnonzero(single[1:-1] & ~(joint & single[:-2]))
+        end = np.searchsorted(np.r_[np.flatnonzero(~(joint & single[:-2])), len(joint)], begin, "right")
+        end = np.r_[np.flatnonzero(~(joint & single[:-2])), len(joint)][end]
+        return [(i, j) for i, j in zip(begin.tolist(), end.tolist(), strict=True) if j - i > 2]
+
+
+def plain(raw: bytes) -> bytes:
+    word = raw.decode("utf-8", "replace").strip("'\"`´’,;:?()[]{}<>")
+    out: list[str] = []
+    for c in "".join(LEET.get(c, c) for c in word):  # no letter three times
+        if not (len(out) > 1 and out[-1] == c == out[-2]):
+            out.append(c)
+    return "".join(out).encode()
 
 
 def per_doc(n: int, doc: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
@@ -121,7 +148,8 @@ def features(data: np.ndarray, off: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     weight = lexicon.of(w.keys)
     odd, forms = w.plain_forms()
     plain = np.zeros(len(w.keys))
-    plain[odd] = np.where(weight[odd] > 0, 0.0, lexicon.of(forms))
+    np.maximum.at(plain, odd, np.where(weight[odd] > 0, 0.0, lexicon.of(forms)))
+    odd = np.unique(odd)
     hit = (weight > 0) | (plain > 0)
     both = np.maximum(weight, plain)
     second = np.isin(w.keys, SECOND_KEYS)

@@ -52,3 +52,15 @@ def test_held_out_scores(spark):
     none = toxicity.score(docs, known.where("toxic = 0"), language.crc_mod(5) != 0).collect()
     assert {r["score"] for r in none} == {0.0}
     assert toxicity.score(docs.limit(0), known, language.crc_mod(5) != 0).count() == 0
+
+
+def test_spellings_around_the_lexicon_are_hits():
+    lexicon = toxicity.Lexicon(toxicity.word_keys([b"idiot", b"shit", b"x" + b"ab" * 25]), np.array([2.0, 2.0, 2.0]))
+
+    def hits(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return round(float(np.expm1(toxicity.features(data, np.array([0, len(data)]), lexicon)[0, 2])))
+
+    for word in ("idiot", "idiot!!!!", '"((idiot))"?!?!', "1d10t!!!!", "$h!t", "sh!t", "i d i o t", "an i d 1 0 t !!!! is", "x*" + "ab" * 25, "é i"):
+        assert hits(f"ok {word} fine") == (word != "é i"), word
+    assert hits("") == 0 and hits("!!!! **") == 0 and hits("i d i ot") == 0
