@@ -248,7 +248,10 @@ def crc_mod(mod: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % mod
 
 
-def keep(docs: DataFrame, train: Column, *, min_score: float = 0.3, **how) -> DataFrame:
-    """Documents in a known language: those that are ``und`` or score below ``min_score`` go."""
-    found = identify(docs, train, **how).where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select(F.col("doc_id").alias("_out")).distinct()
+def keep(docs: DataFrame, train: Column, **how) -> DataFrame:
+    """Documents in a known language: those that are ``und`` go.
+
+    Scores have no part in it: they shrink with the number of languages.
+    """
+    found = identify(docs, train, **how).where("lang_pred = 'und'").select(F.col("doc_id").alias("_out")).distinct()
     return docs.join(found, docs["doc_id"].cast("long") == found["_out"], "left_anti")

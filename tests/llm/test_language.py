@@ -39,3 +39,13 @@ def test_held_out_accuracy_spans_and_odd_rows(spark):
     assert kept.columns == docs.columns and {1000, 1001, 1002} == set(range(1000, 1005)) - {r[0] for r in kept.collect()}
     none = L.identify(docs, F.lit(False)).where("lang_pred <> 'und'")
     assert none.count() == 0 and L.identify(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_clean_texts_of_many_languages_stay(spark):
+    rng = random.Random(3)
+    vocab = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[5 * k : 5 * k + 6]) for _ in range(6)) for _ in range(5)] for k in range(5)}
+    text = lambda v, n: " ".join(rng.choice(vocab[v]) for _ in range(n))
+    rows = [(i, text(v, 12), v) for i, v in enumerate(rng.choices(list(vocab), k=120))]
+    docs = spark.createDataFrame(rows + [(1000, " ".join(text(v, 40) for v in vocab), None), (1001, "12 34", None)], "doc_id long, text string, lang string")
+    assert L.identify(docs, L.crc_mod(4) != 2).where("doc_id = 1000").first()["score"] < 0.3
+    assert {r["doc_id"] for r in L.keep(docs, L.crc_mod(4) != 2).collect()} == {r[0] for r in rows} | {1000}
