@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.session import ship
 
@@ -16,11 +16,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_stages"
 
 
+#: Spark's setting that a finished query deletes its shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: later jobs survive lost executors and recompute nothing."""
+    """Write ``df`` as Parquet and read it back: later jobs survive lost executors and recompute nothing.
+
+    The write's shuffle files go as soon as it is done.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,10 +50,19 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs, which the driver else keeps until it happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def text_key(text_col: str) -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def without(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less those that ``rows`` (doc_id, key) name, by id and text_key(); all columns are kept.
+
+    The rows are written first, so that Spark knows their size: it broadcasts
+    them below its threshold, and shuffles the documents only beyond it.
+    """
+    out = save(rows.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "left_out")
+    return docs.join(out, docs[id_col].cast("long").eqNullSafe(out["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == out["_key"]), "left_anti")
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
