@@ -1,8 +1,11 @@
+import random
+import tracemalloc
+
 from tessella.llm import html_extract as H
 
 
 def text(source):
-    return H.article(H.Page(source), set(), None)
+    return H.article(H.Row(*H.Page(source).fields()), 0, None)
 
 
 def test_blocks_of_the_article():
@@ -53,3 +56,67 @@ def test_small_hosts_have_templates_and_pages_of_one_text_count_once(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     want = {i: f"body {i}" for i in range(3)} | {10 + i: "the text\nof one article" for i in range(9)}
     assert {r["page_id"]: r["text"] for r in H.extract(pages).collect()} == want
+
+
+def unnamed(i, rng):
+    """A page without telling names: a menu, a sidebar, the article and a foot, all of them different."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    title, body = say(5), [say(rng.randrange(15, 40)) for _ in range(rng.randrange(2, 6))]
+    menu = "".join(f"<div><a href={k}>{say(2)}</a></div>" for k in range(rng.randrange(3, 7)))
+    parts = [f"<h1>{title}</h1>", *(f"<p>{p}</p>" for p in body[:1]), "<p>Share this page</p>", *(f"<p>{p}</p>" for p in body[1:])]
+    page = f"<html><body><div class=u1><div>{menu}</div></div><div class=u2><div><span>{say(9)}</span></div></div><div class=u3>{''.join(parts)}</div><div class=u4><p>{say(4)}</p></div></body></html>"
+    return page, "\n".join([title, *body])
+
+
+def test_the_template_finds_the_article_of_pages_without_telling_names(spark):
+    rng = random.Random(6)
+    made = [unnamed(i, rng) for i in range(12)]
+    pages = spark.createDataFrame([(i, f"http://plain.example/{i}", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(made)}
+    off = {r["page_id"]: r["text"] for r in H.extract(pages, support=2.0).collect()}
+    assert all(off[i] != got[i] for i in got)
+
+
+def test_templates_equal_classes_by_hand(spark):
+    rng = random.Random(7)
+    sources = [unnamed(i, rng)[0] for i in range(7)]
+    pages = [H.Page(s) for s in sources]
+    seen = {}
+    for i, p in enumerate(pages):
+        for e, role in enumerate(p.roles):
+            seen.setdefault(role, [set(), p.roles[p.parent[e]] if e else 0, False])[0].add(i)
+        for role, e in zip(H.text_roles(p.roles, p.where, p.texts), p.where):
+            seen.setdefault(role, [set(), p.roles[e], True])[0].add(i)
+    classes = {}
+    for role, (at, up, is_text) in seen.items():
+        classes.setdefault(frozenset(at), []).append((role, up, is_text))
+    valid = [x for at, c in classes.items() if len(at) >= 0.9 * len(pages) and not all(t for *_, t in c) for x in c]
+    tree = {0}
+    for _ in range(9):
+        tree |= {role for role, up, is_text in valid if up in tree and not is_text}
+    fixed = sorted(role for role, up, is_text in valid if up in tree and is_text)
+    rows = spark.createDataFrame([(i, "http://h.example/", s) for i, s in enumerate(sources)], "page_id long, url string, html string")
+    found = H.templates(rows.mapInArrow(lambda it: H.parse(it, True), H.PARSED_TYPE)).collect()
+    assert [r["host"] for r in found] == ["h.example"] and found[0]["fixed"] == fixed and len(fixed) == 1
+    title = pages[0].parent[pages[0].where[pages[0].texts.index("Share this page")]]
+    assert found[0]["best"] == pages[0].roles[title]
+
+
+def test_versions_of_one_article_keep_their_text(spark):
+    body = "".join(f"<p>paragraph {k} of the only article</p>" for k in range(9))
+    rows = [(i, "http://v.example/", f"<body><article>{body}<p>version {i}</p></article></body>") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all(r["text"].count("\n") == 9 for r in H.extract(pages).collect())
+
+
+def test_memory_and_time_are_linear_in_nesting():
+    peaks = []
+    for n in (10_000, 50_000):
+        source = "<b>" + "<div>" * n + "deep" + "</i></div>" * n + "<p>end"
+        tracemalloc.start()
+        assert text(source) == "deep\nend"
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 8 * peaks[0] and peaks[1] < 60e6
