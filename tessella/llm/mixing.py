@@ -7,9 +7,12 @@ order, are a stream of words (read twice at most) that is cut into as many
 blocks of equal size as the source has slots, and the r-th slot takes the r-th
 block.
 
-Both rankings run on two levels (counts of chunks, then rows of a chunk), so a
-source with a third of all rows is never ordered in one task. Everything is
-DataFrame operations.
+Block k of a source with w words and n slots is [floor(k w / n), floor((k+1) w / n))
+of its stream, so each slot gets one and the shares hold up to the last slot.
+
+All rankings and cumulative sums run on two levels (sums of chunks, then rows of
+a chunk), so neither a source with a third of all rows nor a corpus of very many
+sources is ordered in one task. Everything is DataFrame operations.
 
 Cases: a null or empty text has size 0 and is taken 0 times; a null source is a
 source of its own, the last; repeated rows come out one by one; an empty table
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.stage import save
+from tessella.llm.stage import release, save
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
@@ -29,14 +32,25 @@ SHARE, MOST = 1.5, 2
 #: Words of a block, at most; small corpora get smaller ones, so that they have about SLOTS slots.
 BLOCK, SLOTS = 512, 20_000
 CHUNK = 1 << 16
-CELLS = 1024
-BUCKET_ROWS = 20_000
+#: Slots of one cell of [0, 1), rows of one bucket of a source's stream, sources of one partition.
+CELL_SLOTS, BUCKET_ROWS, SOURCES = 20_000, 5_000, 50_000
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
+def running(rows: DataFrame, n: int, order: list[Column], **sums: Column) -> DataFrame:
+    """``rows`` with, for each name, the sum of its column over the rows before this one in ``order``."""
+    cut = save(rows.repartitionByRange(max(1, -(-n // SOURCES)), *order).withColumn("_part", F.spark_partition_id()).select("*", *[c.alias(f"_v_{k}") for k, c in sums.items()]), "ordered")
+    line = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(f"_v_{k}") for k in sums])
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_v_{k}").over(line), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.select("*", *[F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)).alias(f"_w_{k}") for k in sums]).join(F.broadcast(parts), "_part")
+    return out.select(*rows.columns, *[(F.col(f"_b_{k}") + F.col(f"_w_{k}")).alias(k) for k in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, r, source_size, target) of each source of (source, size).
 
@@ -46,31 +60,41 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     share at which they fill up, full sources are a prefix, found by cumulative
     sums.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    r = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    per = save(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source_sizes")
+    every = per.agg(F.count("*").alias("n"), F.sum("source_size").alias("words")).first()
+    n, goal = every["n"], float(every["words"] or 0) * share
+    named = running(per, n, [F.col("source").asc_nulls_last()], r=F.lit(1)).withColumn("r", (F.col("r") + 1).cast("int"))
     w = F.get(F.array(*[F.lit(float(x)) for x in weights]), (F.col("r") - 1) % len(weights))
-    named = per.withColumn("r", r).withColumn("w", w).withColumn("cap", F.col("source_size") * float(most))
-    by_fill = Window.orderBy(F.col("cap") / F.col("w"), "r")
-    up, rest = by_fill.rowsBetween(Window.unboundedPreceding, -1), by_fill.rowsBetween(0, Window.unboundedFollowing)
-    everything = by_fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum(F.col("source_size").cast("double")).over(everything) * share - F.coalesce(F.sum("cap").over(up), F.lit(0.0))) / F.sum("w").over(rest)
-    filled = named.withColumn("level", level).withColumn("free", F.col("cap") / F.col("w") > F.col("level"))
-    shared = F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(everything)
-    return filled.withColumn("shared", shared).select("source", "r", "source_size", F.when(F.col("cap") <= F.col("w") * F.coalesce("shared", F.lit(float("inf"))), F.col("cap")).otherwise(F.col("w") * F.col("shared")).alias("target"))
+    named = save(named.withColumn("w", w).withColumn("cap", F.col("source_size") * float(most)), "named_sources")
+    weight = named.agg(F.sum("w").alias("w")).first()["w"] or 0.0
+    filled = running(named, n, [(F.col("cap") / F.col("w")).asc(), F.col("r").asc()], cap_before=F.col("cap"), w_before=F.col("w"))
+    filled = filled.withColumn("level", (goal - F.col("cap_before")) / (F.lit(weight) - F.col("w_before")))
+    # the first source, in order of filling up, that does not: its level is that of all after it
+    free = filled.where(F.col("cap") / F.col("w") > F.col("level")).agg(F.min_by("level", F.struct(F.col("cap") / F.col("w"), "r")).alias("x")).first()["x"]
+    level = float("inf") if free is None else free
+    return named.select("source", "r", "source_size", F.least(F.col("cap"), F.col("w") * F.lit(level)).alias("target"))
 
 
 def source_slots(goals: DataFrame, slots: int) -> DataFrame:
-    """(slot, r, rank): the source of each slot, and its number among that source's slots."""
+    """(slot, r, rank): the source of each slot, and its number among that source's slots.
+
+    Points and the starts of the sources' shares are put in order cell by cell.
+    """
     spark = goals.sparkSession
-    line = Window.orderBy("r")
-    total = F.sum("target").over(Window.partitionBy())
-    cum = goals.where("target > 0").withColumn("hi", F.sum("target").over(line) / total)
-    cum = cum.withColumn("lo", F.coalesce(F.lag("hi").over(line), F.lit(0.0))).withColumn("hi", F.when(F.lead("r").over(line).isNull(), F.lit(1.0)).otherwise(F.col("hi")))
-    cells = cum.select("r", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.floor(F.col("hi") * CELLS).cast("int"), F.lit(CELLS - 1)))).alias("cell"))
+    every = goals.agg(F.count("*").alias("n"), F.sum("target").alias("t")).first()
+    total = every["t"] or 1.0
+    cells = max(16, -(-slots // CELL_SLOTS))
+    cum = running(goals.where("target > 0").select("r", "target"), every["n"], [F.col("r").asc()], lo=F.col("target")).withColumn("hi", F.col("lo") + F.col("target"))
+    cell = lambda x: F.least(F.floor(x * cells).cast("int"), F.lit(cells - 1))
+    shares = cum.select("r", (F.col("lo") / total).alias("lo"), (F.col("hi") / total).alias("hi"))
+    starts = shares.select("r", "lo", F.explode(F.sequence(cell(F.col("lo")), F.greatest(cell(F.col("lo")), cell(F.col("hi"))))).alias("cell"))
+    starts = starts.select("cell", F.greatest("lo", F.col("cell") / cells).alias("u"), F.lit(None).cast("long").alias("slot"), "r")
     point = (F.col("id") + 0.5) * GOLDEN
     line = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("u"))
-    line = line.withColumn("cell", F.least(F.floor(F.col("u") * CELLS).cast("int"), F.lit(CELLS - 1)))
-    placed = line.join(cells, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "r", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    line = line.select(cell(F.col("u")).alias("cell"), "u", "slot", F.lit(None).cast("int").alias("r"))
+    order = Window.partitionBy("cell").orderBy("u", F.col("slot").asc_nulls_first(), "r")
+    placed = starts.unionByName(line).withColumn("r", F.last("r", ignorenulls=True).over(order)).where("slot is not null and r is not null")
+    placed = save(placed.select("slot", "r", F.floor(F.col("slot") / CHUNK).alias("chunk")), "placed")
     before = placed.groupBy("r", "chunk").agg(F.count("*").alias("n"))
     before = before.select("r", "chunk", (F.sum("n").over(Window.partitionBy("r").orderBy("chunk")) - F.col("n")).alias("base"))
     within = F.row_number().over(Window.partitionBy("r", "chunk").orderBy("slot")) - 1
@@ -105,14 +129,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     goals = save(targets(sizes, weights, share, most), "targets")
     slots = save(source_slots(goals, -(-words // per)), "slots")
     own = save(streams(sizes, goals, seed, max(1, -(-counts["n"] // BUCKET_ROWS))), "streams")
+    release(sizes)
     lot = slots.groupBy("r").agg(F.count("*").alias("n"))
-    lot = goals.join(lot, "r").select("r", F.round("target").cast("long").alias("words"), "n").where("words > 0").select("r", "words", F.ceil(F.col("words") / F.col("n")).alias("per"))
+    lot = save(goals.join(lot, "r").select("r", F.round("target").cast("long").alias("words"), "n").where("words > 0"), "lots")
     pieces = own.where("size > 0").join(lot, "r").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(int(most) - 1))))
     pieces = pieces.withColumn("a", F.col("at") + F.col("epoch") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("words"))).where("a < b")
-    pieces = pieces.withColumn("rank", F.explode(F.expr("sequence(a div per, (b - 1) div per)")))
-    start = F.greatest("a", F.col("rank") * F.col("per")) - F.col("a")
-    stop = F.least("b", (F.col("rank") + 1) * F.col("per")) - F.col("a")
-    schedule = pieces.join(slots, ["r", "rank"]).select("slot", "doc_id", "source", "size", "r", "at", "epoch", start.alias("start"), stop.alias("stop"))
+    # decimals: words times slots may exceed a long
+    block = lambda x: f"((cast({x} + 1 as decimal(19,0)) * cast(n as decimal(19,0)) - 1) div words)"
+    edge = lambda k: F.expr(f"(cast({k} as decimal(19,0)) * cast(words as decimal(19,0))) div n")
+    pieces = pieces.withColumn("rank", F.explode(F.expr(f"sequence({block('a')}, {block('b - 1')})")))
+    start = F.greatest("a", edge("rank")) - F.col("a")
+    stop = F.least("b", edge("rank + 1")) - F.col("a")
+    schedule = pieces.join(slots, ["r", "rank"]).select("slot", "doc_id", "source", "size", "r", "at", "epoch", start.alias("start"), stop.alias("stop")).where("start < stop")
     return own, schedule
 
 

@@ -49,16 +49,43 @@ def test_targets_and_taken(spark, kind):
     assert all(abs(took[s] - goal[s]) <= 1 for s in sizes)
 
 
-def test_every_stretch_of_slots_is_close_to_the_shares(spark):
-    rows = [(i, "w " * 100, f"s{i % 4}") for i in range(800)]
+@pytest.mark.parametrize("words", [10_000, 14_925, 119_400, 1_000_000])
+def test_every_tenth_of_the_slots_is_close_to_the_shares(spark, words):
+    size = 25 if words < 10**5 else 100
+    rows = [(i, "w " * size, f"s{i % 4}") for i in range(words // size)] + [(-1, "a few words", "tiny")]
     own, schedule = M.mix(make(spark, rows))
-    slots = schedule.select("slot", "source").distinct().toPandas()
-    share = own.select("source", "target").distinct().toPandas().set_index("source")["target"] / 120_000
-    part = slots[slots["slot"].between(3000, 4000)]
-    assert all(abs((part["source"] == s).mean() - p) < 0.01 for s, p in share.items())
+    slots = schedule.select("slot", "source").distinct().toPandas().sort_values("slot", ignore_index=True)
+    share = own.select("source", "target").distinct().toPandas().set_index("source")["target"]
+    share = share / share.sum()
+    for k in range(10):
+        part = slots[len(slots) * k // 10 : len(slots) * (k + 1) // 10]
+        assert all(abs((part["source"] == s).mean() - p) < 0.01 for s, p in share.items()), k
     assert schedule.where("start >= stop or stop > size").count() == 0
 
 
+def test_blocks_cover_each_stream_once(spark):
+    rows = [(i, "w " * (i * 31 % 97), f"s{i % 3}") for i in range(300)] + [(300, "a b", "x")]
+    own, schedule = M.mix(make(spark, rows))
+    taken = {}
+    for r in schedule.collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["stop"] - r["start"]
+    for r in own.collect():
+        end = round(r["target"])
+        want = sum(max(0, min(end, r["at"] + e * r["source_size"] + r["size"]) - (r["at"] + e * r["source_size"])) for e in (0, 1))
+        assert taken.get(r["doc_id"], 0) == want
+
+
+def test_many_sources_on_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(M, "SOURCES", 50)
+    rows = [(i, "w " * (1 + i * 7 % 40 if i % 400 else 5000), f"host{i % 400}") for i in range(2000)]
+    got = M.taken(make(spark, rows)).collect()
+    sizes = {}
+    for r in got:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    goal = fill(sizes)
+    assert all(abs(r["target"] - goal[r["source"]]) < 1e-6 * (1 + r["target"]) for r in got)
+
+
 def test_empty_table(spark):
     assert M.taken(make(spark, [(1, "a", "b")]).limit(0)).count() == 0
     assert [r["taken"] for r in M.taken(make(spark, [(1, None, "b")])).collect()] == [0]
