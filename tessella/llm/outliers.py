@@ -9,7 +9,9 @@ lies beyond the chi-square quantile for its group is rejected.
 Everything is DataFrame expressions. A step is two aggregations with small
 partial states (an exact percentile of rounded log distances; sums of products),
 so a hot group is never gathered. The triangular factors of the covariances are
-unrolled into columns.
+unrolled into columns. Estimates are written before they are joined, so Spark
+knows their size, one row a group: it broadcasts them below its threshold, and
+never deals all rows of a hot group to one task.
 
 A statistic that is constant in most of a group would make its covariance
 singular, so every variance has a floor, the square of the statistic's
@@ -28,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.stage import save
+from tessella.llm.stage import release, save
 
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 #: Share of a group that a concentration step keeps; steps; least group.
@@ -61,7 +63,8 @@ def base_statistics(text: str = "text") -> list[Column]:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The base statistics of each row, and its transformed vector x0 .. x5 (null under MIN_WORDS words)."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731 - null is no empty name
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), named(lang_col).alias("lang"), named(source_col).alias("source"), F.col(text_col).alias("text"))
     flat = own.select("doc_id", "lang", "source", *base_statistics()).select("doc_id", "lang", "source", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("n_words", "word_chars", "n_repeat_words")], F.col("l.n_lines").cast("long").alias("n_lines"), F.col("l.n_dup_lines").cast("long").alias("n_dup_lines"), "n_symbols", "n_caps", "n_marks")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     part = lambda a, b: F.asin(F.sqrt(F.least(F.col(a) / F.greatest(F.col(b), F.lit(1)), F.lit(1.0))))
@@ -75,7 +78,7 @@ def grouped(stats: DataFrame, min_group: int) -> DataFrame:
     both = stats.groupBy("lang", "source").agg(F.sum(full).alias("n"))
     langs = both.groupBy("lang").agg(F.sum("n").alias("n_lang"))
     names = both.join(langs, "lang").select("lang", "source", F.when(F.col("n") >= min_group, F.to_json(F.array("lang", "source"))).when(F.col("n_lang") >= min_group, F.to_json(F.array("lang"))).otherwise(F.lit("[]")).alias("g"))
-    return stats.join(names, ["lang", "source"])
+    return stats.join(save(names, "groups"), ["lang", "source"])
 
 
 def moments_to_factor(moments: DataFrame) -> DataFrame:
@@ -112,21 +115,25 @@ def sums_of(rows: DataFrame) -> DataFrame:
 def estimates(rows: DataFrame, steps: int, keep: float) -> DataFrame:
     """Centre and factor of each group: from medians and their deviations, then concentration steps."""
     cols = [f"x{i}" for i in range(D)]
-    mid = rows.groupBy("g").agg(*[F.percentile(F.round(c, 3), 0.5).alias(f"m{i}") for i, c in enumerate(cols)])
+    mid = save(rows.groupBy("g").agg(*[F.percentile(F.round(c, 3), 0.5).alias(f"m{i}") for i, c in enumerate(cols)]), "medians")
     spread = rows.join(mid, "g").groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(D)], *[(1.4826 * F.percentile(F.round(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 3), 0.5)).alias(f"v{i}") for i in range(D)])
     diagonal = [(F.sqrt(F.col(f"v{i}") * F.col(f"v{i}") + list(STATS.values())[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(D) for j in range(i + 1)]
     factors = save(spread.select("g", *[f"m{i}" for i in range(D)], *diagonal), "mcd")
     for _ in range(steps):
         near = with_distance(rows, factors).withColumn("ln", F.round(F.log(F.col("d2") + 1e-9), 3))
-        edge = near.groupBy("g").agg(F.percentile("ln", keep).alias("edge"))
-        factors = save(moments_to_factor(sums_of(near.join(edge, "g").where("ln <= edge"))), "mcd")
+        edge = save(near.groupBy("g").agg(F.percentile("ln", keep).alias("edge")), "edges")
+        better = save(moments_to_factor(sums_of(near.join(edge, "g").where("ln <= edge"))), "mcd")
+        release(edge, factors)
+        factors = better
     return factors
 
 
 def verdicts(docs: DataFrame, *, steps: int = STEPS, keep: float = KEEP, far: float = FAR, min_group: int = MIN_GROUP, **cols) -> DataFrame:
     """The statistics of each row with base_failed, d2 and kept."""
     # one pass over the texts: the groups are counted on its rows
-    rows = save(grouped(save(statistics(docs, **cols), "statistics"), min_group), "grouped")
+    stats = save(statistics(docs, **cols), "statistics")
+    rows = save(grouped(stats, min_group), "grouped")
+    release(stats)
     fit = rows.where(F.col("x0").isNotNull())
     scored = with_distance(rows, estimates(fit, steps, keep))
     good = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= far)
