@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
-from tessella.llm.stage import bounded_batches
+from tessella.llm.stage import bounded_batches, text_key, without
 
 BITS = 15
 ORDERS = (1, 2, 3, 4)
@@ -152,7 +152,19 @@ def segmented_min(values: np.ndarray, segment: np.ndarray) -> np.ndarray:
 
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
-    """Best language of each word; all documents advance together, the longest first in the arrays."""
+    """Best language of each word. Documents of like lengths advance together, so padding at most doubles them."""
+    out: list[np.ndarray] = [None] * len(scores)  # type: ignore[list-item]
+    alike: dict[int, list[int]] = {}
+    for i, s in enumerate(scores):
+        alike.setdefault(len(s).bit_length(), []).append(i)
+    for mine in alike.values():
+        for i, path in zip(mine, viterbi_in_step([scores[i] for i in mine], penalty), strict=True):
+            out[i] = path
+    return out
+
+
+def viterbi_in_step(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """viterbi() of documents that advance together, the longest first in the arrays."""
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     sizes = np.array([len(scores[i]) for i in order])
     steps, langs = int(sizes[0]), scores[0].shape[1]
@@ -229,19 +241,20 @@ def label(batches: Iterator[pa.RecordBatch], model: Model | None, penalty: float
                     spans[i] = [{"start": 0, "stop": int(size[i]), "lang": model.langs[k]}]
                     score[i] = odds[i, k]
                 langs[i] = model.langs[k]
-        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(langs), pa.array(score), pa.array(spans, span_type)], names=["doc_id", "lang_pred", "score", "spans"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(score), pa.array(spans, span_type), part.column(2)], names=["doc_id", "lang_pred", "score", "spans", "key"])
 
 
 def identify(docs: DataFrame, train: Column, *, fit_docs: int = FIT_DOCS, penalty: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score and spans (of letter words, by number) of each row of (doc_id, text, lang).
 
+    Its key tells rows of one doc_id apart.
     ``train`` selects the rows that the model may learn from.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = spark.sparkContext.broadcast(fit(docs, train, fit_docs))
-    return docs.select("doc_id", "text").mapInArrow(lambda it: label(it, model.value, penalty), f"doc_id long, lang_pred string, score double, spans {SPAN_TYPE}")
+    return docs.select("doc_id", "text", text_key("text").alias("key")).mapInArrow(lambda it: label(it, model.value, penalty), f"doc_id long, lang_pred string, score double, spans {SPAN_TYPE}, key long")
 
 
 def crc_mod(mod: int, id_col: str = "doc_id") -> Column:
@@ -253,5 +266,4 @@ def keep(docs: DataFrame, train: Column, **how) -> DataFrame:
 
     Scores have no part in it: they shrink with the number of languages.
     """
-    found = identify(docs, train, **how).where("lang_pred = 'und'").select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["_out"], "left_anti")
+    return without(docs, identify(docs, train, **how).where("lang_pred = 'und'"), "doc_id", "text")
