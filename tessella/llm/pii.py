@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and terms that disclose what the patterns protect.
 
-The patterns find e-mail addresses, IP addresses, card and phone numbers. Each
-value found is a protected entity. A word in a document with an entity discloses
-it by PMI(word, entity) / IC(entity): how much of the entity's information
-content the word gives away, by the documents of the corpus that have either or
-both. Words that exceed the threshold, with enough evidence, are spans of kind
+The patterns find e-mail addresses, IP addresses, card and phone numbers.
+Protected entities are each value found, and what it belongs to: the domain of
+an address, the network of an IP, the issuer of a card, the area of a phone. A
+word in documents with an entity discloses it by PMI(word, entity) / IC(entity):
+how much of the entity's information content the word gives away, by the
+documents of the corpus that have either or both, one of which is put down to
+chance. Words that exceed the threshold, with enough evidence, are spans of kind
 ``term`` in documents with that entity, and are generalised like the rest.
 
 Evidence is near-duplicate classes of whole documents: a text and its near copies
@@ -21,9 +23,10 @@ The patterns below accept what their plain forms accept; possessive repeats and
 the look-behind only keep long runs of one kind from being tried again from
 each of their characters.
 
-Cases: a null or empty text has no spans; repeated doc_ids share the terms of
-their entities but keep their own spans; spans may overlap between kinds, and
-are joined when text is replaced; other columns are kept or ignored.
+Cases: a null or empty text has no spans; an empty table stays empty; repeated
+doc_ids share the terms of their entities but keep their own spans; spans may
+overlap between kinds, and are joined when text is replaced; other columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -100,10 +103,25 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def entity(span: Column) -> Column:
-    """One name for the spellings of one value."""
-    v = span["value"]
-    return F.concat_ws(":", span["kind"].cast("string"), F.when(span["kind"] == 0, F.lower(v)).when(span["kind"] == 1, v).otherwise(F.regexp_replace(v, "[^0-9]", "")))
+def entities(span: Column) -> Column:
+    """Names of the entities of a span: the value, in one of its spellings, and what it belongs to."""
+    v, kind = span["value"], span["kind"]
+    digits = F.regexp_replace(v, "[^0-9]", "")
+    value = F.when(kind == 0, F.lower(v)).when(kind == 1, v).otherwise(digits)
+    holder = F.when(kind == 0, F.lower(F.substring_index(v, "@", -1))).when(kind == 1, F.substring_index(v, ".", 2)).when(kind == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 5))
+    return F.array(F.concat_ws(":", kind.cast("string"), value), F.concat_ws(":", kind.cast("string"), F.lit("of"), holder))
+
+
+def all_entities(spans: str) -> Column:
+    return F.array_distinct(F.flatten(F.transform(spans, entities)))
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``docs`` yet."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def classes(texts: DataFrame) -> DataFrame:
@@ -136,7 +154,7 @@ def disclosing_terms(marked: DataFrame, docs: DataFrame, *, min_contexts: int, d
     ``marked`` has text and spans of the documents with entities, ``docs`` all texts.
     """
     keyed = marked.withColumn("key", F.xxhash64("text"))
-    per = keyed.select("key", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity", "key").agg(F.count("*").alias("n"))
+    per = keyed.select("key", F.explode(all_entities("spans")).alias("entity")).groupBy("entity", "key").agg(F.count("*").alias("n"))
     per = save(per, "entities")
     often = per.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= min_contexts).select("entity", "n_e")
     held = save(per.join(often, "entity"), "repeated_entities")
@@ -159,27 +177,30 @@ def disclosing_terms(marked: DataFrame, docs: DataFrame, *, min_contexts: int, d
     seen = held.join(within.join(df, "term"), "key").where(rare)
     each = seen.groupBy("entity", "term", "class").agg(F.sum("n").alias("n"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
     evidence = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_classes"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
-    pmi = F.log(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
+    pmi = F.log((F.col("n_te") - 1) * total / (F.col("n_t") * F.col("n_e")))
     return evidence.where((F.col("n_classes") >= min_contexts) & (pmi >= disclosure * F.log(F.lit(total) / F.col("n_e")))).select("entity", "term")
 
 
-def mark(docs: DataFrame, *, text_col: str = "text", min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``docs`` with a column ``pii_spans``: base spans, then terms, in order of kind and start."""
+def mark(docs: DataFrame, *, text_col: str = "text", spans_col: str = "pii_spans", min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+    """``docs`` with a column ``spans_col``: base spans, then terms, in order of kind and start."""
+    if spans_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"{spans_col} is a column already: name another with spans_col")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = save(docs.withColumn("pii_spans", base_spans(text)), "base_spans")
-    found = rows.where(F.size("pii_spans") > 0)
-    entities = found.select(F.col(text_col).alias("text"), F.col("pii_spans").alias("spans"))
-    terms = disclosing_terms(entities, rows.select(F.col(text_col).alias("text")), min_contexts=min_contexts, disclosure=disclosure)
+    rows = save(docs.withColumn(spans_col, base_spans(text)), "base_spans")
+    found = rows.where(F.size(spans_col) > 0)
+    marked = found.select(F.col(text_col).alias("text"), F.col(spans_col).alias("spans"))
+    terms = disclosing_terms(marked, rows.select(F.col(text_col).alias("text")), min_contexts=min_contexts, disclosure=disclosure)
     if terms is None:
         return rows
     by_entity = save(terms, "terms")
-    tagged = found.withColumn("_row", F.xxhash64(text, F.to_json("pii_spans")))
-    named = tagged.select("_row", F.explode(F.array_distinct(F.transform("pii_spans", entity))).alias("entity")).distinct()
-    own = named.join(by_entity, "entity").groupBy("_row").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
-    pattern = F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), F.array_join("_terms", "|"), F.lit(f")(?!{WORD})"))
-    more = F.when(F.col("_terms").isNotNull(), F.filter(located(text, pattern, len(PATTERNS)), lambda t: ~F.exists("pii_spans", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))))
-    joined = tagged.join(own, "_row", "left").withColumn("pii_spans", F.concat("pii_spans", F.coalesce(more, F.array().cast(SPAN)))).drop("_row", "_terms")
-    return rows.where(F.size("pii_spans") == 0).unionByName(joined)
+    row, own_terms = free(rows, "_row"), free(rows, "_terms")
+    tagged = found.withColumn(row, F.xxhash64(text, F.to_json(spans_col)))
+    named = tagged.select(F.col(row).alias("row"), F.explode(all_entities(spans_col)).alias("entity")).distinct()
+    own = save(named.join(by_entity, "entity").groupBy("row").agg(F.array_sort(F.collect_set("term")).alias(own_terms)), "own_terms")
+    pattern = F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), F.array_join(own_terms, "|"), F.lit(f")(?!{WORD})"))
+    more = F.when(F.col(own_terms).isNotNull(), F.filter(located(text, pattern, len(PATTERNS)), lambda t: ~F.exists(spans_col, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))))
+    joined = tagged.join(own.withColumnRenamed("row", row), row, "left").withColumn(spans_col, F.concat(spans_col, F.coalesce(more, F.array().cast(SPAN)))).select(*rows.columns)
+    return rows.where(F.size(spans_col) == 0).unionByName(joined)
 
 
 def spelled(spans: Column) -> Column:
@@ -187,9 +208,9 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def report(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def report(marked: DataFrame, id_col: str = "doc_id", spans_col: str = "pii_spans") -> DataFrame:
     """Counts by kind, the digest of the base spans, and all spans."""
-    c = F.col("pii_spans")
+    c = F.col(spans_col)
     count = lambda i: F.size(F.filter(c, lambda s: s["kind"] == i)).cast("long")
     kinds = [count(i).alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
     base = F.filter(c, lambda s: s["kind"] < len(PATTERNS))
@@ -212,9 +233,9 @@ def replaced(text: Column, spans: Column, names: Column | None = None) -> Column
 
 def sanitise(docs: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
     """``docs`` with all spans replaced in the text; n_chars, where there is one, follows."""
-    text = F.col(text_col)
-    new = F.when(F.size("pii_spans") > 0, replaced(text, F.col("pii_spans"))).otherwise(text)
-    out = mark(docs, text_col=text_col, **how).withColumn(text_col, new)
+    text, spans = F.col(text_col), free(docs, "pii_spans")
+    new = F.when(F.size(spans) > 0, replaced(text, F.col(spans))).otherwise(text)
+    out = mark(docs, text_col=text_col, spans_col=spans, **how).withColumn(text_col, new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -83,3 +84,51 @@ def test_evidence_is_different_documents_whatever_stands_beside_the_entity(spark
     assert all(got[40 + i] == rows[20 + i][1].replace("q@near.org", "<EMAIL>") for i in range(8))
     kept = sum(w in got[i] for i, t in rows[:20] for w in t.split() if w in filler)
     assert kept == sum(w in filler for i, t in rows[:20] for w in t.split())
+
+
+def by_hand(rows, min_contexts=pii.MIN_CONTEXTS, disclosure=pii.DISCLOSURE):
+    """(doc_id, term) by the definition: PMI over IC of documents without near copies."""
+    words = {i: {w for w in re.findall(r"\w{3,}", re.sub("|".join(PLAIN.values()), " ", t).lower()) if not w.isdigit()} for i, t in rows}
+    everywhere = {i: set(re.findall(r"\w{3,}", t.lower())) for i, t in rows}
+    held = {}
+    for i, t in rows:
+        for kind, a, b in brute(t):
+            v = t[a:b].lower()
+            d = re.sub("[^0-9]", "", v)
+            of = {"email": v.split("@")[-1], "ip": ".".join(v.split(".")[:2]), "card": d[:6], "phone": d[:5]}[kind]
+            for e in ((kind, v if kind in ("email", "ip") else d), (kind, "of", of)):
+                held.setdefault(e, set()).add(i)
+    total, out = len(rows) + 1, set()
+    for ids in held.values():
+        for term in set().union(*(words[i] for i in ids)):
+            both = sum(term in words[i] for i in ids)
+            n_t = sum(term in w for w in everywhere.values())
+            if both >= min_contexts and math.log((both - 1) * total / (n_t * len(ids))) >= disclosure * math.log(total / len(ids)):
+                out |= {(i, term) for i in ids if term in words[i]}
+    return out
+
+
+def test_terms_equal_pmi_over_information_content_by_hand(spark):
+    rng = random.Random(13)
+    filler = [f"u{chr(97 + i % 26)}{chr(97 + i // 26)}z" for i in range(400)]
+    some = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    holders = ["acme.org", "near.net", "far.example.com"]
+    rows = []
+    for i in range(60):
+        h = rng.choice(holders)
+        word = {"acme.org": "Acmecorp", "near.net": "nearby", "far.example.com": "common"}[h]
+        rows.append((i, f"{some(12)} {word if rng.random() < 0.6 else ''} p{i % 17}@{h} {some(14)} {'10.20.' + str(i) + '.4 intranet' if i % 9 == 0 else ''} +49 30 12345{i % 6:02d}"))
+    rows += [(100 + i, some(25) + (" common" if i % 2 else "")) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {(r["doc_id"], text[r["doc_id"]][int(a) : int(b)].lower()) for r in pii.report(pii.mark(docs)).collect() for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"}
+    want = by_hand(rows)
+    assert got == want and {t for _, t in want} >= {"acmecorp", "nearby", "intranet"} and "common" not in {t for _, t in want}
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(i, f"text {i} zorbo a@b.org", ["x"], 1, "t", "r") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, PII_spans array<string>, _row int, _terms string, entity string")
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    assert all((r["PII_spans"], r["_row"], r["_terms"], r["entity"]) == (["x"], 1, "t", "r") and "@" not in r["text"] for r in out.collect())
