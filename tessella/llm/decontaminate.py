@@ -7,14 +7,16 @@ items alike, so two texts that share ``span`` words always share a kept gram at
 the same place in it. Documents are joined with the items on kept grams; each
 hit is extended to the windows around it, which are compared word by word.
 
-The items are held by the workers in blocks of at most ``block_words`` words,
-whatever the size of the benchmark: a larger one makes more passes over the
-documents, and the hits of the passes are put together by document.
+A benchmark of at most ``block_words`` words is held by the workers. A larger one
+is joined: of its kept grams and its windows two bit filters of FILTER_BITS go to
+the workers, whatever its size; documents send on the windows around their kept
+grams that pass both, and these are joined with the items' windows by 128 bits.
+The documents are read once either way.
 
 Cases: a null or empty text has no words and no hits; an item without words
-has no windows; repeated items each count; repeated doc_ids are kept apart by
-row as long as one pass suffices, and share their hits otherwise; columns
-beyond the id and the text are ignored.
+has no windows; repeated items each count; rows that repeat a doc_id come out
+one by one, with the hits of their own text; an empty benchmark hits nothing;
+columns beyond the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
-from tessella.llm.stage import bounded_batches, save
+from tessella.llm.stage import bounded_batches, save, text_key, without
 
 SPAN, GRAM = 10, 5
-#: Words of benchmark text that one pass holds: about 60 MB of tables in a worker.
+#: Words of benchmark text that workers hold: about 60 MB of tables in each.
 BLOCK_WORDS = 1_000_000
-HITS = "doc_id long, n_words long, starts binary, ends binary, items array<string>"
+#: Bits of each filter of a larger benchmark.
+FILTER_BITS = 1 << 27
+HITS = "doc_id long, key long, n_words long, starts binary, ends binary, items array<string>"
 
 
 def kept_grams(word_hashes: np.ndarray, gram: int, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +145,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary()), ("items", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary()), ("items", pa.list_(pa.string()))])
     for part, data, off in A.chunks(batches):
         hashes, first = doc_words(data, off)
         n = part.num_rows
@@ -155,48 +159,133 @@ def search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Recor
             s, e = merged(at[k] - first[i], at[k] + size[k] - first[i])
             starts[i], ends[i] = s.astype(np.int64).tobytes(), e.astype(np.int64).tobytes()
             names[i] = sorted(items.names[np.unique(item[k])])
-        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(starts, pa.binary()), pa.array(ends, pa.binary()), pa.array(names, pa.list_(pa.string()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(np.diff(first), pa.int64()), pa.array(starts, pa.binary()), pa.array(ends, pa.binary()), pa.array(names, pa.list_(pa.string()))], schema=schema)
+
+
+# --- a benchmark beyond block_words --------------------------------------------------------
+
+
+def window_hashes(h: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the ``size`` words at each place; windows of different sizes differ."""
+    other = (h[places] + A.U64(size)) * A.GRAM_KEYS[30]
+    for j in range(1, size):
+        other += h[places + j] * A.GRAM_KEYS[30 + j]
+    return A.hash_grams_at(h, places, size) + A.U64(size), A.mix(other)
+
+
+WINDOWS = pa.schema([("item", pa.string()), ("size", pa.int32()), ("h", pa.int64()), ("h2", pa.int64()), ("gram", pa.int64())])
+WINDOWS_TYPE = "item string, size int, h long, h2 long, gram long"
+
+
+def item_windows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Windows of items (item, text), and rows of size 0 for their kept grams."""
+    for part, data, off in A.chunks(batches):
+        hashes, first = doc_words(data, off)
+        names = part.column(0).to_pylist()
+        for i, name in enumerate(names):
+            h = hashes[first[i] : first[i + 1]]
+            if not len(h):
+                continue
+            size = min(span, len(h))
+            a, b = window_hashes(h, np.arange(len(h) - size + 1), size)
+            kept = np.unique(kept_grams(h, gram, span)[1]) if size == span else np.empty(0, A.U64)
+            n, k = len(a), len(kept)
+            cols = [np.r_[np.full(n, size), np.zeros(k, np.int64)].astype(np.int32), np.r_[a, np.zeros(k, A.U64)].view(np.int64), np.r_[b, np.zeros(k, A.U64)].view(np.int64), np.r_[np.zeros(n, A.U64), kept].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (n + k), pa.string()), *map(pa.array, cols)], schema=WINDOWS)
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits with those of the column ``h`` set."""
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(FILTER_BITS // 64 - 1)
+    rows = hashes.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, A.U64)
+    out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(A.U64)
+    return out
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    word = (h >> A.U64(6)) & A.U64(len(bits) - 1)
+    return (bits[word.astype(np.int64)] >> (h & A.U64(63))) & A.U64(1) == 1
+
+
+PROBED = "doc_id long, key long, n_words long, found array<struct<at:long,size:int,h:long,h2:long>>"
+
+
+def probe(batches: Iterator[pa.RecordBatch], sizes: list[int], grams: np.ndarray, windows: np.ndarray, span: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Each document with its windows that pass the filters."""
+    for part, data, off in A.chunks(batches):
+        h, first = doc_words(data, off)
+        docs, ats, every, hs, h2s = ([] for _ in range(5))
+        for size in sizes:
+            if len(h) < size:
+                continue
+            if size == span:
+                at, kept = kept_grams(h, gram, span)
+                at = at[passes(grams, kept)]
+                places = np.unique(np.add.outer(at, -np.arange(span - gram + 1)).ravel())
+                places = places[places >= 0]
+            else:
+                places = np.arange(len(h) - size + 1)
+            doc = np.searchsorted(first, places, "right") - 1
+            places = places[places + size <= first[doc + 1]]
+            a, b = window_hashes(h, places, size)
+            ok = passes(windows, a)
+            places = places[ok]
+            doc = np.searchsorted(first, places, "right") - 1
+            docs.append(doc)
+            ats.append(places - first[doc])
+            every.append(np.full(len(places), size, np.int32))
+            hs.append(a[ok].view(np.int64))
+            h2s.append(b[ok].view(np.int64))
+        doc = np.concatenate([np.empty(0, np.int64), *docs])
+        order = np.argsort(doc, kind="stable")
+        edge = np.searchsorted(doc[order], np.arange(part.num_rows + 1))
+        fields = [np.concatenate([np.empty(0, t), *x])[order] for x, t in ((ats, np.int64), (every, np.int32), (hs, np.int64), (h2s, np.int64))]
+        found = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in fields], ["at", "size", "h", "h2"]))
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(np.diff(first), pa.int64()), found], names=["doc_id", "key", "n_words", "found"])
 
 
 def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Put the hits of several passes over one document together."""
+    """Rows (doc_id, key, n_words, spots, names): the union of the windows found."""
     for batch in batches:
         rows = batch.to_pydict()
         out = []
-        for s, e in zip(rows["starts"], rows["ends"], strict=True):
-            out.append(merged(np.frombuffer(b"".join(s), np.int64), np.frombuffer(b"".join(e), np.int64)))
-        names = [sorted({x for part in p for x in part}) for p in rows["items"]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0].tobytes() for x in out], pa.binary()), pa.array([x[1].tobytes() for x in out], pa.binary()), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "starts", "ends", "items"])
+        for spots in rows["spots"]:
+            at, size = np.array([x["at"] for x in spots or ()], np.int64), np.array([x["size"] for x in spots or ()], np.int64)
+            out.append(merged(at, at + size))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x[0].tobytes() for x in out], pa.binary()), pa.array([x[1].tobytes() for x in out], pa.binary()), pa.array([sorted(x or ()) for x in rows["names"]], pa.list_(pa.string()))], names=["doc_id", "key", "n_words", "starts", "ends", "items"])
+
+
+def joined_hits(texts: DataFrame, bench: DataFrame, span: int, gram: int) -> DataFrame:
+    spark = texts.sparkSession
+    windows = save(bench.mapInArrow(lambda it: item_windows(it, span, gram), WINDOWS_TYPE), "benchmark_windows")
+    sizes = sorted(r[0] for r in windows.where("size > 0").select("size").distinct().collect())
+    own = windows.where("size > 0").select("size", "h", "h2", "item").distinct()
+    filters = spark.sparkContext.broadcast((bit_filter(windows.where("size = 0").select(F.col("gram").alias("h"))), bit_filter(own)))
+    rows = save(texts.mapInArrow(lambda it: probe(it, sizes, *filters.value, span, gram), PROBED), "winnowed")
+    each = rows.select("doc_id", "key", F.explode("found").alias("w")).select("doc_id", "key", "w.*")
+    hits = each.join(own, ["size", "h", "h2"]).groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "size")).alias("spots"), F.collect_set("item").alias("names"))
+    hits = save(hits.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "window_hits")
+    whole = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_id"]) & rows["key"].eqNullSafe(hits["_key"]), "left")
+    return whole.select("doc_id", "key", "n_words", "spots", "names").mapInArrow(unite, HITS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: its words, the hit runs [start, end) of words, and the items found.
 
-    starts and ends are little-endian int64 arrays; items are sorted as strings.
+    starts and ends are little-endian int64 arrays; items are sorted as strings;
+    key tells rows of one doc_id apart.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
-    size = bench.agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).first()["n"] or 0
-    # a word has a character and a delimiter at least, so this bounds the words of a block from above
-    blocks = max(1, -(-size // (2 * block_words)))
-    passes = []
-    for b in range(blocks):
-        mine = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        rows = mine.collect()
-        items = Items([r["item"] for r in rows], [r["text"] for r in rows], span, gram)
-        shared = spark.sparkContext.broadcast(items)
-        passes.append(texts.mapInArrow(lambda it, s=shared: search(it, s.value), HITS))
-        if blocks > 1:
-            passes[-1] = save(passes[-1], "winnowed")
-    if blocks == 1:
-        return passes[0]
-    whole = passes[0]
-    for more in passes[1:]:
-        whole = whole.unionByName(more)
-    lists = whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"), F.collect_list("items").alias("items"))
-    return lists.mapInArrow(unite, HITS)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null")
+    size = bench.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).first()["n"] or 0
+    if size > 2 * block_words:  # a word has a byte and a delimiter at least
+        return joined_hits(texts, bench, span, gram)
+    rows = bench.collect()
+    shared = spark.sparkContext.broadcast(Items([r["item"] for r in rows], [r["text"] for r in rows], span, gram))
+    return texts.mapInArrow(lambda it: search(it, shared.value), HITS)
 
 
 def digest(hits: DataFrame) -> DataFrame:
@@ -207,16 +296,21 @@ def digest(hits: DataFrame) -> DataFrame:
             d = b.to_pydict()
             n = [int(np.frombuffer(e, np.int64).sum() - np.frombuffer(s, np.int64).sum()) for s, e in zip(d["starts"], d["ends"], strict=True)]
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in d["items"]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([len(x) for x in d["items"]], pa.int64()), pa.array(sha), pa.array([x > 0 for x in n])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([len(x) for x in d["items"]], pa.int64()), pa.array(sha), pa.array([x > 0 for x in n])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return hits.mapInArrow(count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, **how) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Documents whose share of hit words is at most ``max_share``; all their columns are kept.
 
     Documents without words stay.
     """
-    found = digest(contamination(docs, benchmark, **how)).where(F.col("n_hit") > max_share * F.col("n_words")).select(F.col("doc_id").alias("_hit")).distinct()
-    key = how.get("id_col", "doc_id")
-    return docs.join(found, docs[key].cast("long") == found["_hit"], "left_anti")
+
+    def dirty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = np.array([int(np.frombuffer(e, np.int64).sum() - np.frombuffer(s, np.int64).sum()) for s, e in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)], np.int64)
+            yield b.select([0, 1]).filter(pa.array(hit > max_share * b.column(2).to_numpy()))
+
+    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **how)
+    return without(docs, found.mapInArrow(dirty, "doc_id long, key long"), id_col, text_col)

@@ -59,3 +59,24 @@ def test_clean_keeps_columns_and_empty_tables_work(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in brute(docs, items) if not r[5]}
     assert D.clean(d, b.limit(0)).count() == len(docs)
     assert D.digest(D.contamination(d.limit(0), b)).count() == 0
+
+
+@pytest.mark.parametrize("block_words", [D.BLOCK_WORDS, 20])
+def test_rows_of_one_doc_id_come_out_one_by_one(spark, block_words):
+    _, items = tables()
+    long = next(t for _, t in items if t and len(words(t)) == 30)
+    docs = [(1, "clean text of its own"), (1, "x " + long), (2, "other"), (1, "x " + long), (None, long), (3, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string").where("length(text) > 60")
+    got = D.digest(D.contamination(d, b, block_words=block_words)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, D.digest(D.contamination(d, b)).collect())) and len(got) == len(docs)
+    assert sorted((str(r["doc_id"]), r["n_hit"] > 0) for r in got) == [("1", False), ("1", True), ("1", True), ("2", False), ("3", False), ("None", True)]
+    assert sorted(str(r["doc_id"]) for r in D.clean(d, b, block_words=block_words).collect()) == ["1", "2", "3"]
+
+
+def test_words_whose_polynomial_hashes_agree_are_told_apart(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    d = spark.createDataFrame([(1, f"{two} " * 12)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, f"{one} " * 12)], "item_id long, text string")
+    assert D.digest(D.contamination(d, b)).first()["n_hit"] == 0
