@@ -59,7 +59,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 @query(OP1_SQL)
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_groups(table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_groups(table(spark, sf_dir, "documents")).drop("key")
 
 
 @query()

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 
 from tessella.llm import arrays as A
 
-#: Hashes of one batch: bounds a worker's memory.
-BATCH = 600_000
+#: Hashes of one batch and of one row of a bundle: bound a worker's memory and the size of a row.
+BATCH, BUNDLE_GRAMS = 200_000, 25_000
 MAX_OWNERS = 65_000
 MANY = 0xFFFF
 KEY = "n int, hi long, lo long"
@@ -68,7 +68,8 @@ def cut(grams: np.ndarray, owner: np.ndarray, table: np.ndarray, fragments: int)
     many = count > 1
     one = np.where(many, MANY, owner[begin]).astype(np.uint16)
     each = grams[begin]
-    bounds = np.searchsorted(fragment_of(each, fragments), np.arange(fragments + 1))
+    part = fragment_of(each, fragments)
+    bounds = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
     rows = []
 
     def put(group: int, g: np.ndarray, o: np.ndarray) -> None:
@@ -77,10 +78,8 @@ def cut(grams: np.ndarray, owner: np.ndarray, table: np.ndarray, fragments: int)
         local[o == MANY] = MANY
         rows.append((group, packed(g), local.tobytes(), table[used].tobytes()))
 
-    for f in range(fragments):
-        a, b = bounds[f], bounds[f + 1]
-        if b > a:
-            put(f, each[a:b], one[a:b])
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        put(int(part[a]), each[a:b], one[a:b])
     common = np.repeat(many, count)
     if common.any():
         put(fragments + int(table["hi"][0]) % fragments, grams[common], owner[common])
@@ -129,7 +128,9 @@ def bundles(grams: np.ndarray, who: np.ndarray, table: np.ndarray, owners: np.nd
     begin = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
     size = np.diff(np.r_[begin, len(grams)]).astype(np.uint32)
     bucket = (who[begin] % A.U64(buckets)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    # rows of some BUNDLE_GRAMS, and of one owner at least
+    turn = begin // BUNDLE_GRAMS
+    first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (turn[1:] != turn[:-1])])
     rows = []
     for a, b in zip(first, np.r_[first[1:], len(begin)], strict=True):
         end = begin[b] if b < len(begin) else len(grams)

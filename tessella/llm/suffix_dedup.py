@@ -16,8 +16,10 @@ prefix on. In the sorted order, windows at one distance before their anchors
 are equal where the shared prefixes are long enough and the bytes before the
 anchors agree; all but the first of equal windows are removed.
 
-A gram of a third of all documents meets in one merger as 12 bytes a copy and
-the differing bytes; copies in one run are coded by their length alone.
+Equal suffixes of one run with equal windows are sent once, as their first copy:
+the others repeat it, so all their windows go at once. A passage of a third of
+all documents so costs a merger a row for each run, not for each copy, and the
+suffixes at its ends, which differ.
 
 Cases: a null or empty text has no bytes and no spans; texts under LENGTH bytes
 stay; rows that repeat a doc_id and its text are all judged as that one document,
@@ -113,42 +115,101 @@ def gram_slices(batches: Iterator[pa.RecordBatch], fragments: int) -> Iterator[p
 RUNS = pa.schema([("grp", pa.int32()), ("docs", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("least", pa.binary()), ("most", pa.binary()), ("shared", pa.binary()), ("text", pa.binary())])
 RUN_TYPE = "grp int, docs binary, doc binary, place binary, least binary, most binary, shared binary, text binary"
 DOC_DTYPE = np.dtype([("id", "<i8"), ("key", "<i8")])
+#: Most bytes of a suffix: right of its anchor, and left of it.
+LONGEST = LENGTH + WINDOW - 1
 
 
 class Runs:
-    """Collects suffixes at anchors and gives them out as front-coded sorted runs."""
+    """Collects suffixes at anchors and gives them out as front-coded sorted runs.
 
-    def __init__(self, groups: int):
-        self.groups, self.docs, self.rows = groups, [], []
+    A suffix is bytes ``size`` of one buffer; nothing here is an object for each.
+    """
 
-    def add(self, text: bytes, doc: tuple[int, int], place: np.ndarray, least: np.ndarray, most: np.ndarray, h: np.ndarray) -> None:
-        number = len(self.docs)
-        self.docs.append(doc)
-        group = ((A.mix(h) >> A.U64(32)) * A.U64(self.groups) >> A.U64(32)).tolist()
-        for g, p, a, b in zip(group, place.tolist(), least.tolist(), most.tolist(), strict=True):
-            self.rows.append((g, text[p : p + LENGTH - a] + text[p - b : p][::-1], number, p, a, b))
+    def __init__(self, groups: int):
+        self.groups = groups
+        self.clear()
+
+    def clear(self) -> None:
+        self.texts, self.parts, self.docs, self.held, self.n_docs = [], [], [], 0, 0
+
+    def add(self, data: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray, h: np.ndarray, table: np.ndarray) -> None:
+        """Suffixes at ``at`` in ``data``; ``place`` counts from the starts of their texts, ``doc`` is a row of ``table``."""
+        size = LENGTH - least + most
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first, size).astype(np.int32)
+        right = np.repeat((LENGTH - least).astype(np.int32), size)
+        where = np.where(step < right, step, right - 1 - step)  # right of the anchor, then backwards from it
+        self.texts.append(data[np.repeat(at, size) + where])
+        group = ((A.mix(h) >> A.U64(32)) * A.U64(self.groups) >> A.U64(32)).astype(np.uint32)
+        self.parts.append((group, size.astype(np.uint8), (doc + self.n_docs).astype(np.int64), place.astype(np.uint32), least.astype(np.uint8), most.astype(np.uint8)))
+        self.docs.append(table)
+        self.held, self.n_docs = self.held + len(at), self.n_docs + len(table)
+
+    def order(self, text: np.ndarray, begin: np.ndarray, group: np.ndarray, size: np.ndarray, doc: np.ndarray, place: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order by group, text, least, document, place; padded texts in that order)."""
+        n = len(group)
+        row = np.zeros((n, 4 + LONGEST + 2 + 8 + 4), np.uint8)
+        row[:, :4] = group.astype(">u4").view(np.uint8).reshape(n, 4)
+        for k in range(0, n, 8192):  # pad a few at a time
+            some = slice(k, min(k + 8192, n))
+            inside = np.arange(LONGEST) < size[some, None]
+            row[some, 4 : 4 + LONGEST][inside] = text[begin[k] : begin[k] + int(size[some].sum())]
+        row[:, 4 + LONGEST], row[:, 5 + LONGEST] = size, least
+        ids = (np.concatenate(self.docs)["id"][doc].view(A.U64) ^ A.U64(1 << 63)).astype(">u8")
+        row[:, 6 + LONGEST : 14 + LONGEST] = ids.view(np.uint8).reshape(n, 8)
+        row[:, 14 + LONGEST :] = place.astype(">u4").view(np.uint8).reshape(n, 4)
+        order = np.argsort(row.view(f"V{row.shape[1]}").ravel(), kind="stable")
+        return order, row[order]
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.rows:
+        if not self.held:
             return
-        self.rows.sort()
-        table = np.array(self.docs, DOC_DTYPE)
-        group, text, doc, place, least, most = zip(*self.rows, strict=True)
-        edges = np.searchsorted(group, np.arange(self.groups + 1))
+        group, size, doc, place, least, most = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        text, table = np.concatenate(self.texts), np.concatenate(self.docs)
+        begin = np.cumsum(size, dtype=np.int64) - size
+        self.texts, self.parts = [], []
+        order, row = self.order(text, begin, group, size, doc, place, least)
+        del text, begin
+        self.clear()
+        group, size, doc, place, least, most = (x[order] for x in (group, size, doc, place, least, most))
+        # the first of each class of equal suffixes and windows; what repeats it goes whole
+        upto = 6 + LONGEST
+        new = np.r_[True, (row[1:, :upto] != row[:-1, :upto]).any(axis=1)]
+        cls = np.cumsum(new) - 1
+        head = np.flatnonzero(new)
+        copy = (row[:, upto:] != row[head][cls][:, upto:]).any(axis=1)
         out = []
-        for g in np.flatnonzero(np.diff(edges)):
-            a, b = edges[g], edges[g + 1]
-            used, local = np.unique(np.array(doc[a:b]), return_inverse=True)
-            shared, rest, before = bytearray(b - a), [], b""
-            for i, s in enumerate(text[a:b]):
-                n = common(before, s, 0)
-                shared[i] = n
-                rest.append(s[n:])
-                before = s
-            out.append((int(g), table[used].tobytes(), local.astype(np.uint32).tobytes(), np.array(place[a:b], np.uint32).tobytes(), bytes(least[a:b]), bytes(most[a:b]), bytes(shared), b"".join(rest)))
-        self.docs, self.rows = [], []
+        if copy.any():
+            out.append(self.copies(table, doc[copy], place[copy].astype(np.int64), least[copy], most[copy]))
+        keep = ~copy
+        row, group, size, doc, place, least, most = row[keep, 4 : 4 + LONGEST], group[keep], size[keep], doc[keep], place[keep], least[keep], most[keep]
+        shared = np.zeros(len(size), np.uint8)
+        for k in range(1, len(size), 8192):
+            to = min(k + 8192, len(size))
+            differ = row[k:to] != row[k - 1 : to - 1]
+            same = np.where(differ.any(axis=1), differ.argmax(axis=1), LONGEST)
+            shared[k:to] = np.minimum(np.minimum(same, size[k:to]), size[k - 1 : to - 1])
+        edge = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
+        shared[edge[:-1]] = 0  # a run starts here
+        span = np.arange(LONGEST)
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            used, local = np.unique(doc[a:b], return_inverse=True)
+            rest = row[a:b][(span >= shared[a:b, None]) & (span < size[a:b, None])]
+            out.append((int(group[a]), table[used].tobytes(), local.astype(np.uint32).tobytes(), place[a:b].tobytes(), least[a:b].tobytes(), most[a:b].tobytes(), shared[a:b].tobytes(), rest.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), RUNS.types, strict=True)], schema=RUNS)
 
+    def copies(self, table: np.ndarray, doc: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple:
+        """A row of whole intervals to remove, for a group beyond those of the mergers."""
+        order = np.lexsort((place - most, doc))
+        doc, starts, ends = doc[order], (place - most)[order], (place - least.astype(np.int64) + LENGTH)[order]
+        base = doc * (1 << 40)  # documents apart, so that one pass merges the intervals of all
+        starts, ends = merged(starts + base, ends + base)
+        doc = starts >> 40
+        starts, ends = starts - doc * (1 << 40), ends - doc * (1 << 40)
+        used, local = np.unique(doc, return_inverse=True)
+        number = self.groups + int(table["id"][used[0]] % self.groups)
+        return (number, table[used].tobytes(), local.astype(np.uint32).tobytes(), starts.tobytes(), b"", b"", b"", ends.tobytes())
+
 
 def common(a: bytes, b: bytes, at: int) -> int:
     """Length of the common prefix of two strings that agree on the first ``at`` bytes."""
@@ -164,25 +225,21 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.R
     runs = Runs(groups)
     for part, data, off in A.chunks(batches, size=CHUNK):
         grams = part.column(part.schema.get_field_index("grams"))
-        table = owners(part)
-        texts = part.column(part.schema.get_field_index("text"))
-        keep = [np.frombuffer(x, A.U64) for x in grams.to_pylist()]
+        table = np.zeros(part.num_rows, DOC_DTYPE)
+        table["id"], table["key"] = part.column(0).to_numpy(), part.column(1).to_numpy()
+        keep = [np.frombuffer(x.as_buffer(), A.U64) for x in grams]
         for piece, edges, base in pieces(data, off):
             doc, place, least, most, h = anchors(piece, edges)
             cut = np.searchsorted(doc, np.arange(len(edges)))
+            known = np.zeros(len(doc), bool)
             for i in range(len(edges) - 1):
-                a, b = cut[i], cut[i + 1]
-                if a == b:
-                    continue
-                known = np.isin(h[a:b], keep[i])
-                if known.any():
-                    text = texts[i].as_buffer().to_pybytes() if base == 0 else piece.tobytes()
-                    at = place[a:b][known]
-                    runs.add(text, (int(table["hi"][i]), int(table["lo"][i])), at - edges[i] if base == 0 else at, least[a:b][known], most[a:b][known], h[a:b][known])
-                    if base:  # places are counted from the start of the text
-                        runs.rows[-len(at) :] = [(g, s, d, p + base, x, y) for g, s, d, p, x, y in runs.rows[-len(at) :]]
-        if len(runs.rows) > RUN or len(runs.docs) > RUN:
-            yield from runs.flush()
+                known[cut[i] : cut[i + 1]] = np.isin(h[cut[i] : cut[i + 1]], keep[i])
+            for k in range(0, len(doc), RUN):
+                some = np.flatnonzero(known[k : k + RUN]) + k
+                if len(some):
+                    runs.add(piece, place[some], doc[some], place[some] - edges[doc[some]] + base, least[some], most[some], h[some], table)
+                if runs.held > RUN or runs.n_docs > RUN:
+                    yield from runs.flush()
     yield from runs.flush()
 
 
@@ -257,8 +314,21 @@ SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.bi
 SPAN_TYPE = "doc_id long, key long, starts binary, ends binary"
 
 
-def repeats(group: pa.Table) -> pa.Table:
+def copied_spans(group: pa.Table) -> pa.Table:
+    """The intervals of Runs.copies(), by document."""
+    out = []
+    for r in group.to_pylist():
+        table, doc = np.frombuffer(r["docs"], DOC_DTYPE), np.frombuffer(r["doc"], np.uint32)
+        starts, ends = np.frombuffer(r["place"], np.int64), np.frombuffer(r["text"], np.int64)
+        edge = np.searchsorted(doc, np.arange(len(table) + 1))
+        out += [(int(table["id"][i]), int(table["key"][i]), starts[a:b].tobytes(), ends[a:b].tobytes()) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SPANS.types, strict=True)], schema=SPANS)
+
+
+def repeats(group: pa.Table, groups: int) -> pa.Table:
     """Intervals of bytes to remove, by document, from the sorted runs of one merger."""
+    if group["grp"][0].as_py() >= groups:
+        return copied_spans(group)
     cols = {c: [x.as_buffer().to_pybytes() for x in group[c]] for c in RUNS.names[1:]}
     docs, run_at, base = [], [0], 0
     doc, place, least, most = [], [], [], []
@@ -356,7 +426,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     count = own.agg(F.sum(F.length("grams")).alias("n")).first()["n"] or 0
     groups = max(2, math.ceil(count / 8 / MERGE))
     runs = texts.join(own, ["doc_id", "key"]).select("doc_id", "key", F.encode("text", "UTF-8").alias("text"), "grams").mapInArrow(lambda it: sorted_runs(it, groups), RUN_TYPE)
-    return save(runs.groupBy("grp").applyInArrow(repeats, SPAN_TYPE), "repeats")
+    return save(runs.groupBy("grp").applyInArrow(lambda t: repeats(t, groups), SPAN_TYPE), "repeats")
 
 
 def removed(texts: DataFrame) -> DataFrame:
