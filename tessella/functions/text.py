@@ -47,3 +47,9 @@ def cluster_address(address: str | None, port: int = 6379) -> str | None:
     if not address or "://" in address or address == "auto":
         return address
     return address if ":" in address else f"{address}:{port}"
+
+
+def unit(*parts: Column) -> Column:
+    """A number in [0, 1) drawn by an MD5 of the parts: the same in every engine."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import creature_id
+from tessella.functions.text import creature_id, unit
 from tessella.session import ship
 from tessella.sources.tables import stage
 
@@ -48,12 +48,14 @@ def insertion_status(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("status", status)
 
 
-def gated(rows: DataFrame, centroids: DataFrame, scales: tuple[float, float, float] = (1.0, 1.0, 1.0), *, run: str = "run_id", epsilon: float = EPSILON, override: float = OVERRIDE) -> DataFrame:
+def gated(rows: DataFrame, centroids: DataFrame, scales: tuple[float, float, float] = (1.0, 1.0, 1.0), *, run: str = "run_id", epsilon: float = EPSILON, override: float = OVERRIDE, before: dict[int, float] | None = None) -> DataFrame:
     """(run, arrival, cell, status) with the similarity gate, folded in order of arrival per run.
 
     A candidate for an empty cell is too similar if its scaled descriptors lie
     within ``epsilon`` of an occupied centroid, unless its quality exceeds
-    ``override`` times that of the nearest one's resident.
+    ``override`` times that of the nearest one's resident. ``before`` has the
+    qualities of cells that are occupied at the start, so a search folds each
+    generation once; it is bounded by the number of cells.
     """
     ship(rows.sparkSession)
     centre = np.array([[r["c0"], r["c1"], r["c2"]] for r in centroids.orderBy("idx").collect()], float)
@@ -61,7 +63,7 @@ def gated(rows: DataFrame, centroids: DataFrame, scales: tuple[float, float, flo
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("arrival")
-        held: dict[int, float] = {}
+        held: dict[int, float] = dict(before or {})
         cells, status = [], []
         for d0, d1, d2, q in zip(pdf["d0"], pdf["d1"], pdf["d2"], pdf["quality"], strict=True):
             if pd.isna(q) or pd.isna(d0):
@@ -91,6 +93,33 @@ def gated(rows: DataFrame, centroids: DataFrame, scales: tuple[float, float, flo
     return rows.select(run, "arrival", "d0", "d1", "d2", "quality").groupBy(run).applyInPandas(fold, f"{run} {kind}, arrival long, cell long, status string")
 
 
+def union(*archives: DataFrame, run: str = "run_id") -> DataFrame:
+    """The rows of several archives with an id across all of them, in the order of run and cell.
+
+    Archives have bounded numbers of cells; the ids are one window over all.
+    """
+    whole = archives[0]
+    for more in archives[1:]:
+        whole = whole.unionByName(more, allowMissingColumns=True)
+    return whole.withColumn("id", (F.row_number().over(Window.orderBy(run, "cell")) - 1).cast("long"))
+
+
+def located(spark, path: str) -> str:
+    """The archive table that ``path`` means: itself, the one in it, or that of its only run; else an error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    there = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p))
+    if path.rstrip("/").endswith("/archive") and there(path):
+        return path.rstrip("/")
+    if there(f"{path}/archive"):
+        return f"{path.rstrip('/')}/archive"
+    runs = [f.getPath().toString() for f in fs.listStatus(at) if there(f"{f.getPath().toString()}/archive")] if fs.exists(at) else []
+    if len(runs) != 1:
+        raise FileNotFoundError(f"{path} has {len(runs)} archives, not one" if fs.exists(at) else f"{path} does not exist")
+    return f"{runs[0]}/archive"
+
+
 def fill(best: DataFrame, capacity: int, *keys: str) -> DataFrame:
     return best.groupBy(*keys).agg(F.countDistinct("cell").alias("occupied")).withColumn("fill", F.col("occupied") / F.lit(float(capacity)))
 
@@ -100,13 +129,13 @@ def with_creature_id(rows: DataFrame, run: str = "run_id", seed: str = "seed") -
 
 
 def random_parents(children: DataFrame, best: DataFrame, seed: int, *, key: str = "child") -> DataFrame:
-    """Each child with a uniformly drawn occupied cell as its parent.
+    """Each child with a uniformly drawn occupied cell as its parent, by unit() of seed and child.
 
     Occupied cells are bounded by the capacity; children are not shuffled.
     """
     numbered = best.withColumn("_n", (F.row_number().over(Window.orderBy("cell")) - 1).cast("long"))
     total = numbered.agg(F.count("*").alias("_total"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.greatest(F.col("_total"), F.lit(1)))
+    draw = F.least(F.floor(unit(F.lit(seed), F.col(key)) * F.col("_total")), F.col("_total") - 1).cast("long")
     drawn = children.crossJoin(F.broadcast(total)).withColumn("_n", draw)
     return drawn.join(F.broadcast(numbered.select("_n", F.col("cell").alias("parent_cell"), F.col("arrival").alias("parent"))), "_n", "left").drop("_n", "_total")
 
@@ -136,13 +165,12 @@ def stream_fold(key: str = "run_id") -> tuple:
         cells, quality = state.get if state.exists else ([], [])
         held = dict(zip(cells, quality, strict=True))
         out = []
-        for pdf in batches:
-            for cell, q, arrival in pdf.sort_values("arrival")[["cell", "quality", "arrival"]].itertuples(index=False):
-                if pd.isna(q):
-                    continue
-                if cell not in held or q > held[cell]:
-                    out.append((keys[0], int(cell), float(q), int(arrival), REPLACED if cell in held else INSERTED))
-                    held[cell] = float(q)
+        # a key's rows come in several Arrow batches: their order is that of all of them
+        rows = pd.concat([b[["cell", "quality", "arrival"]] for b in batches]).dropna(subset=["cell", "quality"]).sort_values("arrival")
+        for cell, q, arrival in rows.itertuples(index=False):
+            if cell not in held or q > held[cell]:
+                out.append((keys[0], int(cell), float(q), int(arrival), REPLACED if cell in held else INSERTED))
+                held[cell] = float(q)
         state.update(([int(c) for c in held], [float(q) for q in held.values()]))
         yield pd.DataFrame(out, columns=[key, "cell", "quality", "arrival", "status"])
 

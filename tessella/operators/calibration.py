@@ -7,9 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.text import unit
+from tessella.sources.tables import stage
+
 AXES = ("d0", "d1", "d2")
 #: Survivors below which centroids are spread uniformly instead of fitted.
 MIN_SURVIVORS = 20
+#: Centroids of one array.
+BLOCK = 50_000
 
 
 def survivors(rollouts: DataFrame) -> DataFrame:
@@ -31,22 +36,26 @@ def axis_scale(rollouts: DataFrame, *keys: str) -> DataFrame:
 def nearest(points: DataFrame, centroids: DataFrame, idx: str = "idx", axes: tuple[str, ...] = AXES, centre: tuple[str, ...] = ("c0", "c1", "c2")) -> DataFrame:
     """points with the idx of their nearest centroid (the lower idx of equals).
 
-    Centroids are bounded by the archive's capacity, so they are one array in
-    each row's reach: no join by distance, no shuffle of the points.
+    Centroids go in blocks of BLOCK, each one array in every row's reach: no join
+    by distance, no shuffle of the points. An archive's capacity makes one block;
+    more are folded one after another.
     """
-    n = centroids.count()
-    if n > 100_000:
-        raise ValueError(f"{n} centroids; an archive has a bounded number of cells")
-    packed = centroids.agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(centre)]))).alias("_cells"))
+    n = max(1, centroids.count())
+    blocks = -(-n // BLOCK)
+    out = points.withColumn("_b", F.lit(None).cast(f"struct<d2:double,i:{centroids.schema[idx].dataType.simpleString()}>"))
     gap = lambda s: reduce(lambda a, b: a + b, [(s[f"v{k}"] - F.col(a)) * (s[f"v{k}"] - F.col(a)) for k, a in enumerate(axes)])
-    best = F.array_min(F.transform("_cells", lambda s: F.struct(gap(s).alias("d2"), s["i"].alias("i"))))
-    out = points.crossJoin(F.broadcast(packed)).withColumn("_b", best)
-    return out.withColumn("cell", F.col("_b.i")).withColumn("cell_distance2", F.col("_b.d2")).drop("_cells", "_b")
+    for b in range(blocks):
+        mine = centroids if blocks == 1 else centroids.where(F.pmod(F.xxhash64(idx), F.lit(blocks)) == b)
+        packed = mine.agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(centre)]))).alias("_cells"))
+        best = F.array_min(F.transform("_cells", lambda s: F.struct(gap(s).alias("d2"), s["i"].alias("i"))))
+        out = out.crossJoin(F.broadcast(packed)).withColumn("_b", F.least("_b", best)).drop("_cells")
+    return out.withColumn("cell", F.col("_b.i")).withColumn("cell_distance2", F.col("_b.d2")).drop("_b")
 
 
 def kmeans(points: DataFrame, start: DataFrame, rounds: int = 30, axes: tuple[str, ...] = AXES) -> DataFrame:
     """Lloyd's algorithm from the given centroids (idx, c0, c1, c2); empty cells stay where they are."""
     spark = points.sparkSession
+    points = stage(points.select(*axes), "points")  # read by every round
     schema = "idx long, c0 double, c1 double, c2 double"
     now = [(r["idx"], r["c0"], r["c1"], r["c2"]) for r in start.orderBy("idx").collect()]
     for _ in range(rounds):
@@ -69,7 +78,7 @@ def spread_points(points: DataFrame, k: int, key: str) -> DataFrame:
 def uniform_centroids(points: DataFrame, k: int, seed: int = 0, low: float = 0.0, high: float = 10.0) -> DataFrame:
     """k centroids uniform in the box of the points, or in [low, high]^3 without any."""
     ends = points.agg(*[f(a).alias(f"{n}{i}") for i, a in enumerate(AXES) for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.col("id")), F.lit(1 << 52)) / float(1 << 52)) for i in range(3)]
+    u = [unit(F.lit(seed), F.lit(i), F.col("id")) for i in range(3)]
     rows = points.sparkSession.range(k).crossJoin(F.broadcast(ends))
     return rows.select(F.col("id").alias("idx"), *[(F.coalesce(F.col(f"lo{i}"), F.lit(low)) + u[i] * (F.coalesce(F.col(f"hi{i}"), F.lit(high)) - F.coalesce(F.col(f"lo{i}"), F.lit(low)))).alias(f"c{i}") for i in range(3)])
 

@@ -137,9 +137,25 @@ def experiments(spark: SparkSession, parsed: list[Experiment]) -> DataFrame:
 
 
 def with_sources(frame: DataFrame, archive: DataFrame) -> DataFrame:
-    """One row per experiment and source, with its creature; ``found`` says whether the archive has it."""
-    rows = frame.select("name", "patch", F.posexplode("sources").alias("species", "source")).select("name", "species", "source.run_id", "source.creature_id", "source.n", F.coalesce("source.patch", "patch").alias("patch"))
-    return rows.join(archive.withColumn("found", F.lit(True)), "creature_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    """One row per experiment and source, with its creature; ``found`` says whether the archive has it.
+
+    A source names its creature, or in older files the coordinates of a cell of
+    its run, where the archive has columns run_id and coordinates.
+    """
+    rows = frame.select("name", "patch", F.posexplode("sources").alias("species", "source")).select("name", "species", "source.run_id", "source.creature_id", "source.cell", "source.n", F.coalesce("source.patch", "patch").alias("patch"))
+    if "coordinates" in archive.columns:
+        by_cell = archive.select(F.col("run_id").alias("_run"), F.col("coordinates").alias("_cell"), F.col("creature_id").alias("_creature"))
+        rows = rows.join(by_cell, rows["creature_id"].isNull() & (rows["run_id"] == by_cell["_run"]) & (rows["cell"] == by_cell["_cell"]), "left").withColumn("creature_id", F.coalesce("creature_id", "_creature")).drop("_run", "_cell", "_creature")
+    own = archive.drop("run_id", "coordinates", "cell", "name", "species", "n", "patch").withColumn("found", F.lit(True))
+    return rows.drop("cell").join(own, "creature_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def require_found(sources: DataFrame) -> DataFrame:
+    """``sources`` of with_sources(); an error that lists creatures which no archive has."""
+    lost = [f"{r['name']}[{r['species']}]: {r['creature_id'] or 'no creature in that cell'}" for r in sources.where("not found").select("name", "species", "creature_id").orderBy("name", "species").limit(20).collect()]
+    if lost:
+        raise ConfigError(f"not in the archive: {lost}")
+    return sources
 
 
 def signal_consistency(sources: DataFrame) -> DataFrame:

@@ -23,16 +23,64 @@ EVENT = T.StructType([
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; without that setting, one beside the warehouse."""
+    """The folder of spark.checkpoint.dir, which all executors share.
+
+    Without that setting a local master gets a folder beside the warehouse; on a
+    cluster that could be one machine's own, so it is refused.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_stages"
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_stages"
+
+
+#: Folders of the tables that stage() has written in this process, in order.
+STAGED: list[str] = []
+#: Spark's setting that a finished query deletes its shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it: cuts lineage, survives lost executors.
+
+    The write's shuffle files go as soon as it is done.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    STAGED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_since(mark: int, *keep: DataFrame) -> None:
+    """Delete the tables that stage() has written since len(STAGED) was ``mark``, but those that ``keep`` reads."""
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
+    for folder in STAGED[mark:]:
+        if folder.rpartition("/")[2] not in kept:
+            delete_folder(keep[0].sparkSession, folder)
+    STAGED[mark:] = [f for f in STAGED[mark:] if f.rpartition("/")[2] in kept]
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables of stage() that nothing reads any more."""
+    for df in frames:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            delete_folder(df.sparkSession, folder)
 
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType = EVENT) -> DataFrame:
@@ -40,6 +88,25 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType = EVENT) ->
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def in_order(events: DataFrame, *keys: str) -> DataFrame:
+    """Events by time of creation, run by run; those without a time first, equal times by completed_count."""
+    return events.orderBy(*keys, F.col("created_at").asc_nulls_first(), "completed_count")
+
+
+def incremental(found: DataFrame, built_path: str, build) -> DataFrame:
+    """Build products of ``found`` (key, modified) that are missing or older, and put them into the table at ``built_path``.
+
+    ``build`` makes (key, modified, ...) rows of the stale ones. Returns the new table.
+    """
+    spark = found.sparkSession
+    old = read_checkpoint(spark, built_path)
+    todo = stage(found if old is None else stale(found, old), "stale")
+    fresh = build(todo)
+    kept = None if old is None else old.join(todo.select("key"), "key", "left_anti").join(found.select("key"), "key", "left_semi")
+    checkpoint_table(fresh if kept is None else kept.select(*fresh.columns).unionByName(fresh), built_path)
+    return read_checkpoint(spark, built_path)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append to a log of JSON lines; binary columns (thumbnails) are left out."""
     plain = [f.name for f in events.schema if not isinstance(f.dataType, T.BinaryType)]
@@ -70,18 +137,49 @@ def stale(found: DataFrame, built: DataFrame) -> DataFrame:
 
 
 def checkpoint_table(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path`` in one rename: readers see the old or the new rows."""
+    """Replace the table at ``path``: a new version is written, then named by one atomic rename.
+
+    Readers (read_checkpoint) see the old or the new rows at any moment. The
+    version before the one replaced goes, so a reader that has just begun keeps
+    its files.
+    """
     spark = df.sparkSession
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    before = current_version(spark, path)
+    fresh, name = jvm.org.apache.hadoop.fs.Path(f"{path}/_{version}"), jvm.org.apache.hadoop.fs.Path(f"{path}/_CURRENT")
+    out = fs.create(fresh, True)
+    out.write(bytearray(f"{version} {before or ''}".encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf).rename(fresh, name, overwrite)
+    for f in fs.listStatus(folder):
+        old = f.getPath().getName()
+        if old.startswith("v-") and old not in (version, before):
+            fs.delete(f.getPath(), True)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, now, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path, f"{fresh}.old"))
-    fs = now.getFileSystem(conf)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(new, now)
-    if fs.exists(old):
-        fs.delete(old, True)
+    name = jvm.org.apache.hadoop.fs.Path(f"{path}/_CURRENT")
+    fs = name.getFileSystem(conf)
+    if not fs.exists(name):
+        return None
+    stream = fs.open(name)
+    try:
+        return bytes(stream.readAllBytes()).decode().split(" ")[0]
+    finally:
+        stream.close()
+
+
+def read_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows last given to checkpoint_table(); None before the first."""
+    version = current_version(spark, path)
+    return spark.read.parquet(f"{path}/{version}") if version else None
 
 
 def summary_json(df: DataFrame, *keys: str) -> DataFrame:
@@ -134,8 +232,7 @@ def merge_document(spark: SparkSession, path: str, extra: dict) -> dict:
     from pyspark.errors import AnalysisException
 
     try:
-        lines = [r["value"] for r in spark.read.text(path).limit(1000).collect()]
-        now = json.loads("\n".join(lines))
+        now = json.loads("".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect()))
     except (AnalysisException, ValueError):
         now = {}
     write_document(now | extra, spark, path)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pyspark.sql.streaming.listener import StreamingQueryListener
+
 from tessella.operators.archive import stream_fold
+from tessella.sources.tables import shared_dir
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -40,16 +43,63 @@ def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", l
 
 
 def archive(rows: DataFrame, key: str = "run_id") -> DataFrame:
-    """Accepted candidates of a stream of (key, cell, quality, arrival), against state by key."""
+    """Accepted candidates of a stream of (key, cell, quality, arrival), against state by key.
+
+    A candidate without a cell or a quality, or with a null d0 where there is
+    such a column, is none.
+    """
     update, out, state = stream_fold(key)
+    if "d0" in rows.columns:
+        rows = rows.where("d0 is not null")
     return rows.select(key, "cell", "quality", "arrival").groupBy(key).applyInPandasWithState(update, out, state, "append", "NoTimeout")
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and give its rows back as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what there is and give its rows back as a table of Parquet files.
+
+    Appended rows are written by the file sink; in other modes each batch
+    replaces the table, so the last state stays.
+    """
+    spark, path = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{name}-rows"
+    if mode == "append":
+        writer = stream.writeStream.format("parquet").option("path", path)
+    else:
+        writer = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    query = writer.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def generations(candidates: DataFrame, fold, checkpoint: str) -> None:
+    """Run ``fold(rows, number)`` on each micro-batch of candidates, in order: a search that is fed by a stream."""
+    candidates.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def observed(stream: DataFrame, name: str) -> DataFrame:
+    """``stream`` with the metrics rows, accepted and best of each micro-batch, for Progress."""
+    accepted = F.count_if(F.col("status").isin("inserted", "replaced")) if "status" in stream.columns else F.lit(0)
+    best = F.max("quality") if "quality" in stream.columns else F.lit(None).cast("double")
+    return stream.observe(name, F.count(F.lit(1)).alias("rows"), accepted.alias("accepted"), best.alias("best"))
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``back(name, metrics)`` with each micro-batch's observed metrics."""
+
+    def __init__(self, back):
+        self.back = back
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            self.back(name, row.asDict())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def log(stream: DataFrame, path: str, checkpoint: str):
