@@ -61,3 +61,8 @@ def experiment_yaml(pairs: DataFrame, key: str = "id") -> DataFrame:
     rows = pairs.orderBy("mode", "rank")
     block = F.format_string("  - name: %s-%s-%s\n    sources:\n      - {creature_id: %s, n: 1}\n      - {creature_id: %s, n: 1}\n", F.col("mode"), F.col(f"{key}_a").cast("string"), F.col(f"{key}_b").cast("string"), F.col(f"{key}_a").cast("string"), F.col(f"{key}_b").cast("string"))
     return rows.select("mode", "rank", block.alias("yaml"))
+
+
+def signal_creatures(creatures: DataFrame, min_quality: float = 0.0) -> DataFrame:
+    """Creatures of a least quality that have a signal."""
+    return creatures.where((F.col("quality") >= min_quality) & F.col("emission").isNotNull())

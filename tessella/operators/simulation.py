@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessella.functions import params as P
 from tessella.operators.spawn import positions
@@ -132,6 +131,9 @@ class State:
     owned: np.ndarray | None = None
     signal: np.ndarray | None = None
     growth: list | None = None
+    #: Of each species in this step: the sum that it emitted, and that its receptors read.
+    emitted: list | None = None
+    heard: list | None = None
 
 
 def step(world: World, species: list[Species], now: State) -> State:
@@ -151,6 +153,7 @@ def step(world: World, species: list[Species], now: State) -> State:
         total = owned.sum(axis=0)
         shares = np.where(total < 1e-8, 1.0 / n, owned)
     blend, emitted, growth = np.zeros_like(mass), np.zeros_like(mass), []
+    sent, read = [0.0] * n, [0.0] * n
     added = None if signal is None else np.zeros_like(signal)
     for k, one in enumerate(species):
         g = one.growth(spectrum)
@@ -160,6 +163,7 @@ def step(world: World, species: list[Species], now: State) -> State:
             out = np.minimum(np.maximum(g, 0.0) * shares[k] * one.rate(heard), np.maximum(mass, 0.0) * shares[k])
             added += one.signal["emission_vector"][:, None, None] * out[None]
             emitted += out
+            sent[k], read[k] = float(out.sum()), float(heard.sum())
         growth.append(g)
         blend += shares[k] * g
     mass = mass - emitted
@@ -178,7 +182,7 @@ def step(world: World, species: list[Species], now: State) -> State:
     if signal is not None:
         decay = next((one.signal["decay_rates"] for one in species if one.signal is not None), np.zeros(len(signal)))
         signal = (signal + added) * (1.0 - decay[:, None, None])
-    return State(moved, owned, signal, growth)
+    return State(moved, owned, signal, growth, sent, read)
 
 
 def first_mass(world: World, seed: int, fraction: int = 3) -> np.ndarray:
@@ -217,110 +221,201 @@ def measures(mass: np.ndarray) -> tuple[float, float, float, float, float, float
     return total, cy, cx, float(box), float(np.sqrt(max(spread, 0.0))), inside / total
 
 
+class Lanes:
+    """Kernels and couplings of several records, stacked along a leading axis, for one species a world."""
+
+    def __init__(self, records: list[dict], world: World):
+        kinds = [Species(r, world) for r in records]
+        self.world = world
+        self.spectrum = np.stack([k.spectrum for k in kinds])
+        self.m, self.s, self.h = (np.stack([getattr(k, c) for k in kinds]) for c in "msh")
+        self.signal = any(k.signal for k in kinds)
+        if self.signal:
+            # a record without signals gets zeros and couples to nothing
+            of = lambda name, shape: np.stack([k.signal[name].reshape(shape) if k.signal else np.zeros(shape) for k in kinds])
+            self.emission, self.receptor, self.decay = (of(c, P.CHANNELS) for c in ("emission_vector", "receptor_profile", "decay_rates"))
+            self.alpha, self.beta, self.base = (of(c, ()) for c in ("alpha_coupling", "beta_modulation", "emission_rate"))
+            self.signal_spectrum = np.stack([k.signal_spectrum if k.signal else np.zeros_like(k.spectrum[0]) for k in kinds])
+
+    def step(self, mass: np.ndarray, signal: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """One step of every lane: (lanes, h, w) masses and (lanes, channels, h, w) signals."""
+        size = (self.world.height, self.world.width)
+        u = np.fft.irfft2(self.spectrum * np.fft.rfft2(mass)[:, None], s=size)
+        g = ((2.0 * np.exp(-(((u - self.m) / self.s) ** 2) / 2.0) - 1.0) * self.h).sum(axis=1)
+        if signal is not None and self.signal:
+            blurred = np.fft.irfft2(self.signal_spectrum[:, None] * np.fft.rfft2(signal), s=size)
+            heard = np.einsum("lc,lchw->lhw", self.receptor, blurred)
+            g = g * np.maximum(1.0 + self.alpha[:, None, None] * heard, 0.0)
+            rate = np.where(self.beta != 0, np.clip(self.base * (1.0 + self.beta * heard.mean(axis=(1, 2))), 0.0, MAX_RATE), self.base)
+            out = np.minimum(np.maximum(g, 0.0) * rate[:, None, None], np.maximum(mass, 0.0))
+            signal = (signal + self.emission[:, :, None, None] * out[:, None]) * (1.0 - self.decay[:, :, None, None])
+            mass = mass - out
+        moved = np.empty_like(mass)
+        for k in range(len(mass)):
+            uy, ux = gradient(g[k], self.world.border)
+            ay, ax = gradient(mass[k], self.world.border)
+            crowd = np.clip(mass[k] * mass[k], 0.0, 1.0)
+            moved[k] = transport(self.world, mass[k][None], uy * (1 - crowd) - ay * crowd, ux * (1 - crowd) - ax * crowd)[0]
+        return moved, signal
+
+
+def signal_batch(world: World, seeds: list[int]) -> np.ndarray:
+    """first_signal() of each seed, stacked."""
+    return np.stack([first_signal(world, s) for s in seeds])
+
+
 TRACE = "seed long, step int, mass double, com_y double, com_x double, bbox double, gyradius double, compactness double, signal_total double"
+FINAL = "field array<double>, middle array<double>, channels array<double>, signal_variance double"
+
 
+def rollouts(records: DataFrame, world: World, signal: bool = False, *, lanes: int = 1, capture: bool = False) -> DataFrame:
+    """Trace rows of every parameter record (seed, parameters).
 
-def rollouts(records: DataFrame, world: World, signal: bool = False) -> DataFrame:
-    """Trace rows of every parameter record (seed, parameters), one rollout after another in a task."""
+    A task runs ``lanes`` rollouts at a time, stacked. With ``capture``, rows of
+    the last step also have its mass field and that of the middle of the rollout,
+    row by row, the sums of the signal's channels, and the variance of the signal
+    over space; other rows have nulls.
+    """
     ship(records.sparkSession)
     names = [n for n, *_ in P.fields(signal)]
+    columns = [c.split()[0] for c in f"{TRACE}, {FINAL}".split(", ")]
+
+    def trace(group: list[dict]) -> pa.RecordBatch:
+        seeds = [r["seed"] for r in group]
+        kinds = Lanes([{n: r[n] for n in names} for r in group], world)
+        mass = np.stack([first_mass(world, s) for s in seeds])
+        field = signal_batch(world, seeds) if signal else None
+        rows, middle = [], mass
+        for t in range(world.steps + 1):
+            if t:
+                mass, field = kinds.step(mass, field)
+            if t == world.steps // 2:
+                middle = mass
+            for k, s in enumerate(seeds):
+                last = (None,) * 4
+                if capture and t == world.steps:
+                    last = (mass[k].ravel().tolist(), middle[k].ravel().tolist(), field[k].sum(axis=(1, 2)).tolist() if signal else None, float(field[k].sum(axis=0).var()) if signal else None)
+                rows.append((s, t, *measures(mass[k]), float(field[k].sum()) if signal else 0.0, *last))
+        cols = dict(zip(columns, map(list, zip(*rows, strict=True)), strict=True))
+        return pa.RecordBatch.from_pydict({c: pa.array(cols[c], t) for c, t in TYPES.items() if capture or c in TRACE})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                kind = Species({n: r[n] for n in names}, world)
-                now = State(first_mass(world, r["seed"]), None, first_signal(world, r["seed"]) if signal else None)
-                rows = [(r["seed"], 0, *measures(now.mass), float(now.signal.sum()) if signal else 0.0)]
-                for t in range(1, world.steps + 1):
-                    now = step(world, [kind], now)
-                    rows.append((r["seed"], t, *measures(now.mass), float(now.signal.sum()) if signal else 0.0))
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[c.split()[0] for c in TRACE.split(", ")]).astype({"step": "int32"}), preserve_index=False)
+            held = b.to_pylist()
+            for k in range(0, len(held), lanes):
+                yield trace(held[k : k + lanes])
+
+    return records.select("seed", *names).mapInArrow(run, f"{TRACE}, {FINAL}" if capture else TRACE)
 
-    return records.select("seed", *names).mapInArrow(run, TRACE)
+
+TYPES = {"seed": pa.int64(), "step": pa.int32(), **dict.fromkeys(("mass", "com_y", "com_x", "bbox", "gyradius", "compactness", "signal_total"), pa.float64()), "field": pa.list_(pa.float64()), "middle": pa.list_(pa.float64()), "channels": pa.list_(pa.float64()), "signal_variance": pa.float64()}
 
 
 ECOSYSTEM = "name string, step int, snap int, species int, y int, x int, w double, m double, g double"
+HISTORY = "name string, step int, species int, mass double, territory double, signal_total double, emitted double, received double"
+SIGNAL = "name string, step int, snap int, species int, channel int, mean double, received double"
+TRAJECTORY = "name string, step int, snap int, y int, x int, m double"
+
+
+def evolve(pdf: pd.DataFrame, world: World, names: list[str], signal: bool) -> Iterator[tuple[int, int | None, State]]:
+    """(step, number of the snapshot or None, state) of one experiment's rows, from step 0 on."""
+    kinds = [Species({n: (np.stack([np.asarray(v, float) for v in row[n]]) if n in ("a", "b", "w") else row[n]) for n in names}, world) for row in pdf.to_dict("records")]
+    first = pdf.iloc[0]
+    counts = [int(n) for n in pdf["n"]]
+    patch = int(pdf["patch"].max())
+    centres = positions(sum(counts), world.height, world.width, gap=float(first["min_dist"]), patch=patch, seed=int(first["seed"]))
+    mass = np.zeros((world.height, world.width))
+    owned = np.zeros((len(kinds), world.height, world.width))
+    who = np.repeat(np.arange(len(kinds)), counts)
+    for i, ((y, x), k) in enumerate(zip(centres, who, strict=True)):
+        half = int(pdf["patch"].iloc[k]) // 2
+        at = np.s_[max(y - half, 0) : y + half, max(x - half, 0) : x + half]
+        mass[at] = np.random.default_rng(int(first["seed"]) + 1000 + i).random(mass[at].shape)
+        owned[:, at[0], at[1]] = 0.0
+        owned[k, at[0], at[1]] = 1.0
+    none = [0.0] * len(kinds)
+    now = State(mass, owned, first_signal(world, int(first["seed"])) if signal else None, None, none, none)
+    every, snap = int(first["snapshot_every"]), 0
+    yield 0, None, now
+    for t in range(1, world.steps + 1):
+        now = step(world, kinds, now)
+        if t % every == 0 or t == world.steps:
+            yield t, snap, now
+            snap += 1
+        else:
+            yield t, None, now
 
 
-def ecosystems(experiments: DataFrame, world: World, signal: bool = False) -> DataFrame:
-    """Ownership and growth in long form, at the snapshots of every experiment.
+def per_experiment(experiments: DataFrame, world: World, signal: bool, schema: str, rows) -> DataFrame:
+    """``rows(name, species numbers, step, snap, state)`` of each experiment's steps, as a table.
 
     ``experiments`` has one row per species: name, species, n, patch, min_dist,
-    seed, snapshot_every and its parameters. Empty cells are left out.
+    seed, snapshot_every and its parameters.
     """
     ship(experiments.sparkSession)
     names = [n for n, *_ in P.fields(signal)]
+    columns = [c.split()[0] for c in schema.split(", ")]
+    whole = {c.split()[0]: "int32" for c in schema.split(", ") if c.endswith(" int")}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("species").reset_index(drop=True)
-        kinds = [Species({n: (np.stack([np.asarray(v, float) for v in row[n]]) if n in ("a", "b", "w") else row[n]) for n in names}, world) for row in pdf.to_dict("records")]
-        first = pdf.iloc[0]
-        counts = [int(n) for n in pdf["n"]]
-        patch = int(pdf["patch"].max())
-        centres = positions(sum(counts), world.height, world.width, gap=float(first["min_dist"]), patch=patch, seed=int(first["seed"]))
-        mass = np.zeros((world.height, world.width))
-        owned = np.zeros((len(kinds), world.height, world.width))
-        who = np.repeat(np.arange(len(kinds)), counts)
-        for i, ((y, x), k) in enumerate(zip(centres, who, strict=True)):
-            half = int(pdf["patch"].iloc[k]) // 2
-            at = np.s_[max(y - half, 0) : y + half, max(x - half, 0) : x + half]
-            mass[at] = np.random.default_rng(int(first["seed"]) + 1000 + i).random(mass[at].shape)
-            owned[:, at[0], at[1]] = 0.0
-            owned[k, at[0], at[1]] = 1.0
-        now = State(mass, owned, first_signal(world, int(first["seed"])) if signal else None)
-        every, out, snap = int(first["snapshot_every"]), [], 0
-        for t in range(1, world.steps + 1):
-            now = step(world, kinds, now)
-            if t % every == 0 or t == world.steps:
-                y, x = np.nonzero(now.mass > 1e-8)
-                for k in range(len(kinds)):
-                    out.append(pd.DataFrame({"name": first["name"], "step": t, "snap": snap, "species": int(pdf["species"].iloc[k]), "y": y, "x": x, "w": now.owned[k, y, x], "m": now.mass[y, x], "g": now.growth[k][y, x]}))
-                snap += 1
-        return pd.concat(out).astype({"step": "int32", "snap": "int32", "species": "int32", "y": "int32", "x": "int32"})
-
-    return experiments.groupBy("name").applyInPandas(run, ECOSYSTEM)
-
-
-def search(spark, world: World, *, budget: int, calibration: int, cells: int, base_seed: int = 0, batch: int = 64, random_phase: int | None = None, epsilon: float = 1.0):
-    """Calibrate, then generations of random and mutated records into a gated archive.
-
-    Returns (events, archive): every candidate with its status, and the best of
-    each cell. A generation is one job; its rows are written before the next.
-    """
-    from tessella.operators import archive as AR
-    from tessella.operators import calibration as C
-    from tessella.operators.quality import evaluate
-    from tessella.operators.series import descriptors
-    from tessella.sources.tables import stage
-
-    def judged(records: DataFrame) -> DataFrame:
-        trace = stage(rollouts(records, world), "trace")
-        tail = max(2, min(50, world.steps // 2))
-        d = descriptors(trace.withColumnRenamed("seed", "creature"), tail).withColumnRenamed("creature", "seed")
-        ends = trace.groupBy("seed").agg(F.min_by("mass", "step").alias("initial_mass"), F.max_by("mass", "step").alias("final_mass"), F.avg("bbox").alias("bbox_mean"), F.avg("gyradius").alias("gyradius"), F.max_by("compactness", "step").alias("compactness"))
-        rows = d.join(ends, "seed").select("seed", F.col("velocity").alias("d0"), F.col("gyradius").alias("d1"), F.col("activity").alias("d2"), "initial_mass", "final_mass", F.lit(0.0).alias("final_signal"), "bbox_mean", (F.col("n_steps") * (50.0 / tail)).alias("n_steps"), F.col("persistence_score").alias("drift"), "compactness", F.lit(False).alias("has_signal"))
-        return stage(records.join(evaluate(rows), "seed"), "judged")
-
-    first = judged(P.population(P.seeds(spark, base_seed, calibration, True), world.kernels))
-    alive = C.survivors(first)
-    scale = [r["scale"] for r in C.axis_scale(alive).orderBy("axis").collect()] if alive.count() > 1 else [1.0, 1.0, 1.0]
-    scaled = lambda df: df.withColumns({a: F.col(a) * float(s) for a, s in zip(C.AXES, scale, strict=True)})
-    centroids = stage(C.fit_centroids(scaled(alive), cells, "seed"), "centroids")
-    events, arrival, seed = None, 0, base_seed
-    random_phase = budget // 2 if random_phase is None else random_phase
-    while seed < base_seed + budget:
-        n = min(batch, base_seed + budget - seed)
-        fresh = P.seeds(spark, seed, n)
-        best = AR.best_per_cell(events.where(F.col("status").isin(AR.INSERTED, AR.REPLACED))) if events is not None else None
-        if best is None or seed < base_seed + random_phase or best.isEmpty():
-            records = P.population(fresh, world.kernels)
-        else:
-            drawn = AR.random_parents(fresh.withColumnRenamed("seed", "child"), best, seed)
-            kept = best.select(F.col("cell").alias("parent_cell"), *[m[0] for m in P.MASS_SPECS])
-            records = P.mutate(drawn.join(kept, "parent_cell").withColumnRenamed("child", "seed"))
-        done = C.nearest(scaled(judged(records)), centroids).withColumn("run_id", F.lit("search")).withColumn("arrival", F.col("seed") - base_seed)
-        whole = done if events is None else events.drop("status").unionByName(done)
-        status = AR.gated(whole, centroids, epsilon=epsilon).select("arrival", "status")
-        events = stage(whole.join(status, "arrival"), "events")
-        arrival, seed = arrival + n, seed + n
-    return events, AR.best_per_cell(events.where(F.col("status").isin(AR.INSERTED, AR.REPLACED)))
+        numbers = [int(k) for k in pdf["species"]]
+        parts = [r for t, snap, now in evolve(pdf, world, names, signal) for r in rows(pdf["name"].iloc[0], numbers, t, snap, now)]
+        return pd.concat(parts or [pd.DataFrame(columns=columns)])[columns].astype(whole)
+
+    return experiments.groupBy("name").applyInPandas(run, schema)
+
+
+def ecosystems(experiments: DataFrame, world: World, signal: bool = False) -> DataFrame:
+    """Ownership and growth in long form, at the snapshots of every experiment; empty cells are left out."""
+
+    def rows(name, numbers, t, snap, now) -> list[pd.DataFrame]:
+        if snap is None:
+            return []
+        y, x = np.nonzero(now.mass > 1e-8)
+        return [pd.DataFrame({"name": name, "step": t, "snap": snap, "species": k, "y": y, "x": x, "w": now.owned[i, y, x], "m": now.mass[y, x], "g": now.growth[i][y, x]}) for i, k in enumerate(numbers)]
+
+    return per_experiment(experiments, world, signal, ECOSYSTEM, rows)
+
+
+def ecosystem_histories(experiments: DataFrame, world: World, signal: bool = False) -> DataFrame:
+    """Every step's mass, territory, emission and reception of each species, and the signal's total (0 without a signal)."""
+
+    def rows(name, numbers, t, snap, now) -> list[pd.DataFrame]:
+        held = (now.owned * now.mass[None]).sum(axis=(1, 2))
+        return [pd.DataFrame({"name": name, "step": t, "species": numbers, "mass": held, "territory": now.owned.sum(axis=(1, 2)), "signal_total": float(now.signal.sum()) if signal else 0.0, "emitted": now.emitted, "received": now.heard})]
+
+    return per_experiment(experiments, world, signal, HISTORY, rows)
+
+
+def ecosystem_signals(experiments: DataFrame, world: World, received: float = 0.1) -> DataFrame:
+    """At each snapshot, the mean of each channel over space, and over the cells of which a species owns more than ``received`` (0 where it has none)."""
+
+    def rows(name, numbers, t, snap, now) -> list[pd.DataFrame]:
+        if snap is None:
+            return []
+        mean, out = now.signal.mean(axis=(1, 2)), []
+        for i, k in enumerate(numbers):
+            mine = now.owned[i] > received
+            heard = now.signal[:, mine].mean(axis=1) if mine.any() else np.zeros(len(mean))
+            out.append(pd.DataFrame({"name": name, "step": t, "snap": snap, "species": k, "channel": np.arange(len(mean)), "mean": mean, "received": heard}))
+        return out
+
+    return per_experiment(experiments, world, True, SIGNAL, rows)
+
+
+def trajectories(experiments: DataFrame, world: World, signal: bool = False) -> DataFrame:
+    """Mass of every cell that has any, at each snapshot: the long form of a trajectory array."""
+
+    def rows(name, numbers, t, snap, now) -> list[pd.DataFrame]:
+        if snap is None:
+            return []
+        y, x = np.nonzero(now.mass > 1e-8)
+        return [pd.DataFrame({"name": name, "step": t, "snap": snap, "y": y, "x": x, "m": now.mass[y, x]})]
+
+    return per_experiment(experiments, world, signal, TRAJECTORY, rows)
+
+
+def world_of(record: dict, height: int, width: int, steps: int, border: str) -> World:
+    """The world of an experiment: as many kernels as its first creature has."""
+    return World(height, width, steps, len(record["r"]), border)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import params, text, vectors
-from tessella.operators import archive, calibration, fields, metrics, ownership, pairs, quality, series, simulation, spawn
+from tessella.operators import archive, calibration, fields, metrics, ownership, pairs, quality, series, simulation, spawn, views
 from tessella.plans import adapters as V
 from tessella.streaming import events as stream
 
@@ -91,7 +91,20 @@ def insertion_status(spark, sf_dir):
     return with_status(spark, sf_dir).select("run_id", "arrival", "cell", "status")
 
 
-@query()
+GATED = f"""gap AS (SELECT run_id, arrival, quality, list(g ORDER BY idx) AS g FROM (SELECT roll.run_id, roll.arrival, roll.quality, idx, (d0 - c0) * (d0 - c0) + (d1 - c1) * (d1 - c1) + (d2 - c2) * (d2 - c2) AS g FROM roll, centre) GROUP BY ALL),
+  seq AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY arrival) AS n, CASE WHEN quality IS NOT NULL THEN list_position(g, list_min(g)) END AS c FROM gap),
+  fold AS (
+    SELECT run_id, CAST(0 AS BIGINT) AS n, list_transform(range({V.CELLS}), lambda i: CAST(NULL AS DOUBLE)) AS held, CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS BIGINT) AS cell, '' AS status FROM (SELECT DISTINCT run_id FROM roll)
+    UNION ALL
+    SELECT run_id, n, CASE WHEN status IN ('inserted', 'replaced') THEN list_transform(held, lambda h, i: CASE WHEN i = c THEN quality ELSE h END) ELSE held END, arrival, c - 1, status FROM (
+      SELECT *, CASE WHEN c IS NULL THEN 'rejected_filter' WHEN held[c] IS NOT NULL THEN CASE WHEN quality > held[c] THEN 'replaced' ELSE 'rejected_quality' END
+        WHEN near IS NOT NULL AND g[near] < 64.0 AND NOT quality > 1.2 * held[near] THEN 'rejected_similarity' ELSE 'inserted' END AS status FROM (
+        SELECT *, list_position(list_transform(g, lambda v, i: CASE WHEN held[i] IS NOT NULL THEN v END), list_min(list_transform(g, lambda v, i: CASE WHEN held[i] IS NOT NULL THEN v END))) AS near
+        FROM (SELECT s.run_id, s.n, s.arrival, s.quality, s.g, s.c, f.held FROM fold f JOIN seq s ON s.run_id = f.run_id AND s.n = f.n + 1)))
+  )"""
+
+
+@query(f"WITH RECURSIVE {V.ROLL}, {V.CENTRES}, {GATED} SELECT run_id, arrival, cell, status FROM fold WHERE n > 0")
 def archive_gated(spark, sf_dir):
     return archive.gated(V.rollouts(spark, sf_dir), V.centroids(spark), epsilon=8.0)
 
@@ -106,7 +119,12 @@ def cell_population(spark, sf_dir):
     return celled(spark, sf_dir).groupBy("run_id", "cell").agg(F.count("*").alias("n"), F.avg("quality").alias("mean_quality"))
 
 
-@query()
+def sql_unit(*parts: str) -> str:
+    """text.unit() in DuckDB."""
+    return f"(('0x' || substr(md5({" || ':' || ".join(parts)}), 1, 12))::BIGINT / 281474976710656.0)"
+
+
+@query(f"WITH {V.CELLED}, best AS (SELECT cell, arrival, row_number() OVER (ORDER BY cell) - 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY quality DESC, arrival) AS rn FROM celled WHERE quality IS NOT NULL) WHERE rn = 1) SELECT c.child, best.cell AS parent_cell, best.arrival AS parent FROM (SELECT range AS child FROM range(1000)) c JOIN best ON best.n = CAST(floor({sql_unit("'7'", "c.child")} * (SELECT count(*) FROM best)) AS BIGINT)")
 def random_parent(spark, sf_dir):
     best = archive.best_per_cell(celled(spark, sf_dir))
     return archive.random_parents(spark.range(1000).withColumnRenamed("id", "child"), best, 7)
@@ -133,7 +151,10 @@ def kmeans_lloyd(spark, sf_dir):
     return calibration.kmeans(calibration.survivors(V.rollouts(spark, sf_dir)), V.centroids(spark), 2)
 
 
-@query()
+BOX = ", ".join(f"round(lo{k} + {sql_unit("'3'", f"'{k}'", 'i')} * (hi{k} - lo{k}), 6) AS c{k}" for k in range(3))
+
+
+@query(f"WITH {V.ROLL}, box AS (SELECT min(d0) AS lo0, max(d0) AS hi0, min(d1) AS lo1, max(d1) AS hi1, min(d2) AS lo2, max(d2) AS hi2 FROM roll) SELECT i AS idx, {BOX} FROM range(64) t(i), box")
 def uniform_fallback(spark, sf_dir):
     return calibration.uniform_centroids(V.rollouts(spark, sf_dir), 64, 3)
 
@@ -228,7 +249,11 @@ def cross_run_pairs(spark, sf_dir):
     return p.groupBy(F.least("run_a", "run_b").alias("run_lo"), F.greatest("run_a", "run_b").alias("run_hi")).agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
-@query()
+BLOCK = "  - name: %s-%d-%d\n    sources:\n      - {creature_id: %d, n: 1}\n      - {creature_id: %d, n: 1}\n"
+GOOD = PAIRS.replace("a.id < b.id", "a.id < b.id AND a.quality >= 0.5 AND b.quality >= 0.5")
+
+
+@query(f"WITH {GOOD} SELECT mode, rank, printf('{BLOCK}', mode, id_a, id_b, id_a, id_b) AS yaml FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY score DESC, id_a, id_b) AS rank FROM pairs) WHERE rank <= 3")
 def pair_experiments(spark, sf_dir):
     return pairs.experiment_yaml(pairs.top_pairs(pairs.scored_pairs(V.creatures(spark, sf_dir), min_quality=0.5), 3))
 
@@ -331,7 +356,13 @@ def signal_statistics(spark, sf_dir):
     return fields.signal_statistics(f, 256, 100000.0, "creature").withColumn("signal_field_variance", F.round("signal_field_variance", 4))
 
 
-@query()
+SPECTRUM = V.FIELD + f""", freq AS (SELECT CAST(a AS INT) AS u, CAST(b AS INT) AS v FROM range(-{V.SIZE // 2}, {V.SIZE // 2}) t(a), range(-{V.SIZE // 2}, {V.SIZE // 2}) s(b) WHERE a <> 0 OR b <> 0),
+  spec AS (SELECT entity, u, v, sqrt(pow(sum(value * cos(2 * pi() * (u * y + v * x) / {V.SIZE})), 2) + pow(sum(value * sin(2 * pi() * (u * y + v * x) / {V.SIZE})), 2)) AS p FROM field, freq GROUP BY ALL),
+  bins AS (SELECT entity, least(floor(sqrt(u * u + v * v) / sqrt({V.SIZE**2 // 2}) * 32), 31) AS bin, sum(p) AS m FROM spec GROUP BY ALL),
+  total AS (SELECT entity, sum(m) AS t, sum(CASE WHEN m > 0 THEN m * ln(m) ELSE 0.0 END) AS s FROM bins GROUP BY entity)"""
+
+
+@query(f"WITH {SPECTRUM} SELECT entity, round((ln(t) - s / t) / ln(32), 6) AS spectral_entropy FROM total")
 def spectral_entropy(spark, sf_dir):
     return fields.transforms(V.fields(spark, sf_dir), V.SIZE, "entity").select("entity", "spectral_entropy")
 
@@ -524,44 +555,127 @@ def stale_products(spark, sf_dir):
     return orders.join(built, orders["o_orderkey"] == built["l_orderkey"], "left_anti").select("o_orderkey")
 
 
-@query()
+@query("SELECT c_custkey AS seed, 10 AS kernels, true AS in_range FROM customer")
 def sample_population(spark, sf_dir):
-    return params.population(params.seeds(spark, 0, 256), 10, True).select("seed", "radius", F.size("r").alias("kernels"), params.in_range(True).alias("in_range"))
+    """A record of each customer's number: how many kernels it has, and whether all is in range."""
+    seeds = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("seed"))
+    return params.population(seeds, 10, True).select("seed", F.size("r").alias("kernels"), params.in_range(True).alias("in_range"))
 
 
-@query()
+@query("SELECT c_custkey AS seed, true AS in_range, true AS changed, true AS near FROM customer")
 def mutate_population(spark, sf_dir):
-    first = params.population(params.seeds(spark, 0, 256), 10)
-    return params.mutate(first).select("seed", "radius", params.in_range().alias("in_range"))
+    """A child of each record: in range, not its parent, and the radius within six sigma of its parent's."""
+    first = params.population(V.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("seed")), 10)
+    child = params.mutate(first)
+    both = child.join(first.select("seed", F.col("radius").alias("before"), F.col("m").alias("m_before")), "seed")
+    return both.select("seed", params.in_range().alias("in_range"), (F.col("m") != F.col("m_before")).alias("changed"), (F.abs(F.col("radius") - F.col("before")) <= 6 * 2.3).alias("near"))
 
 
-@query()
+@query("SELECT n_name AS name, CAST(species AS INT) AS species, n, true AS inside, true AS apart FROM (SELECT n_name, unnest([0, 1]) AS species, unnest([4 + n_nationkey % 3, 3]) AS n FROM nation)")
 def spawn_positions(spark, sf_dir):
-    rows = [("a", 96, 96, 12, 6, 0, [5, 4]), ("b", 64, 128, 40, 8, 1, [9])]
-    return spawn.spawn_table(spark.createDataFrame(rows, "name string, grid_h int, grid_w int, min_dist int, patch int, seed long, counts array<int>"))
+    """Places of two species for each nation: how many, inside the border, and none on another."""
+    key = F.col("n_nationkey")
+    rows = V.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.lit(96).alias("grid_h"), (F.lit(96) + (key % 4) * 8).cast("int").alias("grid_w"), F.lit(12).alias("min_dist"), F.lit(6).alias("patch"), key.cast("long").alias("seed"), F.array((F.lit(4) + key % 3).cast("int"), F.lit(3)).alias("counts"))
+    at = spawn.spawn_table(rows)
+    others = at.select("name", F.col("number").alias("other"), F.col("y").alias("v"), F.col("x").alias("u"))
+    apart = at.join(others, "name").where("number <> other").groupBy("name", "number").agg(F.bool_and((F.col("y") != F.col("v")) | (F.col("x") != F.col("u"))).alias("apart"))
+    whole = at.join(apart, ["name", "number"]).join(rows.select("name", "grid_h", "grid_w"), "name")
+    inside = (F.col("y") >= 6) & (F.col("x") >= 6) & (F.col("y") <= F.col("grid_h") - 6) & (F.col("x") <= F.col("grid_w") - 6)
+    return whole.groupBy("name", "species").agg(F.count("*").alias("n"), F.bool_and(inside).alias("inside"), F.bool_and("apart").alias("apart"))
+
+
+@query("SELECT s_suppkey AS seed, CAST(step AS INT) AS step, true AS conserved, true AS tracked FROM supplier, range(21) t(step)")
+def simulate_mass(spark, sf_dir):
+    """A rollout of each supplier's number: mass stays what it was, and the centre stays on the grid."""
+    from pyspark.sql import Window
 
+    seeds = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("seed"))
+    trace = simulation.rollouts(params.population(seeds, 4).repartition(8), simulation.World(32, 32, 20, 4), lanes=4)
+    first = F.first("mass").over(Window.partitionBy("seed").orderBy("step"))
+    return trace.select("seed", "step", (F.abs(F.col("mass") - first) <= 2.5e-4 * first).alias("conserved"), (F.col("com_y").between(0, 31) & F.col("com_x").between(0, 31)).alias("tracked"))
 
-@query()
-def simulate_mass(spark, sf_dir):
-    world = simulation.World(32, 32, 20, 4)
-    return simulation.rollouts(params.population(params.seeds(spark, 0, 16), 4).repartition(8), world)
 
+def ecosystem_rows(spark: SparkSession, sf_dir: str, species: int, signal: bool = False) -> DataFrame:
+    """An experiment of each region, with one row a species; small worlds."""
+    region = V.table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("key"))
+    rows = region.withColumn("species", F.explode(F.array(*[F.lit(i) for i in range(species)])))
+    made = params.population(rows.select((F.col("key") * 100 + F.col("species")).alias("seed")), 3, signal).withColumnRenamed("seed", "_seed")
+    whole = rows.join(made, F.col("_seed") == F.col("key") * 100 + F.col("species")).drop("_seed")
+    return whole.withColumns({"n": F.lit(2), "patch": F.lit(6), "min_dist": F.lit(8), "seed": F.col("key"), "snapshot_every": F.lit(5)}).drop("key")
 
-def ecosystem(spark: SparkSession, species: int) -> DataFrame:
-    made = params.population(params.seeds(spark, 0, species), 3).withColumnRenamed("seed", "species")
-    rows = made.withColumns({"name": F.lit("eco"), "n": F.lit(2), "patch": F.lit(6), "min_dist": F.lit(10), "seed": F.lit(0).cast("long"), "snapshot_every": F.lit(5)})
-    return simulation.ecosystems(rows, simulation.World(32, 32, 10, 3))
 
+WORLD = simulation.World(32, 32, 10, 3)
 
-@query()
+
+@query("SELECT r_name AS name, CAST(snap AS INT) AS snap, true AS some, true AS consistent FROM region, range(2) t(snap)")
 def homo_ecosystem(spark, sf_dir):
-    own = ecosystem(spark, 1)
-    return ownership.patches(ownership.homo_mask(own.drop("w"), "name"), 32, "name", "snap", mask=0.0)
+    """Patches of the one species of each experiment: some, and as many as have a size."""
+    own = simulation.ecosystems(ecosystem_rows(spark, sf_dir, 1), WORLD)
+    found = ownership.patches(ownership.homo_mask(own.drop("w"), "name"), 32, "name", "snap", mask=0.0)
+    return found.select("name", "snap", (F.col("patch_count") > 0).alias("some"), (F.size("patch_sizes") == F.col("patch_count")).alias("consistent"))
 
 
-@query()
+@query("SELECT r_name AS name, CAST(a AS INT) AS a, CAST(b AS INT) AS b, true AS bounded FROM region, range(2) s(a), range(2) t(b)")
 def hetero_ecosystem(spark, sf_dir):
-    return ownership.interaction(ecosystem(spark, 2), "snap", "name")
+    """Interaction of every pair of species of each experiment: null, or no more than the range of growth."""
+    found = ownership.interaction(simulation.ecosystems(ecosystem_rows(spark, sf_dir, 2), WORLD), "snap", "name")
+    return found.select("name", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), (F.col("coefficient").isNull() | (F.abs("coefficient") <= 6.0)).alias("bounded"))
+
+
+@query("SELECT r_name AS name, CAST(step AS INT) AS step, true AS drained, true AS shared FROM region, range(11) t(step)")
+def ecosystem_history(spark, sf_dir):
+    """Every step of two species with signals: mass is only lost to emission, species share it, nothing is emitted before the first step."""
+    from pyspark.sql import Window
+
+    h = simulation.ecosystem_histories(ecosystem_rows(spark, sf_dir, 2, True), WORLD, True)
+    steps = h.groupBy("name", "step").agg(F.sum("mass").alias("mass"), F.sum("emitted").alias("emitted"), F.bool_and((F.col("mass") >= 0) & (F.col("territory") >= 0)).alias("shared"))
+    before = F.lag("mass").over(Window.partitionBy("name").orderBy("step"))
+    drained = F.coalesce(F.abs(before - F.col("emitted") - F.col("mass")) <= 1e-3 * before + 1e-6, F.lit(True))
+    return steps.select("name", "step", drained.alias("drained"), ((F.col("step") > 0) | (F.col("emitted") == 0)).alias("_still"), "shared").select("name", "step", (F.col("drained") & F.col("_still")).alias("drained"), "shared")
+
+
+@query("SELECT r_name AS name, CAST(snap AS INT) AS snap, CAST(species AS INT) AS species, 16 AS channels, true AS positive FROM region, range(2) t(snap), range(2) s(species)")
+def ecosystem_signal(spark, sf_dir):
+    """Channel means at every snapshot, over space and where each species is."""
+    found = simulation.ecosystem_signals(ecosystem_rows(spark, sf_dir, 2, True), WORLD)
+    return found.groupBy("name", "snap", "species").agg(F.count("*").cast("int").alias("channels"), F.bool_and((F.col("mean") >= 0) & (F.col("received") >= 0)).alias("positive"))
+
+
+# --- what viewers show ----------------------------------------------------------------------------
+
+
+@query(f"WITH {V.ROLL}, b AS (SELECT run_id, min(arrival) AS x0, max(arrival) AS x1, min(quality) AS y0, max(quality) AS y1 FROM roll WHERE quality IS NOT NULL GROUP BY run_id) SELECT run_id, arrival, round(CASE WHEN x1 > x0 THEN CAST(arrival - x0 AS DOUBLE) * 300 / (x1 - x0) ELSE CAST(0 AS DOUBLE) END, 6) AS px, round(CASE WHEN y1 > y0 THEN 80 - (quality - y0) * 80 / (y1 - y0) ELSE CAST(40 AS DOUBLE) END, 6) + 0.0 AS py FROM roll JOIN b USING (run_id) WHERE quality IS NOT NULL")
+def chart_points(spark, sf_dir):
+    return views.chart(V.rollouts(spark, sf_dir), "arrival", "quality", "run_id", width=300.0, height=80.0)
+
+
+@query(f"WITH {SCALE}, c AS (SELECT axis, CAST(CASE WHEN p95 > p5 THEN least(greatest(floor((v - p5) / (p95 - p5) * 28), 0), 27) ELSE 0 END AS INT) AS bucket, count(*) AS n FROM long JOIN scale USING (axis) GROUP BY ALL) SELECT axis, bucket, n, CAST(least(ceil(n * 4.0 / max(n) OVER (PARTITION BY axis)), 4) AS INT) AS shade FROM c")
+def coverage_shade(spark, sf_dir):
+    rows = V.rollouts(spark, sf_dir)
+    return views.shaded(metrics.coverage(rows, calibration.axis_scale(rows)))
+
+
+@query(f"WITH {V.CELLED} SELECT run_id, cell, arrival FROM (SELECT run_id, cell, arrival, row_number() OVER (PARTITION BY run_id ORDER BY cell) AS k FROM (SELECT *, row_number() OVER (PARTITION BY run_id, cell ORDER BY quality DESC, arrival) AS rn FROM celled WHERE quality IS NOT NULL) WHERE rn = 1) WHERE k = 1")
+def first_occupied(spark, sf_dir):
+    return views.preview(archive.best_per_cell(celled(spark, sf_dir), "run_id"), "run_id").select("run_id", "cell", "arrival")
+
+
+@query(f"WITH {V.CELLED}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, cell ORDER BY quality DESC, arrival) AS rn FROM celled WHERE quality IS NOT NULL) WHERE rn = 1) SELECT run_id, cell, round(quality, 6) AS quality, row_number() OVER (PARTITION BY run_id ORDER BY quality DESC, cell) AS place FROM best WHERE quality >= 0.3 AND d1 BETWEEN 3 AND 20")
+def viewer_cells(spark, sf_dir):
+    best = archive.best_per_cell(celled(spark, sf_dir), "run_id")
+    return views.cells(best, "run_id", least=0.3, ranges={"d1": (3, 20)}, by="quality").select("run_id", "cell", "quality", "place")
+
+
+@query(f"WITH {V.CELLED}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, cell ORDER BY quality DESC, arrival) AS rn FROM celled WHERE quality IS NOT NULL) WHERE rn = 1) SELECT run_id, arrival, cell, row_number() OVER (ORDER BY run_id, cell) - 1 AS id FROM best WHERE run_id < 4")
+def union_of_archives(spark, sf_dir):
+    best = archive.best_per_cell(celled(spark, sf_dir), "run_id")
+    return archive.union(*[best.where(F.col("run_id") == r) for r in range(4)]).select("run_id", "arrival", "cell", "id")
+
+
+@query(f"WITH {V.CREATURE} SELECT id, run FROM creature WHERE quality >= 0.45 AND list_max(emission) > 0.25")
+def signal_creatures(spark, sf_dir):
+    c = V.creatures(spark, sf_dir).withColumn("emission", F.when(F.array_max("emission") > 0.25, F.col("emission")))
+    return pairs.signal_creatures(c, 0.45).select("id", "run")
 
 
 @query()

@@ -10,7 +10,7 @@ from tessella.functions import params as P
 from tessella.functions import text, vectors
 from tessella.operators import archive as A
 from tessella.operators import calibration as C
-from tessella.operators import fields, metrics, ownership, pairs, quality, series, simulation, spawn
+from tessella.operators import fields, metrics, ownership, pairs, quality, search, series, simulation, spawn
 from tessella.sources import config, tables
 from tessella.streaming import events as stream
 
@@ -236,7 +236,7 @@ def test_logs_documents_and_artifacts(spark, tmp_path):
     assert (tmp_path / "art/p/q.bin").read_bytes() == b"abc"
     for n in (1, 2):
         tables.checkpoint_table(spark.range(n), f"{tmp_path}/ck")
-        assert spark.read.parquet(f"{tmp_path}/ck").count() == n
+        assert tables.read_checkpoint(spark, f"{tmp_path}/ck").count() == n
     assert tables.latest(spark, str(tmp_path), "*.bin").endswith("/p")
     gpu = tables.parse_gpu_csv(spark.createDataFrame([("0, RTX, 55, [N/A], 100, 200, 60, 70.5, 200, 1, 2, P0, [N/A]",)], "value string")).first()
     assert gpu["utilization"] == 55.0 and gpu["memory_utilization"] is None and gpu["fan"] is None and gpu["pstate"] == "P0"
@@ -257,7 +257,7 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_search_fills_an_archive(spark):
-    events, best = simulation.search(spark, simulation.World(24, 24, 8, 3), budget=12, calibration=6, cells=8, batch=6, random_phase=6)
+    events, best = search.search(spark, simulation.World(24, 24, 8, 3), budget=12, calibration=6, cells=8, batch=6, random_phase=6)
     assert events.count() == 12 and set(r["status"] for r in events.collect()) <= set(A.STATUSES)
     assert best.count() <= 8
 
