@@ -76,8 +76,9 @@ class Isotonic:
                 for i in range(3):
                     blocks[-1][i] += a[i]
         self.at = np.array([b[2] / b[1] for b in blocks])
-        # one more of each label in every block keeps scores off 0 and 1
-        self.value = np.maximum.accumulate(np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks]))
+        # scores stay off 0 and 1 by half a row
+        off = 0.5 / (len(margin) + 1)
+        self.value = np.clip(np.array([b[0] / b[1] for b in blocks]), off, 1 - off)
         return self
 
     def __call__(self, margin: np.ndarray) -> np.ndarray:

@@ -3,9 +3,11 @@
 The features of a text are densities of words from a lexicon, also of words
 that are spelled around it (digits and signs for letters, repeated or spaced
 letters), closeness of lexicon words to the second person, and rates of
-capitals, punctuation and obfuscated words. The lexicon is what the labelled
-rows of one fold say more often in toxic texts; trees are fitted on a second
-fold and calibrated by isotonic regression on a third.
+capitals, punctuation and obfuscated words. The lexicon is what labelled rows say
+more often in toxic texts. It is cross-fitted: the rows are dealt into FOLDS, and
+each has its features by the lexicon of the other folds, as new texts have them.
+Trees are fitted on all rows, and isotonic regression calibrates them by margins
+that trees of the other folds give; texts are scored with the lexicon of all.
 
 Cases: a null or empty text is scored by its (zero) features; a doc_id with
 several labels takes the greatest; without labels of both kinds every score is
@@ -30,6 +32,7 @@ from tessella.llm.stage import bounded_batches
 FIT_DOCS = 40_000
 #: Words of the lexicon, at most; documents that must have one; least ratio of its shares.
 LEXICON, MIN_DOCS, MIN_RATIO = 4_000, 4, 3.0
+FOLDS = 5
 #: Second-person pronouns of English, German, French and Spanish.
 SECOND = "you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split()
 #: What stands for letters in obfuscated words.
@@ -196,31 +199,50 @@ def features(data: np.ndarray, off: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def count_words(batches: Iterator[pa.RecordBatch], labels: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that have a word, by word hash."""
-    keys, ones = [], []
+def count_words(batches: Iterator[pa.RecordBatch], labels: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Labelled documents that have a word, and toxic ones of them, by word hash and fold."""
+    keys, folds, ones = [], [], []
     for part, data, off in A.chunks(batches):
-        ids = part.column(0).to_pylist()
-        mine = np.array([labels.get(i, -1) for i in ids])
+        known = [labels.get(i, (-1, -1)) for i in part.column(0).to_pylist()]
+        fold, mine = np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], np.int64)
         w = Words(data, off)
         use = (w.keys != 0) & (mine[w.doc] >= 0)
-        odd, forms = w.plain_forms()
         pair = np.unique(np.stack([w.keys[use], w.doc[use].astype(A.U64)]), axis=1)
+        doc = pair[1].astype(np.int64)
         keys.append(pair[0])
-        ones.append(mine[pair[1].astype(np.int64)])
-        del odd, forms
+        folds.append(fold[doc])
+        ones.append(mine[doc])
     if keys:
-        each, where = np.unique(np.concatenate(keys), return_inverse=True)
-        toxic = np.bincount(where.ravel(), weights=np.concatenate(ones), minlength=len(each)).astype(np.int64)
-        total = np.bincount(where.ravel(), minlength=len(each))
-        yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(total), pa.array(toxic)], names=["word", "n", "toxic"])
+        key, fold, one = (np.concatenate(x) for x in (keys, folds, ones))
+        each, where = np.unique(key, return_inverse=True)
+        where = where.ravel() * FOLDS + fold
+        total = np.bincount(where, minlength=len(each) * FOLDS)
+        toxic = np.bincount(where, weights=one, minlength=len(each) * FOLDS).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(each[at // FOLDS].view(np.int64)), pa.array((at % FOLDS).astype(np.int32)), pa.array(total[at]), pa.array(toxic[at])], names=["word", "fold", "n", "toxic"])
 
 
-def vectors(batches: Iterator[pa.RecordBatch], labels: dict[int, int], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+def vectors(batches: Iterator[pa.RecordBatch], labels: dict[int, tuple[int, int]], lexicons: list[Lexicon]) -> Iterator[pa.RecordBatch]:
+    """Features of labelled rows, each by the lexicon of the other folds."""
     for part, data, off in A.chunks(batches):
-        x = features(data, off, lexicon)
-        ids = part.column(0)
-        yield pa.RecordBatch.from_arrays([ids, pa.array([labels[i] for i in ids.to_pylist()], pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+        ids = part.column(0).to_pylist()
+        fold = np.array([labels[i][0] for i in ids], np.int64)
+        x = np.zeros((len(ids), len(FEATURES)))
+        for k in np.unique(fold):
+            mine = np.flatnonzero(fold == k)
+            size = np.diff(off)[mine]
+            x[mine] = features(data[A.ranges(off[mine], size)], np.r_[0, np.cumsum(size)], lexicons[k])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fold.astype(np.int32)), pa.array([labels[i][1] for i in ids], pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "fold", "label", "x"])
+
+
+def lexicon_of(words: np.ndarray, n: np.ndarray, toxic: np.ndarray, rows: tuple[int, int]) -> Lexicon:
+    """The words that are MIN_RATIO times as likely in toxic rows, at most LEXICON; ``rows`` counts all and the toxic ones."""
+    bad = max(rows[1], 1)
+    good = max(rows[0] - bad, 1)
+    w = np.log((toxic + 0.5) / (bad + 1)) - np.log((n - toxic + 0.5) / (good + 1))
+    use = np.flatnonzero((toxic >= MIN_DOCS) & (w >= np.log(MIN_RATIO)))
+    use = use[np.lexsort((words[use], -w[use] * np.sqrt(toxic[use])))[:LEXICON]]
+    return Lexicon(words[use].view(A.U64), w[use])
 
 
 class Model:
@@ -240,17 +262,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     n = known.count()
     if n > fit_docs:
         known = known.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * fit_docs / n))
-    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(10))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
     rows = known.select("doc_id", "toxic", fold.alias("fold")).collect()
     share = float(np.mean([r["toxic"] for r in rows])) if rows else 0.0
     nothing = Model(Lexicon(np.empty(0, A.U64), np.empty(0)), None, None, share)
     if share in (0.0, 1.0):
         return nothing
-    folds = [{r["doc_id"]: r["toxic"] for r in rows if r["fold"] in f} for f in ({0, 1, 2, 3}, {4, 5, 6, 7}, {8, 9})]
-
-    def of(fold_no: int, fn, schema: str) -> DataFrame:
-        held = spark.sparkContext.broadcast(folds[fold_no])
+    held = spark.sparkContext.broadcast({r["doc_id"]: (r["fold"], r["toxic"]) for r in rows})
 
+    def of(fn, schema: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = np.array(sorted(held.value), np.int64)
 
@@ -262,23 +282,34 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
 
         return docs.mapInArrow(run, schema)
 
-    words = of(0, count_words, "word long, n long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    toxic = max(sum(folds[0].values()), 1)
-    clean = max(len(folds[0]) - toxic, 1)
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("n") - F.col("toxic") + 0.5) / (clean + 1)))
-    found = words.where(F.col("toxic") >= MIN_DOCS).withColumn("w", odds).where(F.col("w") >= float(np.log(MIN_RATIO))).orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "word").limit(LEXICON).toPandas()
-    lexicon = Lexicon(found["word"].to_numpy(np.int64).view(A.U64), found["w"].to_numpy(float)) if len(found) else nothing.lexicon
-
-    def matrix(fold_no: int) -> tuple[np.ndarray, np.ndarray]:
-        got = of(fold_no, lambda it, held: vectors(it, held, lexicon), "doc_id long, label int, x array<double>").orderBy("doc_id").toPandas()
-        return (np.stack(got["x"]), got["label"].to_numpy(float)) if len(got) else (np.empty((0, len(FEATURES))), np.empty(0))
-
-    x, y = matrix(1)
-    v, z = matrix(2)
-    if len(set(y)) < 2 or not len(z):
+    counts = of(count_words, "word long, fold int, n long, toxic long").groupBy("word").agg(*[F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("n", "toxic") for k in range(FOLDS)])
+    whole = {c: sum((F.col(f"{c}{k}") for k in range(1, FOLDS)), F.col(f"{c}0")) for c in ("n", "toxic")}
+    # half the ratio over all folds: no word of a lexicon without one of them is left out for its odds
+    bad = max(sum(r["toxic"] for r in rows), 1)
+    good = max(len(rows) - bad, 1)
+    odds = F.log((whole["toxic"] + 0.5) / (bad + 1) / ((whole["n"] - whole["toxic"] + 0.5) / (good + 1)))
+    found = counts.where((whole["toxic"] >= MIN_DOCS) & (odds >= float(np.log(MIN_RATIO / 2)))).orderBy(F.desc(odds * F.sqrt(whole["toxic"])), "word").limit(2 * LEXICON).toPandas()
+    size = np.bincount([r["fold"] for r in rows], minlength=FOLDS)
+    toxic = np.bincount([r["fold"] for r in rows], weights=[r["toxic"] for r in rows], minlength=FOLDS)
+    words = found["word"].to_numpy(np.int64)
+    by = {c: found[[f"{c}{k}" for k in range(FOLDS)]].to_numpy(float).reshape(-1, FOLDS) for c in ("n", "toxic")}
+    without = [lexicon_of(words, by["n"].sum(axis=1) - by["n"][:, k], by["toxic"].sum(axis=1) - by["toxic"][:, k], (size.sum() - size[k], toxic.sum() - toxic[k])) for k in range(FOLDS)]
+    lexicon = lexicon_of(words, by["n"].sum(axis=1), by["toxic"].sum(axis=1), (size.sum(), toxic.sum()))
+
+    got = of(lambda it, labels: vectors(it, labels, without), "doc_id long, fold int, label int, x array<double>").orderBy("doc_id", F.hash("x")).toPandas()
+    if not len(got) or got["label"].nunique() < 2:
         return nothing
-    trees = Boosted(leaf=min(20.0, len(y) / 20)).fit(x, y)
-    return Model(lexicon, trees, Isotonic().fit(trees.margin(v), z), share)
+    x, y, fold_of = np.stack(got["x"]), got["label"].to_numpy(float), got["fold"].to_numpy()
+    leaf = min(20.0, max(3.0, y.sum() / 8))
+    margin, known_margin = np.zeros(len(y)), np.zeros(len(y), bool)
+    for k in range(FOLDS):
+        rest, mine = fold_of != k, fold_of == k
+        if mine.any() and len(set(y[rest])) == 2:
+            margin[mine], known_margin[mine] = Boosted(leaf=leaf).fit(x[rest], y[rest]).margin(x[mine]), True
+    trees = Boosted(leaf=leaf).fit(x, y)
+    if len(set(y[known_margin])) < 2:  # folds without both kinds: the trees' own margins
+        margin, known_margin = trees.margin(x), np.ones(len(y), bool)
+    return Model(lexicon, trees, Isotonic().fit(margin[known_margin], y[known_margin]), share)
 
 
 def score(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> DataFrame:

@@ -64,3 +64,24 @@ def test_spellings_around_the_lexicon_are_hits():
     for word in ("idiot", "idiot!!!!", '"((idiot))"?!?!', "1d10t!!!!", "$h!t", "sh!t", "i d i o t", "an i d 1 0 t !!!! is", "x*" + "ab" * 25, "é i"):
         assert hits(f"ok {word} fine") == (word != "é i"), word
     assert hits("") == 0 and hits("!!!! **") == 0 and hits("i d i ot") == 0
+
+
+def test_margins_equal_a_walk_through_each_tree():
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(400, 5)), (rng.random(400) < 0.3).astype(float)
+    model = Boosted(trees=7, leaf=5).fit(x, y)
+    for row, margin in zip(x[:60], model.margin(x[:60])):
+        total = model.base
+        for features, limits, value in model.splits:
+            node = 0
+            for _ in range(model.depth):
+                bin_no = sum(row[features[node]] >= e for e in model.edges[features[node]])
+                node = 2 * node + (2 if bin_no > limits[node] else 1)
+            total += value[node - (2**model.depth - 1)]
+        assert abs(total - margin) < 1e-9
+
+
+def test_lexicons_of_folds_leave_out_their_own_rows():
+    n, toxic = np.array([10.0, 9.0, 6.0]), np.array([9.0, 3.0, 6.0])
+    found = toxicity.lexicon_of(np.array([11, 22, 33]), n, toxic, (100, 20))
+    assert sorted(found.keys.tolist()) == [11, 33] and toxicity.lexicon_of(np.array([11]), n[:1], np.array([1.0]), (100, 20)).keys.tolist() == []
