@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyspark.sql.functions as F
@@ -49,3 +50,34 @@ def test_clean_texts_of_many_languages_stay(spark):
     docs = spark.createDataFrame(rows + [(1000, " ".join(text(v, 40) for v in vocab), None), (1001, "12 34", None)], "doc_id long, text string, lang string")
     assert L.identify(docs, L.crc_mod(4) != 2).where("doc_id = 1000").first()["score"] < 0.3
     assert {r["doc_id"] for r in L.keep(docs, L.crc_mod(4) != 2).collect()} == {r[0] for r in rows} | {1000}
+
+
+def test_scores_equal_sums_word_by_word(spark):
+    rng = random.Random(9)
+    vocab = {"xx": ["hare", "lomit", "fendor"], "yy": ["gluv", "prunk", "zahd", "hare"]}
+    rows = [(i, " ".join(rng.choice(vocab[v]) for _ in range(rng.randrange(1, 9))), v) for i, v in enumerate(rng.choices(list(vocab), k=60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs, F.lit(True))
+    got = {r["doc_id"]: r for r in L.identify(docs, F.lit(True)).collect()}
+    for i, text, _ in rows:
+        total = np.zeros(2)
+        for word in text.split():
+            data = np.frombuffer(word.encode(), np.uint8)
+            buckets, _ = L.gram_buckets(data, np.array([0]), np.array([len(data)]))
+            assert len(buckets) == sum(len(word) + 2 - n + 1 for n in L.ORDERS)
+            score = sum(model.table[b].astype(float) for b in buckets) / np.sqrt(len(L.ORDERS))
+            total += np.maximum(score - score.max(), -L.WORD_CAP)
+        if len(got[i]["spans"]) == 1:
+            odds = np.exp((total - total.max()) / np.sqrt(len(text.split())))
+            # a text whose path was searched scores by its letters: all of them, in one span
+            assert got[i]["lang_pred"] == model.langs[int(total.argmax())] and min(abs(got[i]["score"] - s) for s in ((odds / odds.sum()).max(), 1.0)) < 1e-6
+
+
+def test_one_long_text_beside_many_short_ones_stays_small():
+    rng = np.random.default_rng(1)
+    scores = [rng.normal(size=(100_000, 4))] + [rng.normal(size=(int(n), 4)) for n in rng.integers(3, 20, 5000)]
+    tracemalloc.start()
+    paths = L.viterbi(scores, 5.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and [len(p) for p in paths] == [len(s) for s in scores]

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tessella.llm import outliers as O
 
 WS = r"[\x20\x09-\x0D]"
@@ -49,3 +51,35 @@ def test_base_columns_equal_brute_force_and_junk_is_rejected(spark):
     assert sum(by[i]["kept"] for i in range(600)) >= 598
     assert not any(by[i]["kept"] for i in range(600, 650))
     assert O.report(O.verdicts(docs.limit(0))).count() == 0
+
+
+def distances(x, steps=O.STEPS, keep=O.KEEP):
+    """Squared distances of one group by concentration steps, with numpy."""
+    floor = np.array(list(O.STATS.values())) ** 2
+    mid = np.median(np.round(x, 3), axis=0)
+    spread = 1.4826 * np.median(np.round(np.abs(x - mid), 3), axis=0)
+    centre, scatter = mid, np.diag(spread**2 + floor)
+    for _ in range(steps):
+        d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+        ln = np.round(np.log(d + 1e-9), 3)
+        near = x[ln <= np.percentile(ln, 100 * keep)]
+        centre = near.mean(axis=0)
+        scatter = O.CONSISTENT * (near - centre).T @ (near - centre) / len(near) + np.diag(floor)
+    return np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+
+
+def test_distances_and_verdicts_equal_numpy(spark):
+    data = [r for r in rows() if r[2] == "xx"]
+    data += [(2000 + i, t, None if i % 2 else "", r3) for i, (_, t, _, r3) in enumerate(data[:240])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    stats = O.grouped(O.statistics(docs), O.MIN_GROUP).where("x0 is not null").toPandas().sort_values(["doc_id", "x0"], ignore_index=True)
+    # null and empty languages are two groups, each too small for its sources
+    assert {g for g in stats["g"]} >= {'[""]', '["="]'}
+    scored = O.verdicts(docs).where("x0 is not null").toPandas().sort_values(["doc_id", "x0"], ignore_index=True)
+    x = stats[[f"x{i}" for i in range(O.D)]].to_numpy()
+    want = np.zeros(len(x))
+    for g in stats["g"].unique():
+        mine = (stats["g"] == g).to_numpy()
+        want[mine] = distances(x[mine])
+    assert np.allclose(scored["d2"], want, rtol=1e-5, atol=1e-7)
+    assert (scored["kept"] == (~scored["base_failed"] & (want <= O.FAR))).all()
