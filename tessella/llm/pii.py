@@ -52,8 +52,8 @@ OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
 KINDS = (*PATTERNS, "term")
 SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
 WORD = r"[\p{L}\p{N}_]"
-#: Evidence and threshold for disclosure, least length of a term.
-MIN_CONTEXTS, DISCLOSURE, MIN_WORD = 3, 0.75, 3
+#: Evidence for disclosure; share of an entity's information that discloses it: half; least length of a term.
+MIN_CONTEXTS, DISCLOSURE, MIN_WORD = 3, 0.5, 3
 #: Bins and bands of a text's sketch; share of agreeing bins that makes two texts near copies.
 BINS, BAND, NEAR = 64, 4, 0.7
 
