@@ -1,53 +1,15 @@
-"""Written intermediate tables in the folder that all executors share."""
+"""Written intermediate tables in the folder that all executors share, and rows told apart by id and text."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.session import ship
+from tessella.sources.tables import release
+from tessella.sources.tables import stage as save
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; without that setting, one beside the warehouse (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_stages"
-
-
-#: Spark's setting that a finished query deletes its shuffle files.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: later jobs survive lost executors and recompute nothing.
-
-    The write's shuffle files go as soon as it is done.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete tables of save() that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["bounded_batches", "release", "save", "text_key", "without"]
 
 
 def text_key(text_col: str) -> Column:
@@ -66,6 +28,9 @@ def without(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Dat
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of a few thousand rows, so that a batch of long texts stays small, for workers that have this package."""
+    """Arrow batches of a few thousand rows, so that a batch of long texts stays small, for workers that have this package.
+
+    Results are lazy, so the session keeps the setting; it changes no result.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
