@@ -24,7 +24,7 @@ suffixes at its ends, which differ.
 Cases: a null or empty text has no bytes and no spans; texts under LENGTH bytes
 stay; rows that repeat a doc_id and its text are all judged as that one document,
 and rows of one doc_id with different texts do not precede each other where they
-start alike; other columns are ignored or kept.
+start alike; a null doc_id precedes all others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
 from tessella.llm.sharing import KEY_DTYPE, SLICE_TYPE, Sharer, sharing_owners
-from tessella.llm.stage import bounded_batches, save
+from tessella.llm.stage import bounded_batches, release, save
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
@@ -49,6 +49,8 @@ PIECE, RUN, MERGE = 1 << 18, 60_000, 80_000
 #: Grams of one fragment of the first exchange, about.
 FRAGMENT = 1_000_000
 PLACE_BITS = 24
+#: Stands for a null id, which so precedes all others.
+NO_ID = -(1 << 63)
 #: Bytes of text at a time: the kernels hold about a hundred bytes for each.
 CHUNK = 1 << 18
 _POWERS = A.powers(A.BASE, 1)
@@ -68,7 +70,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, place, least and most distance to its windows' starts, gram hash) of each anchor."""
+    """(document, place, least and most distance to its windows' starts, gram) of each anchor.
+
+    Anchors have the least hashes, so these are mixed once more: fragments of the
+    hash space get as many of them each.
+    """
     starts = np.maximum(np.diff(off) - LENGTH + 1, 0)
     if not starts.any():
         return (np.empty(0, np.int64),) * 4 + (np.empty(0, A.U64),)
@@ -81,7 +87,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     last = np.r_[first[1:], len(at)] - 1
     place = at[first]
-    return doc[first], place, place - valid[last], place - valid[first], h[place]
+    return doc[first], place, place - valid[last], place - valid[first], A.mix(h[place])
 
 
 def pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -200,12 +206,8 @@ class Runs:
 
     def copies(self, table: np.ndarray, doc: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple:
         """A row of whole intervals to remove, for a group beyond those of the mergers."""
-        order = np.lexsort((place - most, doc))
-        doc, starts, ends = doc[order], (place - most)[order], (place - least.astype(np.int64) + LENGTH)[order]
-        base = doc * (1 << 40)  # documents apart, so that one pass merges the intervals of all
-        starts, ends = merged(starts + base, ends + base)
-        doc = starts >> 40
-        starts, ends = starts - doc * (1 << 40), ends - doc * (1 << 40)
+        starts, ends = place - most, place - least.astype(np.int64) + LENGTH
+        doc, starts, ends = merged_by(doc, starts, ends)
         used, local = np.unique(doc, return_inverse=True)
         number = self.groups + int(table["id"][used[0]] % self.groups)
         return (number, table[used].tobytes(), local.astype(np.uint32).tobytes(), starts.tobytes(), b"", b"", b"", ends.tobytes())
@@ -310,25 +312,69 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, i
             node //= 2
 
 
-SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
-SPAN_TYPE = "doc_id long, key long, starts binary, ends binary"
+SPANS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
+SPAN_TYPE = "bucket int, docs binary, counts binary, starts binary, ends binary"
+SPREAD = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
+#: Documents whose intervals meet in one task, about.
+BUCKET = 20_000
+#: Tells the intervals of different documents apart when all are merged at once.
+APART = 1 << 40
+
+
+def merged_by(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, starts, ends) of the maximal runs of each document, in order."""
+    base = doc.astype(np.int64) * APART
+    order = np.argsort(starts + base, kind="stable")
+    s, e = merged((starts + base)[order], (ends + base)[order])
+    doc = s // APART
+    return doc, s - doc * APART, e - doc * APART
 
 
-def copied_spans(group: pa.Table) -> pa.Table:
-    """The intervals of Runs.copies(), by document."""
-    out = []
+def span_rows(table: np.ndarray, doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int) -> pa.Table:
+    """One row for each bucket of documents: which, how many intervals of each, and the intervals."""
+    if not len(doc):
+        return SPANS.empty_table()
+    where = (A.mix(table["id"].view(A.U64) ^ A.mix(table["key"].view(A.U64))) % A.U64(buckets)).astype(np.int64)
+    rank = np.argsort(where, kind="stable")
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    doc, starts, ends = merged_by(place[doc], starts, ends)
+    used, first, counts = np.unique(doc, return_index=True, return_counts=True)
+    owner, bucket = table[rank[used]], where[rank[used]]
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    rows = []
+    for a, b in zip(cut, np.r_[cut[1:], len(used)], strict=True):
+        x, y = first[a], first[b] if b < len(used) else len(starts)
+        rows.append((int(bucket[a]), owner[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), starts[x:y].tobytes(), ends[x:y].tobytes()))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SPANS.types, strict=True)], schema=SPANS)
+
+
+def by_document(group: pa.Table) -> pa.Table:
+    """All intervals of a bucket's documents, a row for each."""
+    of = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group[c]])
+    table, counts = of("docs", DOC_DTYPE), of("counts", np.uint32)
+    each, index = np.unique(table, return_inverse=True)
+    doc, starts, ends = merged_by(np.repeat(index.ravel(), counts), of("starts", np.int64), of("ends", np.int64))
+    size = np.bincount(doc, minlength=len(each))
+    return pa.Table.from_arrays([pa.array(each["id"]), pa.array(each["key"]), A.binary_rows(starts, size), A.binary_rows(ends, size)], schema=SPREAD)
+
+
+def copied_spans(group: pa.Table, buckets: int) -> pa.Table:
+    """The intervals of Runs.copies(), by bucket of documents."""
+    tables, docs, starts, ends, base = [], [], [], [], 0
     for r in group.to_pylist():
-        table, doc = np.frombuffer(r["docs"], DOC_DTYPE), np.frombuffer(r["doc"], np.uint32)
-        starts, ends = np.frombuffer(r["place"], np.int64), np.frombuffer(r["text"], np.int64)
-        edge = np.searchsorted(doc, np.arange(len(table) + 1))
-        out += [(int(table["id"][i]), int(table["key"][i]), starts[a:b].tobytes(), ends[a:b].tobytes()) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SPANS.types, strict=True)], schema=SPANS)
+        tables.append(np.frombuffer(r["docs"], DOC_DTYPE))
+        docs.append(np.frombuffer(r["doc"], np.uint32).astype(np.int64) + base)
+        starts.append(np.frombuffer(r["place"], np.int64))
+        ends.append(np.frombuffer(r["text"], np.int64))
+        base += len(tables[-1])
+    return span_rows(np.concatenate(tables), np.concatenate(docs), np.concatenate(starts), np.concatenate(ends), buckets)
 
 
-def repeats(group: pa.Table, groups: int) -> pa.Table:
-    """Intervals of bytes to remove, by document, from the sorted runs of one merger."""
+def repeats(group: pa.Table, groups: int, buckets: int) -> pa.Table:
+    """Intervals of bytes to remove, by bucket of documents, from the sorted runs of one merger."""
     if group["grp"][0].as_py() >= groups:
-        return copied_spans(group)
+        return copied_spans(group, buckets)
     cols = {c: [x.as_buffer().to_pybytes() for x in group[c]] for c in RUNS.names[1:]}
     docs, run_at, base = [], [0], 0
     doc, place, least, most = [], [], [], []
@@ -397,14 +443,7 @@ def repeats(group: pa.Table, groups: int) -> pa.Table:
     row, a = np.nonzero(edge == 1)
     _, b = np.nonzero(edge == -1)  # distances a .. b - 1 of this row are removed
     who, starts, ends = doc[row], place[row] - (b - 1), place[row] - a + LENGTH
-    sort = np.lexsort((starts, who))
-    who, starts, ends = who[sort], starts[sort], ends[sort]
-    heads_at = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-    out = []
-    for x, y in zip(heads_at, np.r_[heads_at[1:], len(who)], strict=True):
-        s, e = merged(starts[x:y], ends[x:y])
-        out.append((int(docs["id"][who[x]]), int(docs["key"][who[x]]), s.tobytes(), e.tobytes()))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SPANS.types, strict=True)], schema=SPANS)
+    return span_rows(docs, who, starts, ends, buckets)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -415,37 +454,41 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(doc_id, key, starts, ends): intervals of bytes that are repeats, some rows for a document.
+    """(doc_id, key, starts, ends): the maximal runs of bytes that are repeats, of each document that has any.
 
-    ``texts`` has doc_id, key (a hash of the text) and text.
+    ``texts`` has doc_id, key (a hash of the text) and text; starts and ends are
+    little-endian int64.
     """
     size = texts.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("c")).first()
     fragments = max(2, math.ceil((size["n"] or 0) * 2 / (WINDOW + 1) / FRAGMENT))
+    buckets = max(1, math.ceil(size["c"] / BUCKET))
     parts = texts.mapInArrow(lambda it: gram_slices(it, fragments), SLICE_TYPE)
     own = save(sharing_owners(parts, size["c"], fragments, within=True).select(F.col("hi").alias("doc_id"), F.col("lo").alias("key"), "grams"), "repeated_grams")
     count = own.agg(F.sum(F.length("grams")).alias("n")).first()["n"] or 0
     groups = max(2, math.ceil(count / 8 / MERGE))
     runs = texts.join(own, ["doc_id", "key"]).select("doc_id", "key", F.encode("text", "UTF-8").alias("text"), "grams").mapInArrow(lambda it: sorted_runs(it, groups), RUN_TYPE)
-    return save(runs.groupBy("grp").applyInArrow(lambda t: repeats(t, groups), SPAN_TYPE), "repeats")
+    spans = runs.groupBy("grp").applyInArrow(lambda t: repeats(t, groups, buckets), SPAN_TYPE)
+    found = save(spans.groupBy("bucket").applyInArrow(by_document, "doc_id long, key long, starts binary, ends binary"), "repeats")
+    release(own)
+    return found
 
 
 def removed(texts: DataFrame) -> DataFrame:
-    """texts with starts and ends: lists of blobs of little-endian int64, null for none."""
-    spans = repeated_spans(texts).groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    return texts.join(spans, ["doc_id", "key"], "left")
+    """texts with starts and ends of repeated_spans(), null for none."""
+    return texts.join(repeated_spans(texts), ["doc_id", "key"], "left")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
-def runs_of(starts: list | None, ends: list | None) -> tuple[np.ndarray, np.ndarray]:
-    if not starts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    s, e = np.frombuffer(b"".join(starts), np.int64), np.frombuffer(b"".join(ends), np.int64)
-    order = np.argsort(s, kind="stable")
-    return merged(s[order], e[order])
+def runs_of(starts: bytes | None, ends: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(starts or b"", np.int64), np.frombuffer(ends or b"", np.int64)
 
 
 def kept_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -469,7 +512,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
                 out.append((i, len(raw), int((e - s).sum()), len(s), hashlib.sha256(kept_bytes(raw, s, e)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) if out else pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    return removed(keyed(docs, id_col, text_col)).select("doc_id", "text", "starts", "ends").mapInArrow(digest, REPORT)
+    return named(removed(keyed(docs, id_col, text_col)).select("doc_id", "text", "starts", "ends").mapInArrow(digest, REPORT))
 
 
 def dedupe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -485,4 +528,4 @@ def dedupe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
             texts = [kept_bytes(t.as_buffer().to_pybytes(), *runs_of(s, e)).decode("utf-8", "replace") for t, s, e in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return removed(keyed(docs, id_col, text_col)).select("doc_id", "text", "starts", "ends").mapInArrow(strip, "doc_id long, text string")
+    return named(removed(keyed(docs, id_col, text_col)).select("doc_id", "text", "starts", "ends").mapInArrow(strip, "doc_id long, text string"))
