@@ -44,14 +44,14 @@ from pyspark.sql import functions as F
 
 from tessella.llm import arrays as A
 from tessella.llm.components import components
-from tessella.llm.sharing import BATCH, KEY, KEY_DTYPE, MANY, MAX_OWNERS, SLICE_TYPE, blobs, cut, fragment_of, idents, unpacked
+from tessella.llm.sharing import BATCH, KEY, KEY_DTYPE, MAX_OWNERS, SLICE_TYPE, cut, entries, fragment_of, held_by_several, idents
 from tessella.llm.stage import bounded_batches, release, save, text_key, without
 
 N = 5
 #: Links: DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 #: N-grams of one fragment, about: bounds a worker's memory.
-FRAGMENT = 2_000_000
+FRAGMENT = 1_500_000
 #: Share of its n-grams that a set sends on first beyond those that a linked set may lack.
 EXTRA = 0.15
 #: Vertical fragments of the exact count, and of the counts that bound it.
@@ -145,25 +145,12 @@ HELD = pa.schema([("n", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("c
 
 def held_counts(group: pa.Table, fragments: int) -> pa.Table:
     """Of each set, how many of a fragment's n-grams other sets have as well."""
-    number = group["grp"][0].as_py()
-    grams = np.concatenate([unpacked(x) for x in blobs(group["grams"], np.uint8)])
-    owners, tables, base = [], [], 0
-    for local, table in zip(blobs(group["owners"], np.uint16), blobs(group["keys"], KEY_DTYPE), strict=True):
-        owners.append(np.where(local == MANY, -1, local.astype(np.int32) + base).astype(np.int32))
-        tables.append(table)
-        base += len(table)
-    owners, table = np.concatenate(owners), np.concatenate(tables)
+    grams, owners, table = entries(group, fragments)
     if not len(table):
         return HELD.empty_table()
     ident = idents(table)
-    if number < fragments:
-        order = np.argsort(grams, kind="stable")
-        grams, owners = grams[order], owners[order]
-        begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        who = np.where(owners < 0, A.U64(0), ident[owners])
-        several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
-        several |= np.minimum.reduceat(owners, begin) < 0
-        owners = owners[np.repeat(several, np.diff(np.r_[begin, len(grams)])) & (owners >= 0)]
+    if group["grp"][0].as_py() < fragments and len(grams):
+        owners = owners[held_by_several(grams, owners, ident) & (owners >= 0)]
     count = np.bincount(owners, minlength=len(table))
     # an equal set of another batch counts the same n-grams: the greater of the two
     order = np.lexsort((-count, ident))
@@ -193,7 +180,7 @@ def candidates(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int)
     # a linked set may be smaller, and then shares no more than it sends beyond
     least = F.floor(F.ceil(F.col("n") * num / den) * EXTRA) + 1
     left = save(held.where(F.col("c") >= least).join(classes, ["n", "hi", "lo"]).select(F.col("least").alias("doc_id"), "n", "hi", "lo", "cid"), "sharing_classes")
-    left = left.withColumnRenamed("doc_id", "least")
+    left = left.withColumnRenamed("doc_id", "least").hint("merge")  # grows with the corpus
     return docs.drop("key").join(left, F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "text", "n", "hi", "lo", "cid").mapInArrow(lambda it: whole_sets(it, n), "cid long, n int, grams binary")
 
 
@@ -334,14 +321,14 @@ def torn_rows(found: DataFrame, near: DataFrame, num: int, den: int) -> DataFram
     """
     probes, index = postings(found, num, den)
     rows = probes.withColumn("owned", F.lit(False)).union(index.withColumn("owned", F.lit(True)))
-    rows = rows.join(near, F.col("cid") == near["node"], "left").select(*rows.columns, F.coalesce("component", "cid").alias("comp"))
+    rows = rows.join(near.hint("merge"), F.col("cid") == near["node"], "left").select(*rows.columns, F.coalesce("component", "cid").alias("comp"))
     lists = rows.groupBy("gram", "b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("owned").alias("any")).where("lo <> hi and any").select("gram", "b")
-    torn = save(rows.join(save(lists, "torn_lists"), ["gram", "b"]), "torn_rows")
+    torn = save(rows.join(save(lists, "torn_lists").hint("merge"), ["gram", "b"]), "torn_rows")
     rank = F.struct((F.col("n") - F.col("s")) / F.col("n"), F.col("cid"))
     major = torn.groupBy("gram", "b").agg(F.min_by("comp", rank).alias("major"))
     main = F.col("comp") == F.col("major")
     code = F.when(F.col("owned"), F.when(main, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))).otherwise(F.when(main, F.array(F.lit(0))).otherwise(F.array(F.lit(1))))
-    return torn.join(major, ["gram", "b"]).select(*torn.columns, F.explode(code).alias("code"))
+    return torn.join(major.hint("merge"), ["gram", "b"]).select(*torn.columns, F.explode(code).alias("code"))
 
 
 def torn_pairs(found: DataFrame, near: DataFrame | None, num: int, den: int) -> DataFrame:
@@ -354,7 +341,7 @@ def torn_pairs(found: DataFrame, near: DataFrame | None, num: int, den: int) ->
     else:
         rows = torn_rows(found, near, num, den)
         probes, index = rows.where("not owned"), rows.where("owned")
-    more = found.select("cid", "probe", "own", "bound")
+    more = found.select("cid", "probe", "own", "bound").hint("merge")
     columns = ("cid", "n", "s", "comp")
     x = probes.join(more, "cid").select("gram", "b", "code", *[F.col(c).alias(c + "1") for c in columns], F.col("probe").alias("probe1"), F.col("bound").alias("bound1"))
     y = index.join(more, "cid").select("gram", "b", "code", *[F.col(c).alias(c + "2") for c in columns], F.slice("probe", F.lit(1), F.col("own")).alias("own2"), F.col("bound").alias("bound2"))

@@ -138,9 +138,13 @@ def bundles(grams: np.ndarray, who: np.ndarray, table: np.ndarray, owners: np.nd
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BUNDLE.types, strict=True)], schema=BUNDLE)
 
 
-def shared_grams(group: pa.Table, fragments: int, buckets: int, salts: int, within: bool = False) -> pa.Table:
-    """The hashes of a group that several owners hold, by owner; ``within``: or one owner in several rows."""
-    number = group["grp"][0].as_py()
+def entries(group: pa.Table, fragments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, owner of each, owners' keys) of a group's slices, of hashes that are there several times.
+
+    In a fragment, hashes are sorted, one of a whole batch has the owner -1, and
+    those that come once, which are most, are left out; a group of owners of
+    hashes that a batch repeats is taken as it is.
+    """
     grams = np.concatenate([unpacked(x) for x in blobs(group["grams"], np.uint8)])
     owners, tables, base = [], [], 0
     for local, table in zip(blobs(group["owners"], np.uint16), blobs(group["keys"], KEY_DTYPE), strict=True):
@@ -148,27 +152,43 @@ def shared_grams(group: pa.Table, fragments: int, buckets: int, salts: int, with
         tables.append(table)
         base += len(table)
     owners, table = np.concatenate(owners), np.concatenate(tables)
-    if not len(table):
+    if group["grp"][0].as_py() < fragments and len(grams):
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        same = grams[1:] == grams[:-1]
+        several = np.flatnonzero((np.r_[False, same] | np.r_[same, False]) | (owners[order] < 0))
+        grams, owners = grams[several], owners[order[several]]
+    return grams, owners, table
+
+
+def shared_grams(group: pa.Table, fragments: int, buckets: int, salts: int, within: bool = False) -> pa.Table:
+    """The hashes of a group that several owners hold, by owner; ``within``: or one owner in several rows."""
+    number = group["grp"][0].as_py()
+    grams, owners, table = entries(group, fragments)
+    if not len(table) or not len(grams):
         return BUNDLE.empty_table()
     ident = idents(table)
     if number < fragments:
-        order = np.argsort(grams, kind="stable")
-        grams, owners = grams[order], owners[order]
-        begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        count = np.diff(np.r_[begin, len(grams)])
-        if within:  # an owner that spans batches has a row in each
-            several = count > 1
-        else:
-            who = np.where(owners < 0, A.U64(0), ident[owners])
-            several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
-        several |= np.minimum.reduceat(owners, begin) < 0
-        keep = np.repeat(several, count) & (owners >= 0)
+        keep = held_by_several(grams, owners, ident, within) & (owners >= 0)
         grams, owners = grams[keep], owners[keep]
     if not len(grams):
         return BUNDLE.empty_table()
     return bundles(grams, ident[owners], table, owners, buckets, number % salts)
 
 
+def held_by_several(grams: np.ndarray, owners: np.ndarray, ident: np.ndarray, within: bool = False) -> np.ndarray:
+    """Which entries of sorted hashes have another owner, or are of a hash that a batch repeats."""
+    begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    count = np.diff(np.r_[begin, len(grams)])
+    if within:  # an owner that spans batches has a row in each
+        several = count > 1
+    else:
+        who = np.where(owners < 0, A.U64(0), ident[owners])
+        several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
+    several |= np.minimum.reduceat(owners, begin) < 0
+    return np.repeat(several, count)
+
+
 def unbundled(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, owner of each, owners' keys) of all rows of a group."""
     table = np.concatenate(blobs(group["keys"], KEY_DTYPE))
