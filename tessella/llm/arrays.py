@@ -6,12 +6,16 @@ works on one uint8 array for many documents; nothing here loops over words.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: malloc_trim of the GNU C library, where there is one.
+_trim = getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None)
 #: Bytes of text that one kernel call expands at a time; bounds worker memory.
 CHUNK_BYTES = 1 << 20
 
@@ -63,6 +67,13 @@ def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers wait for their next task with what they keep."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut record batches into slices of about ``size`` bytes of text; a long document is a slice of its own."""
     for batch in batches:
@@ -73,6 +84,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             to = min(max(to, at + 1), n)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
+        del batch, data, off
+    give_back()
 
 
 def lower_ascii_table() -> np.ndarray:

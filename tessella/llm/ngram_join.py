@@ -157,6 +157,7 @@ def held_counts(group: pa.Table, fragments: int) -> pa.Table:
     order = order[np.r_[True, ident[order][1:] != ident[order][:-1]]]
     order = order[count[order] > 0]
     mine = table[order]
+    A.give_back()
     return pa.Table.from_arrays([pa.array(mine["n"]), pa.array(mine["hi"]), pa.array(mine["lo"]), pa.array(count[order].astype(np.int64))], schema=HELD)
 
 
@@ -247,6 +248,7 @@ def ordered(rows: pa.Table, freqs: pa.Table, num: int, den: int) -> pa.Table:
         own = max(0, s - -(-2 * n * num // (num + den)) + 1)  # a larger one shares more
         order = np.lexsort((g, d))[:probe]
         out.append((cid, n, s, g[order].view(np.int64), own, np.bincount(fragment_of(g, BOUNDS), minlength=BOUNDS), g.tobytes()))
+    A.give_back()
     if not out:
         return schema.empty_table()
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
@@ -271,6 +273,7 @@ def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.searchsorted(key, np.arange(len(size) * PARTS + 1))
         seg = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat.view(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cids, PARTS)), pa.array(np.tile(np.arange(PARTS, dtype=np.int32), len(size))), seg], names=["cid", "part", "seg"])
+    A.give_back()
 
 
 def can_link(n1: str, s1: str, n2: str, s2: str, num: int, den: int) -> Column:

@@ -443,6 +443,8 @@ def repeats(group: pa.Table, groups: int, buckets: int) -> pa.Table:
     row, a = np.nonzero(edge == 1)
     _, b = np.nonzero(edge == -1)  # distances a .. b - 1 of this row are removed
     who, starts, ends = doc[row], place[row] - (b - 1), place[row] - a + LENGTH
+    del gone, left, lefts, copied, everything, heads, cols
+    A.give_back()
     return span_rows(docs, who, starts, ends, buckets)
 
 

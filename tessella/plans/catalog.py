@@ -641,6 +641,24 @@ def ecosystem_signal(spark, sf_dir):
     return found.groupBy("name", "snap", "species").agg(F.count("*").cast("int").alias("channels"), F.bool_and((F.col("mean") >= 0) & (F.col("received") >= 0)).alias("positive"))
 
 
+SIGNAL = f"sig AS (SELECT CAST(year(l_shipdate) - 1995 AS INT) AS snap, CAST(l_linenumber AS BIGINT) AS channel, l_suppkey % {V.SIZE} AS y, l_partkey % {V.SIZE} AS x, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
+
+
+@query(f"WITH {V.OWN}, {SIGNAL}, held AS (SELECT snap, species, channel, avg(value) AS v FROM sig JOIN own USING (snap, y, x) WHERE w > 0.1 GROUP BY ALL) SELECT e.snap, e.species, c.channel, round(coalesce(v, 0.0), 6) AS received FROM (SELECT DISTINCT snap, species FROM own) e JOIN (SELECT DISTINCT snap, channel FROM sig) c ON e.snap = c.snap LEFT JOIN held h ON h.snap = e.snap AND h.species = e.species AND h.channel = c.channel")
+def signal_received(spark, sf_dir):
+    li = V.table(spark, sf_dir, "lineitem")
+    signal = li.groupBy((F.year("l_shipdate") - 1995).cast("int").alias("snap"), F.col("l_linenumber").cast("long").alias("channel"), (F.col("l_suppkey") % V.SIZE).cast("int").alias("y"), (F.col("l_partkey") % V.SIZE).cast("int").alias("x")).agg(F.sum("l_quantity").alias("value"))
+    return ownership.signal_received(signal, V.ownership(spark, sf_dir), "snap")
+
+
+@query("SELECT * FROM (VALUES ('k', 4, 4), ('k3', 3, 3), ('scalar', 1, 5), ('3', 0, 3), ('c', 0, 3)) t(shape, plain, fields)")
+def parameter_specs(spark, sf_dir):
+    """Fields of each shape, without and with a signal."""
+    specs = params.spec_table(spark)
+    plain = F.col("name").isin(*[n for n, *_ in params.MASS_SPECS])
+    return specs.groupBy("shape").agg(F.count_if(plain).cast("int").alias("plain"), F.count("*").cast("int").alias("fields"))
+
+
 # --- what viewers show ----------------------------------------------------------------------------
 
 
