@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from tessella.llm import arrays as A
 from tessella.session import ship
 
-#: Words of which a worker keeps the tokens, and the longest of them.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 64
+#: A worker keeps the tokens of 1 to 2 times so many words of late, the longest of them, and so many pairs.
+KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 250_000, 64, 1_000_000
 #: Distance of a sign at the end of a word from the plain sign; byte signs are below.
 LAST = 0x1000
 #: Bytes of text whose tokens are handed on at a time.
@@ -98,7 +98,7 @@ class Merges:
         for t, i in spelled.items():
             if real[i]:
                 self.shorter[i] = next((j for n in range(len(t) - 1, 0, -1) if (j := spelled.get(t[:n], -1)) >= 0 and real[j]), -1)
-                self.automaton.add_word(t[::-1], (len(t), i))
+                self.automaton.add_word(t[::-1], i)
         self.automaton.make_automaton()
 
     def _side_by_side(self, a: int, b: int, until: float) -> bool:
@@ -119,37 +119,42 @@ class Merges:
                 return True
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.known.get((a, b))
-        if known is None:
-            if len(self.known) >= 1 << 20:
-                self.known.clear()
-            known = self.known[a, b] = self._side_by_side(a, b, float("inf"))
+        """Whether ``b`` may stand after ``a``, from the table or anew."""
+        if len(self.known) >= KEPT_PAIRS:
+            self.known.clear()
+        known = self.known[a, b] = self._side_by_side(a, b, float("inf"))
         return known
 
-    def encode(self, word: str) -> list[int]:
+    def encode(self, word: str) -> array:
         """Tokens of one word in signs, the last of them marked."""
         n = len(word)
         longest = array("i", [-1]) * n
-        size = array("i", [0]) * n
-        for end, (length, token) in self.automaton.iter(word[::-1]):
-            at = n - 1 - end
-            if length > size[at]:
-                longest[at], size[at] = token, length
-        out: list[int] = []
-        dead = bytearray(n + 1)
-        at, token = 0, longest[0]
+        for end, token in self.automaton.iter(word[::-1]):  # the longest of a place first
+            if longest[n - 1 - end] < 0:
+                longest[n - 1 - end] = token
+        lengths, shorter, known = self.length, self.shorter, self.known
+        out = array("i")
+        dead: set[int] = set()
+        at, before, token = 0, -1, longest[0]
         while at < n:
-            while token >= 0 and (dead[at + self.length[token]] or (out and not self.compatible(out[-1], token))):
-                token = self.shorter[token]
+            while token >= 0:
+                to = at + lengths[token]
+                if to not in dead:
+                    if before < 0:
+                        break
+                    fits = known.get((before, token))
+                    if self.compatible(before, token) if fits is None else fits:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += self.length[token]
+                at, before = to, token
                 token = longest[at] if at < n else -1
-            elif out:
-                dead[at] = 1
-                token = out.pop()
-                at -= self.length[token]
-                token = self.shorter[token]
+            elif before >= 0:
+                dead.add(at)
+                at -= lengths[before]
+                token = shorter[out.pop()]
+                before = out[-1] if out else -1
             else:
                 raise ValueError("the vocabulary lacks a byte")
         return out
@@ -176,7 +181,9 @@ class Vocabulary:
         self.own = self.splits_here(spec)
         self.odd, self.word = regex.compile(f"[^{SETTLED}]"), regex.compile(SPLIT)
         self.signs = {b: s for b, s in enumerate(byte_signs())}
-        self.kept: tuple[dict[str, list[int]], dict[str, list[int]]] = {}, {}
+        #: Words of late and those before them, as they are and in byte signs.
+        self.kept: list[dict[str, array]] = [{}, {}]
+        self.older: list[dict[str, array]] = [{}, {}]
         spelled = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
         texts = [(spelled[i] + " ").encode() if i in spelled else b"" for i in range(max(spelled) + 1)]
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
@@ -202,27 +209,27 @@ class Vocabulary:
             return self.word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()), False
         return [w for w, _ in self.split.pre_tokenize_str(self.normalizer.normalize_str(text))], True
 
-    def tokens(self, word: str, in_signs: bool) -> list[int]:
-        kept = self.kept[in_signs]
-        found = kept.get(word)
+    def tokens(self, word: str, in_signs: bool) -> array:
+        """Tokens of a word that is not among those kept of late."""
+        found = self.older[in_signs].get(word)
         if found is None:
             signs = word if in_signs else word.encode().decode("latin-1").translate(self.signs)
             found = self.merges.encode(signs[:-1] + chr(ord(signs[-1]) + LAST) if self.suffix else signs)
-            if len(word) <= KEPT_LENGTH:
-                if len(kept) >= KEPT_WORDS:
-                    kept.clear()
-                kept[word] = found
+        if len(word) <= KEPT_LENGTH:
+            if len(self.kept[in_signs]) >= KEPT_WORDS:
+                self.older[in_signs], self.kept[in_signs] = self.kept[in_signs], {}
+            self.kept[in_signs][word] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> array:
+        out = array("i")
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
                 words, in_signs = self.words(part)
                 for word in words:
-                    out += self.tokens(word, in_signs)
+                    out.extend(self.kept[in_signs].get(word) or self.tokens(word, in_signs))
         return out
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
