@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import unit
+from tessella.operators.percentiles import matched, percentiles
 from tessella.sources.tables import stage
 
 AXES = ("d0", "d1", "d2")
@@ -22,13 +23,15 @@ def survivors(rollouts: DataFrame) -> DataFrame:
 
 
 def axis_scale(rollouts: DataFrame, *keys: str) -> DataFrame:
-    """(keys, axis, p5, p95, scale): one over the 5-95 span of each axis, 0 for a span of 0.
+    """(keys, axis, p5, p95, scale): one over the 5-95 span of each axis, 1 for a span of 0.
 
-    One pass: percentiles of the three axes in one aggregation, then unpivoted.
+    Exact at any size of a group; an axis of a group without values has nulls.
     """
-    pairs = [F.percentile(a, [0.05, 0.95]).alias(a) for a in AXES]
-    wide = rollouts.groupBy(*keys).agg(*pairs) if keys else rollouts.agg(*pairs)
-    rows = wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(a)[0].alias("p5"), F.col(a)[1].alias("p95")) for i, a in enumerate(AXES)])).alias("r")).select(*keys, "r.*")
+    found = percentiles(rollouts, list(AXES), [0.05, 0.95], *keys)
+    wide = found.groupBy(*keys, "axis").agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in ((0.05, "p5"), (0.95, "p95"))])
+    groups = rollouts.select(*keys).distinct() if keys else rollouts.sparkSession.range(1).select()
+    every = groups.withColumn("axis", F.explode(F.array(*[F.lit(i) for i in range(len(AXES))])))
+    rows = matched(every, wide, [*keys, "axis"], how="left")
     span = F.col("p95") - F.col("p5")
     return rows.withColumn("scale", F.when(span > 0, 1 / span).otherwise(F.lit(1.0)))
 

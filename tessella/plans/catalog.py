@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import params, text, vectors
-from tessella.operators import archive, calibration, fields, metrics, ownership, pairs, quality, series, simulation, spawn, views
+from tessella.operators import archive, calibration, fields, metrics, ownership, pairs, percentiles, quality, series, simulation, spawn, views
 from tessella.plans import adapters as V
 from tessella.streaming import events as stream
 
@@ -290,7 +290,9 @@ def in_range_params(spark, sf_dir):
 
 @query(f"WITH {V.CREATURE} SELECT run, round(quantile_cont(quality, 0.999), 6) AS p999, count(*) AS n FROM creature WHERE quality >= 0.45 GROUP BY run")
 def intensity_percentile(spark, sf_dir):
-    return V.creatures(spark, sf_dir).where("quality >= 0.45").groupBy("run").agg(F.percentile("quality", 0.999).alias("p999"), F.count("*").alias("n"))
+    rows = V.creatures(spark, sf_dir).where("quality >= 0.45")
+    high = percentiles.percentiles(rows, ["quality"], [0.999], "run")
+    return rows.groupBy("run").agg(F.count("*").alias("n")).join(high.select("run", F.col("value").alias("p999")), "run")
 
 
 # --- series descriptors ---------------------------------------------------------------------------
