@@ -30,6 +30,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -169,14 +170,13 @@ class Vocabulary:
         if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or spec.get("decoder"):
             raise ValueError("not a BPE of words without a decoder")
         suffix = model.get("end_of_word_suffix") or ""
-        pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        self.merges = Merges(model["vocab"], pairs, suffix)
-        self.suffix = bool(suffix)
+        self._model, self.suffix = model, bool(suffix)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("special tokens are plain strings of the raw text")
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        library = tokenizers.Tokenizer.from_str(source.decode())
+        plain = spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}
+        library = tokenizers.Tokenizer.from_str(json.dumps(plain))
         self.normalizer, self.split = library.normalizer, library.pre_tokenizer
         self.own = self.splits_here(spec)
         self.odd, self.word = regex.compile(f"[^{SETTLED}]"), regex.compile(SPLIT)
@@ -189,6 +189,13 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
+    @cached_property
+    def merges(self) -> Merges:
+        """Only encoding needs it."""
+        model = self.__dict__.pop("_model")
+        pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
+        return Merges(model["vocab"], pairs, model.get("end_of_word_suffix") or "")
+
     @staticmethod
     def splits_here(spec: dict) -> bool:
         normal, split = (spec.get("normalizer") or {}).get("normalizers", []), (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
