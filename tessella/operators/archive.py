@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import creature_id, unit
@@ -30,14 +30,14 @@ def passes() -> F.Column:
     return F.col("quality").isNotNull() & F.col("d0").isNotNull()
 
 
-def best_per_cell(rows: DataFrame, *keys: str) -> DataFrame:
+def best_per_cell(rows: DataFrame, *keys: str, also: dict[str, Column] | None = None) -> DataFrame:
     """The row of best quality of each (keys, cell), the first arrival of equals.
 
-    max_by aggregates before the shuffle, so a popular cell costs a row a task.
+    ``also`` has further aggregates of the candidates of a cell. max_by aggregates before the shuffle, so a popular cell costs a row a task.
     """
     rest = [c for c in rows.columns if c not in (*keys, "cell")]
-    best = rows.where(passes()).groupBy(*keys, "cell").agg(F.max_by(F.struct(*rest), F.struct(F.col("quality"), -F.col("arrival"))).alias("b"))
-    return best.select(*keys, "cell", *[F.col(f"b.{c}").alias(c) for c in rest])
+    best = rows.where(passes()).groupBy(*keys, "cell").agg(F.max_by(F.struct(*rest), F.struct(F.col("quality"), -F.col("arrival"))).alias("b"), *[c.alias(n) for n, c in (also or {}).items()])
+    return best.select(*keys, "cell", *[F.col(f"b.{c}").alias(c) for c in rest], *(also or {}))
 
 
 def insertion_status(rows: DataFrame, *keys: str) -> DataFrame:

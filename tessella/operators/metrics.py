@@ -62,12 +62,17 @@ def quality_histogram(events: DataFrame, *keys: str, bins: int = 20) -> DataFram
     return grid.join(found, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean")
 
 
+def bucket(v: Column, p5: Column, p95: Column, buckets: int) -> Column:
+    """Which of ``buckets`` equal parts of [p5, p95] v is in, clamped to the ends; 0 without a span."""
+    at = F.floor((v - p5) / F.nullif(p95 - p5, F.lit(0.0)) * buckets)
+    return F.when(p95 > p5, F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1))).otherwise(0).cast("int")
+
+
 def coverage(rows: DataFrame, scale: DataFrame, buckets: int = 28) -> DataFrame:
     """(axis, bucket, n): rows by bucket of [p5, p95] of each axis, clamped to the ends."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(a).alias("v")) for i, a in enumerate(("d0", "d1", "d2"))])).alias("r")).select("r.*").where("v is not null")
-    at = F.floor((F.col("v") - F.col("p5")) / (F.col("p95") - F.col("p5")) * buckets)
-    bucket = F.when(F.col("p95") > F.col("p5"), F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1))).otherwise(0).cast("int")
-    return long.join(F.broadcast(scale), "axis").groupBy("axis", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    at = bucket(F.col("v"), F.col("p5"), F.col("p95"), buckets)
+    return long.join(F.broadcast(scale), "axis").groupBy("axis", at.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def correlations(rows: DataFrame, *keys: str) -> DataFrame:

@@ -115,7 +115,7 @@ def append_events(events: DataFrame, path: str) -> None:
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON documents, one a file; what does not parse has null fields."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}).alias("d"), F.input_file_name().alias("path")).select("path", "d.*")
 
 
@@ -232,7 +232,7 @@ def merge_document(spark: SparkSession, path: str, extra: dict) -> dict:
     from pyspark.errors import AnalysisException
 
     try:
-        now = json.loads("".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect()))
+        now = json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
     except (AnalysisException, ValueError):
         now = {}
     write_document(now | extra, spark, path)
