@@ -14,7 +14,8 @@ grams that pass both, and these are joined with the items' windows by 128 bits.
 The documents are read once either way.
 
 Cases: a null or empty text has no words and no hits; an item without words
-has no windows; repeated items each count; rows that repeat a doc_id come out
+has no windows; rows of one item id are one item, whose windows are those of all
+its texts, whatever the size of the benchmark; rows without an item id are none; rows that repeat a doc_id come out
 one by one, with the hits of their own text; an empty benchmark hits nothing;
 columns beyond the id and the text are ignored.
 """
@@ -158,7 +159,7 @@ def search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Recor
             i = int(doc[k[0]])
             s, e = merged(at[k] - first[i], at[k] + size[k] - first[i])
             starts[i], ends[i] = s.astype(np.int64).tobytes(), e.astype(np.int64).tobytes()
-            names[i] = sorted(items.names[np.unique(item[k])])
+            names[i] = sorted(set(items.names[np.unique(item[k])]))
         yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(np.diff(first), pa.int64()), pa.array(starts, pa.binary()), pa.array(ends, pa.binary()), pa.array(names, pa.list_(pa.string()))], schema=schema)
 
 
@@ -264,7 +265,13 @@ def joined_hits(texts: DataFrame, bench: DataFrame, span: int, gram: int) -> Dat
     filters = spark.sparkContext.broadcast((bit_filter(windows.where("size = 0").select(F.col("gram").alias("h"))), bit_filter(own)))
     rows = save(texts.mapInArrow(lambda it: probe(it, sizes, *filters.value, span, gram), PROBED), "winnowed")
     each = rows.select("doc_id", "key", F.explode("found").alias("w")).select("doc_id", "key", "w.*")
-    hits = each.join(own, ["size", "h", "h2"]).groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "size")).alias("spots"), F.collect_set("item").alias("names"))
+    # a window goes by the class of the items that hold it; items come in once a document and class
+    sets = own.groupBy("size", "h", "h2").agg(F.sort_array(F.collect_set("item")).alias("names")).withColumn("class", F.sha2(F.to_json("names"), 256))
+    sets = save(sets, "window_items")
+    spots = each.join(sets.select("size", "h", "h2", "class"), ["size", "h", "h2"]).groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "size")).alias("spots"), F.collect_set("class").alias("classes"))
+    members = sets.groupBy("class").agg(F.first("names").alias("members"))
+    named = spots.select("doc_id", "key", "spots", F.explode("classes").alias("class")).join(members, "class")
+    hits = named.groupBy("doc_id", "key").agg(F.first("spots").alias("spots"), F.array_distinct(F.flatten(F.collect_list("members"))).alias("names"))
     hits = save(hits.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "window_hits")
     whole = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_id"]) & rows["key"].eqNullSafe(hits["_key"]), "left")
     return whole.select("doc_id", "key", "n_words", "spots", "names").mapInArrow(unite, HITS)

@@ -50,6 +50,17 @@ def test_report_equals_brute_force(spark, block_words):
     assert sorted(map(tuple, got)) == brute(docs, items)
 
 
+@pytest.mark.parametrize("block_words", [D.BLOCK_WORDS, 1, 7, 40])
+def test_rows_of_one_item_are_one_item_at_every_size(spark, block_words):
+    """Repeated item ids with equal and other windows, and a passage that many items share."""
+    _, items = tables()
+    passage = items[23][1]
+    items = [(i % 9, t) for i, t in items] + [(200 + k, f"{passage} and so on {k} more") for k in range(40)] + [(3, passage), (3, passage)]
+    docs = [(i, f"x{i} {passage} y{i} " + (items[i % 20][1] or "") + " and so on 7 more") for i in range(30)] + [(50, "none"), (51, passage)]
+    got = D.digest(D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)).collect()
+    assert sorted(map(tuple, got)) == brute(docs, items)
+
+
 def test_clean_keeps_columns_and_empty_tables_work(spark):
     docs, items = tables()
     d = spark.createDataFrame([(i, t, "a", 1.0) for i, t in docs], "doc_id long, text string, item_id string, starts double")
