@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import creature_id, unit
+from tessella.operators.scans import SEGMENT_ROWS, segments
 from tessella.session import ship
 from tessella.sources.tables import stage
 
@@ -40,12 +41,12 @@ def best_per_cell(rows: DataFrame, *keys: str, also: dict[str, Column] | None =
     return best.select(*keys, "cell", *[F.col(f"b.{c}").alias(c) for c in rest], *(also or {}))
 
 
-def insertion_status(rows: DataFrame, *keys: str) -> DataFrame:
+def insertion_status(rows: DataFrame, *keys: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """rows with status: what an archive without the gate says to each at its arrival."""
-    before = Window.partitionBy(*keys, "cell").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.max(F.when(passes(), F.col("quality"))).over(before)
+    found = segments(rows, [*keys, "cell"], ["arrival"], segment_rows).scan({"_held": ("max", F.when(passes(), F.col("quality")))}, inclusive=False)
+    held = F.col("_held")
     status = F.when(~passes(), REJECTED_FILTER).when(held.isNull(), INSERTED).when(F.col("quality") > held, REPLACED).otherwise(REJECTED_QUALITY)
-    return rows.withColumn("status", status)
+    return found.done().withColumn("status", status).drop("_held")
 
 
 def gated(rows: DataFrame, centroids: DataFrame, scales: tuple[float, float, float] = (1.0, 1.0, 1.0), *, run: str = "run_id", epsilon: float = EPSILON, override: float = OVERRIDE, before: dict[int, float] | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.archive import INSERTED, REPLACED, STATUSES
+from tessella.operators.scans import SEGMENT_ROWS, framed, numbered
 
 
 def success() -> Column:
@@ -19,39 +20,33 @@ def status_totals(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("n"), *counts, (F.count_if(success()) / F.count("*")).alias("insertion_share"), (seconds / F.lit(1e6)).alias("wall_seconds"))
 
 
-def centred(events: DataFrame, *keys: str, half: int = 25, every: int = 12) -> tuple[DataFrame, Window]:
-    order = Window.partitionBy(*keys).orderBy("arrival")
-    return events.withColumn("i", (F.row_number().over(order) - 1).cast("long")), order.rowsBetween(-half, half - 1)
-
-
-def rolling_rate(events: DataFrame, *keys: str, half: int = 25, every: int = 12) -> DataFrame:
+def rolling_rate(events: DataFrame, *keys: str, half: int = 25, every: int = 12, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Insertions a minute in a centred frame, at every ``every``-th row; 0 without time or a second row."""
-    rows, frame = centred(events, *keys, half=half)
     micros = F.unix_micros(F.col("created_at").cast("timestamp"))
-    out = rows.withColumn("hits", F.count_if(success()).over(frame)).withColumn("rows", F.count("*").over(frame)).withColumn("span", F.last(micros).over(frame) - F.first(micros).over(frame))
+    columns = {"hits": lambda w: F.count_if(success()).over(w), "rows": lambda w: F.count("*").over(w), "span": lambda w: F.last(micros).over(w) - F.first(micros).over(w)}
+    out = framed(events.select(*keys, "arrival", "status", "created_at"), keys, ["arrival"], half, half - 1, columns, segment_rows)
     rate = F.when((F.col("rows") >= 2) & (F.col("span") > 0), F.col("hits") * F.lit(60e6) / F.col("span")).otherwise(0.0)
     return out.where(F.col("i") % every == 0).select(*keys, "i", rate.alias("rate"))
 
 
-def rolling_share(events: DataFrame, *keys: str, half: int = 25, every: int = 12) -> DataFrame:
+def rolling_share(events: DataFrame, *keys: str, half: int = 25, every: int = 12, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Share of each status in the same frames."""
-    rows, frame = centred(events, *keys, half=half)
-    shares = [F.avg((F.col("status") == s).cast("double")).over(frame).alias(s) for s in STATUSES]
-    return rows.select(*keys, "i", *shares).where(F.col("i") % every == 0)
+    shares = {s: lambda w, s=s: F.avg((F.col("status") == s).cast("double")).over(w) for s in STATUSES}
+    out = framed(events.select(*keys, "arrival", "status"), keys, ["arrival"], half, half - 1, shares, segment_rows)
+    return out.where(F.col("i") % every == 0).select(*keys, "i", *STATUSES)
 
 
-def last_summary(events: DataFrame, *keys: str, n: int = 10) -> DataFrame:
-    frame = Window.partitionBy(*keys).orderBy("arrival").rowsBetween(-(n - 1), 0)
-    return events.select(*keys, "arrival", *[F.count_if(F.col("status") == s).over(frame).alias(s) for s in STATUSES])
+def last_summary(events: DataFrame, *keys: str, n: int = 10, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Of each row, how many of the last ``n`` have each status."""
+    counts = {s: lambda w, s=s: F.count_if(F.col("status") == s).over(w) for s in STATUSES}
+    return framed(events.select(*keys, "arrival", "status"), keys, ["arrival"], n - 1, 0, counts, segment_rows).select(*keys, "arrival", *STATUSES)
 
 
-def best_so_far(events: DataFrame, *keys: str) -> DataFrame:
+def best_so_far(events: DataFrame, *keys: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Running best quality, and rows since the last insertion (null before the first)."""
-    by = Window.partitionBy(*keys).orderBy("arrival")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    n = F.row_number().over(by)
-    rows = events.withColumn("i", n.cast("long"))
-    return rows.select(*keys, "arrival", F.max("quality").over(upto).alias("best"), (F.col("i") - F.last(F.when(success(), F.col("i")), ignorenulls=True).over(upto)).alias("gap"))
+    rows = numbered(events.select(*keys, "arrival", "status", "quality"), keys, ["arrival"], segment_rows)
+    rows = rows.scan({"best": ("max", F.col("quality")), "last": ("max", F.when(success(), F.col("i")))})
+    return rows.rows.select(*keys, "arrival", "best", (F.col("i") - F.col("last")).alias("gap"))
 
 
 def quality_histogram(events: DataFrame, *keys: str, bins: int = 20) -> DataFrame:
