@@ -2,8 +2,8 @@
 
 Without the similarity gate the archive is a set function of its rows (per
 cell the best, the first of equals), so statuses and contents are windows and
-aggregates. With the gate the outcome depends on what was occupied at each
-arrival; that fold runs run by run in ``gated``.
+aggregates. With the gate the arrival that takes a cell depends on what was occupied
+before; ``gated`` folds the groups of cells that wait for each other.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import creature_id, unit
+from tessella.operators.percentiles import matched
 from tessella.operators.scans import SEGMENT_ROWS, segments
 from tessella.session import ship
 from tessella.sources.tables import stage
 
 #: Fixed values of the gate: least distance to an occupied centroid, and what overrides it.
 EPSILON, OVERRIDE = 1.0, 1.2
+#: Cells that are occupied at the start have arrivals from here downwards.
+GIVEN = -(2**61)
 INSERTED, REPLACED = "inserted", "replaced"
 REJECTED_FILTER, REJECTED_QUALITY, REJECTED_SIMILARITY = "rejected_filter", "rejected_quality", "rejected_similarity"
 STATUSES = (INSERTED, REPLACED, REJECTED_FILTER, REJECTED_QUALITY, REJECTED_SIMILARITY)
@@ -49,49 +52,142 @@ def insertion_status(rows: DataFrame, *keys: str, segment_rows: int = SEGMENT_RO
     return found.done().withColumn("status", status).drop("_held")
 
 
-def gated(rows: DataFrame, centroids: DataFrame, scales: tuple[float, float, float] = (1.0, 1.0, 1.0), *, run: str = "run_id", epsilon: float = EPSILON, override: float = OVERRIDE, before: dict[int, float] | None = None) -> DataFrame:
-    """(run, arrival, cell, status) with the similarity gate, folded in order of arrival per run.
+def placed(rows: DataFrame, centroids: DataFrame, scales: tuple[float, float, float], run: str, epsilon: float) -> DataFrame:
+    """(run, arrival, quality, cell, near): ``near`` has the other cells whose centroids lie within ``epsilon``, nearest first.
+
+    Rows that do not pass have no cell. Centroids are one array in every row's
+    reach, since an archive's capacity bounds them.
+    """
+    ok = passes() & ~F.isnan("quality") & ~F.isnan("d0")
+    packed = centroids.agg(F.array_sort(F.collect_list(F.struct("idx", *[F.col(c).cast("double").alias(c) for c in ("c0", "c1", "c2")]))).alias("_cells"))
+    at = [F.col(f"d{k}").cast("double") * F.lit(float(scales[k])) for k in range(3)]
+    gap = lambda s: sum(((s[f"c{k}"] - at[k]) * (s[f"c{k}"] - at[k]) for k in range(1, 3)), (s["c0"] - at[0]) * (s["c0"] - at[0]))
+    close = F.filter("_gaps", lambda g: (g["gap"] < epsilon * epsilon) & (g["idx"] != F.col("cell")))
+    out = rows.select(run, F.col("arrival").cast("long").alias("arrival"), F.col("quality").cast("double").alias("quality"), *[f"d{k}" for k in range(3)]).crossJoin(F.broadcast(packed))
+    out = out.withColumn("_gaps", F.when(ok, F.transform("_cells", lambda s: F.struct(gap(s).alias("gap"), s["idx"].cast("long").alias("idx")))))
+    out = out.withColumn("cell", F.array_min("_gaps")["idx"])
+    return out.select(run, "arrival", "quality", "cell", F.transform(F.array_sort(close), lambda g: g["idx"]).alias("near"))
+
+
+def taken(pdf: pd.DataFrame, override: float) -> dict[int, int]:
+    """The arrival that takes each cell, folded in order of arrival over candidates (arrival, quality, cell, near)."""
+    held: dict[int, float] = {}
+    since: dict[int, int] = {}
+    for arrival, quality, cell, near in pdf.sort_values("arrival")[["arrival", "quality", "cell", "near"]].itertuples(index=False):
+        if cell in held:
+            held[cell] = max(held[cell], quality)
+            continue
+        close = next((c for c in near if c in held), None)
+        if close is None or quality > override * held[close]:
+            held[cell], since[cell] = quality, arrival
+    return since
+
+
+def gated(rows: DataFrame, centroids: DataFrame, scales: tuple[float, float, float] = (1.0, 1.0, 1.0), *, run: str = "run_id", epsilon: float = EPSILON, override: float = OVERRIDE, before: dict[int, float] | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """(run, arrival, cell, status) with the similarity gate, as if folded in order of arrival per run.
 
     A candidate for an empty cell is too similar if its scaled descriptors lie
     within ``epsilon`` of an occupied centroid, unless its quality exceeds
-    ``override`` times that of the nearest one's resident. ``before`` has the
-    qualities of cells that are occupied at the start, so a search folds each
-    generation once; it is bounded by the number of cells.
+    ``override`` times that of the nearest one's resident (of equal distances,
+    the lower cell's). ``before`` has the qualities of cells that are occupied at
+    the start; it is bounded by the number of cells. Arrivals of a run differ.
+
+    Only the arrival that takes a cell depends on other cells; from then on the
+    cell is a running maximum. A candidate with no cell within reach that may be
+    occupied before it surely finds its cell taken or takes it, so only candidates
+    before the first such one, and the cells within their reach, wait for each
+    other. Groups of cells that are linked by these are folded, each in a task of
+    its own, and the rest of the statuses are scans.
     """
+    kind = rows.schema[run].dataType.simpleString()
     ship(rows.sparkSession)
-    centre = np.array([[r["c0"], r["c1"], r["c2"]] for r in centroids.orderBy("idx").collect()], float)
-    scale = np.array(scales, float)
+    every = stage(placed(rows, centroids, scales, run, epsilon), "placed")
+    candidates = with_given(every.where("cell is not null"), every, run, before)
+    since = stage(occupied_since(candidates, run, kind, override), "taken")
+    where = [run, "cell"]
+    known = matched(candidates, since, where, how="left").select(run, "arrival", "quality", "cell", "since")
+    held = segments(known, where, ["arrival"], segment_rows).scan({"held": ("max", F.when(F.col("arrival") >= F.col("since"), F.col("quality")))}, inclusive=False).done()
+    status = F.when(F.col("arrival") == F.col("since"), INSERTED).when(F.col("held").isNull(), REJECTED_SIMILARITY).when(F.col("quality") > F.col("held"), REPLACED).otherwise(REJECTED_QUALITY)
+    judged = held.where(F.col("arrival") > GIVEN).select(run, "arrival", "cell", status.alias("status"))
+    return judged.unionByName(every.where("cell is null").select(run, "arrival", "cell", F.lit(REJECTED_FILTER).alias("status")))
+
+
+def with_given(candidates: DataFrame, rows: DataFrame, run: str, before: dict[int, float] | None) -> DataFrame:
+    """``candidates`` and, in each run of ``rows``, one for each cell of ``before`` ahead of all arrivals."""
+    if not before:
+        return candidates
+    given = F.array(*[F.struct(F.lit(GIVEN - i).alias("arrival"), F.lit(float(q)).alias("quality"), F.lit(int(c)).cast("long").alias("cell"), F.array().cast("array<bigint>").alias("near")) for i, (c, q) in enumerate(before.items())])
+    return candidates.unionByName(rows.select(run).distinct().select(run, F.explode(given).alias("g")).select(run, "g.*"))
+
+
+def gated_batch(rows: DataFrame, centroids: DataFrame, scales: tuple[float, float, float] = (1.0, 1.0, 1.0), *, run: str = "run_id", epsilon: float = EPSILON, override: float = OVERRIDE, before: dict[int, float] | None = None) -> DataFrame:
+    """gated() for one generation of a search: its rows are few, and each run is folded in one task."""
+    kind = rows.schema[run].dataType.simpleString()
+    ship(rows.sparkSession)
+    every = placed(rows, centroids, scales, run, epsilon)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("arrival")
-        held: dict[int, float] = dict(before or {})
-        cells, status = [], []
-        for d0, d1, d2, q in zip(pdf["d0"], pdf["d1"], pdf["d2"], pdf["quality"], strict=True):
-            if pd.isna(q) or pd.isna(d0):
-                cells.append(None)
+        since, held, status = taken(pdf[pdf["cell"].notna()], override), {}, []
+        for arrival, quality, cell in pdf[["arrival", "quality", "cell"]].itertuples(index=False):
+            if pd.isna(cell):
                 status.append(REJECTED_FILTER)
-                continue
-            point = np.array([d0, d1, d2]) * scale
-            gap = ((centre - point) ** 2).sum(axis=1)
-            cell = int(gap.argmin())
-            cells.append(cell)
-            if cell in held:
-                status.append(REPLACED if q > held[cell] else REJECTED_QUALITY)
-                if q > held[cell]:
-                    held[cell] = q
-                continue
-            if held:
-                occupied = np.fromiter(held, int, len(held))
-                close = int(occupied[gap[occupied].argmin()])
-                if gap[close] < epsilon * epsilon and not q > override * held[close]:
-                    status.append(REJECTED_SIMILARITY)
-                    continue
-            held[cell] = q
-            status.append(INSERTED)
-        return pd.DataFrame({run: pdf[run], "arrival": pdf["arrival"], "cell": pd.array(cells, "Int64"), "status": status})
+            elif arrival < since.get(cell, np.inf):
+                status.append(REJECTED_SIMILARITY)
+            else:
+                status.append(INSERTED if cell not in held else REPLACED if quality > held[cell] else REJECTED_QUALITY)
+                held[cell] = max(quality, held.get(cell, quality))
+        return pd.DataFrame({run: pdf[run], "arrival": pdf["arrival"], "cell": pdf["cell"].astype("Int64"), "status": status})
+
+    whole = with_given(every, rows, run, before)
+    return whole.groupBy(run).applyInPandas(fold, f"{run} {kind}, arrival long, cell long, status string").where(F.col("arrival") > GIVEN)
+
+
+def occupied_since(candidates: DataFrame, run: str, kind: str, override: float) -> DataFrame:
+    """(run, cell, since): the arrival that takes each cell that is ever taken."""
+    where = [run, "cell"]
+    sure = F.min(F.when(F.size("near") == 0, F.col("arrival")))
+    ends = stage(candidates.groupBy(*where).agg(F.min("arrival").alias("first"), sure.alias("sure"), F.max("quality").alias("most")), "cells")
+    early = matched(candidates, ends.select(*where, "sure"), where, F.expr("size(near) > 0 and (sure is null or arrival < sure)"))
+    others = ends.select(run, F.col("cell").alias("other"), F.col("first").alias("other_first"), F.col("most").alias("other_most"))
+    links = matched(early.select(*where, "arrival", "quality", F.explode("near").alias("other")), others, [run, "other"], F.expr("other_first < arrival"), "left")
+    # one that no occupied cell can reach, or whose quality no neighbour can outweigh, is sure as well
+    weighed = links.groupBy(*where, "arrival", "quality").agg(F.max("other_most").alias("most"), F.collect_set(F.when(F.col("other_first").isNotNull(), F.col("other"))).alias("waits"))
+    weighed = stage(weighed.withColumn("free", F.col("most").isNull() | (F.col("quality") > override * F.col("most"))), "waiting")
+    freed = weighed.where("free").groupBy(*where).agg(F.min("arrival").alias("freed"))
+    ends = stage(matched(ends, freed, where, how="left").select(*where, "first", F.least("sure", "freed").alias("sure")), "cells")
+    waiting = matched(weighed.where("not free"), ends, where, F.expr("sure is null or arrival < sure")).select(*where, "arrival", F.explode("waits").alias("other"))
+    edges = stage(waiting.groupBy(*where, "other").agg(F.max("arrival").alias("needed")), "edges")
+    groups = labels(edges.select(run, "cell", "other"), run)
+    needed = edges.groupBy(run, F.col("other").alias("cell")).agg(F.max("needed").alias("needed"))
+    limits = matched(matched(groups, ends, where), needed, where, how="left")
+    upto = matched(candidates, limits, where, F.expr("sure is null or arrival <= greatest(sure, needed)")).select(run, "label", "arrival", "quality", "cell", "near")
 
-    kind = rows.schema[run].dataType.simpleString()
-    return rows.select(run, "arrival", "d0", "d1", "d2", "quality").groupBy(run).applyInPandas(fold, f"{run} {kind}, arrival long, cell long, status string")
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = taken(pdf, override)
+        return pd.DataFrame({run: pd.Series([pdf[run].iloc[0]] * len(found), dtype=pdf[run].dtype), "cell": pd.Series(list(found), dtype="int64"), "since": pd.Series(list(found.values()), dtype="int64")})
+
+    folded = upto.groupBy(run, "label").applyInPandas(fold, f"{run} {kind}, cell long, since long")
+    alone = matched(ends, groups, where, how="left").where("label is null").select(*where, F.col("first").alias("since"))
+    return alone.unionByName(folded)
+
+
+def labels(edges: DataFrame, run: str) -> DataFrame:
+    """(run, cell, label): the least cell of each connected group of a run's cells, for cells with edges.
+
+    Labels spread along edges and jump to the labels of labels, so paths shrink by
+    half a round. Nodes are cells, not rows.
+    """
+    both = stage(edges.unionByName(edges.select(run, F.col("other").alias("cell"), F.col("cell").alias("other"))).distinct(), "links")
+    now = stage(both.groupBy(run, "cell").agg(F.least(F.col("cell"), F.min("other")).alias("label")), "labels")
+    while True:
+        spread = matched(both, now.select(run, F.col("cell").alias("other"), F.col("label").alias("near")), [run, "other"])
+        least = matched(now, spread.groupBy(run, "cell").agg(F.min("near").alias("near")), [run, "cell"])
+        jump = matched(least.withColumn("at", F.least("label", "near")), now.select(run, F.col("cell").alias("at"), F.col("label").alias("far")), [run, "at"])
+        after = stage(jump.select(run, "cell", F.least("at", "far").alias("label"), (F.least("at", "far") < F.col("label")).alias("moved")), "labels")
+        if after.where("moved").isEmpty():
+            return after.drop("moved")
+        now = after.drop("moved")
 
 
 def union(*archives: DataFrame, run: str = "run_id") -> DataFrame:

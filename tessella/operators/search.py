@@ -87,7 +87,7 @@ def search(spark: SparkSession, world: World, config: SearchConfig | None = None
             kept = best.select(F.col("cell").alias("parent_cell"), *[m[0] for m in P.fields(config.signal)])
             records = P.mutate(drawn.join(kept, "parent_cell"), config.signal).join(drawn.select("seed", "parent"), "seed")
         done = C.nearest(scaled(judged(stage(records, "records"), world, config)), centroids).withColumn("run_id", F.lit("search")).withColumn("arrival", F.col("seed") - config.base_seed)
-        status = AR.gated(done, centroids, epsilon=config.epsilon, before=held).select("arrival", "status")
+        status = AR.gated_batch(done, centroids, epsilon=config.epsilon, before=held).select("arrival", "status")
         part = stage(done.join(status, "arrival"), "events")
         parts.append(part)
         new = part.where(accepted)
