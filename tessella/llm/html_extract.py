@@ -321,7 +321,11 @@ def nested(group: pa.Table) -> pa.Table:
 
 def templates(parsed: DataFrame, support: float = SUPPORT) -> DataFrame:
     """(host, best, fixed): the role of the article's holder (0: the page) and the fixed texts of each host of several pages."""
-    seen = parsed.groupBy("host", "page").agg(F.min(F.struct("roles", "parent", "holder", "texts", "where", "boxes", "linked", "marks")).alias("one")).select("host", "page", "one.*")
+    if "row" not in parsed.columns:
+        parsed = parsed.withColumn("row", F.monotonically_increasing_id())
+    # equal pages count once; only the classes of repeated ones are joined, so the pages' texts stay where they are
+    again = parsed.groupBy("host", "page").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    seen = parsed.join(save(again, "repeated"), ["host", "page"], "left").where("first is null or row = first").select("host", "page", *PARSED.names[4:])
     each = seen.mapInArrow(vectors, VECTORS_TYPE).groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.min("up").alias("up"), F.min("depth").alias("depth"), F.sum("chars").alias("chars"), F.max("kind").alias("kind"))
     each = save(each, "vectors")
     total = save(each.where("token = 0").select("host", F.col("pages").alias("total")).where("total > 1"), "hosts")
@@ -371,7 +375,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """
     bounded_batches(pages.sparkSession, 200)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    parsed = save(own.mapInArrow(lambda it: parse(it, hints), PARSED_TYPE), "parsed")
+    parsed = save(own.mapInArrow(lambda it: parse(it, hints), PARSED_TYPE).withColumn("row", F.monotonically_increasing_id()), "parsed")
     joined = parsed.join(save(templates(parsed, support), "templates"), "host", "left").select("page_id", "url", "best", "fixed", *PARSED.names[4:])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
