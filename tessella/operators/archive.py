@@ -8,8 +8,6 @@ before; ``gated`` folds the groups of cells that wait for each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -249,26 +247,3 @@ def lineage(rows: DataFrame, child: str, parent: str) -> DataFrame:
         if joined.where("up is not null").isEmpty():
             return now
         now = stage(joined.select("node", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "lineage")
-
-
-def stream_fold(key: str = "run_id") -> tuple:
-    """(function, output schema, state schema) of the archive as streaming state, for applyInPandasWithState.
-
-    State: for each cell the best quality and its arrival. Emits one row per
-    accepted candidate.
-    """
-
-    def update(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        cells, quality = state.get if state.exists else ([], [])
-        held = dict(zip(cells, quality, strict=True))
-        out = []
-        # a key's rows come in several Arrow batches: their order is that of all of them
-        rows = pd.concat([b[["cell", "quality", "arrival"]] for b in batches]).dropna(subset=["cell", "quality"]).sort_values("arrival")
-        for cell, q, arrival in rows.itertuples(index=False):
-            if cell not in held or q > held[cell]:
-                out.append((keys[0], int(cell), float(q), int(arrival), REPLACED if cell in held else INSERTED))
-                held[cell] = float(q)
-        state.update(([int(c) for c in held], [float(q) for q in held.values()]))
-        yield pd.DataFrame(out, columns=[key, "cell", "quality", "arrival", "status"])
-
-    return update, f"{key} long, cell long, quality double, arrival long, status string", "cells array<long>, quality array<double>"

@@ -698,15 +698,15 @@ def signal_creatures(spark, sf_dir):
     return pairs.signal_creatures(c, 0.45).select("id", "run")
 
 
-@query()
+@query("""WITH c AS (SELECT user_id % 10 AS run_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) % 16 AS cell, value / (value + 50.0) AS quality, event_id AS arrival FROM events WHERE event_type <> 'error'),
+h AS (SELECT *, max(quality) OVER (PARTITION BY run_id, cell ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM c WHERE quality IS NOT NULL AND cell IS NOT NULL)
+SELECT run_id, cell, round(quality, 6) AS quality, arrival, CASE WHEN held IS NULL THEN 'inserted' ELSE 'replaced' END AS status FROM h WHERE held IS NULL OR quality > held""")
 def stream_archive(spark, sf_dir):
     """Accepted candidates of the event stream, folded by a stateful operator."""
     import uuid
 
-    from tessella.session import ship
     from tessella.sources.tables import shared_dir
 
-    ship(spark)
     e = stream.read(spark, sf_dir)
     k = F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("long")
     rows = e.select((F.col("user_id") % 10).alias("run_id"), F.pmod(k, F.lit(16)).alias("cell"), F.when(F.col("event_type") != "error", F.col("value") / (F.col("value") + 50.0)).alias("quality"), F.col("event_id").alias("arrival"))

@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from tessella.operators.archive import stream_fold
 from tessella.sources.tables import shared_dir
+from tessella.streaming.state import archive, settings
+
+__all__ = ["archive", "drain", "generations", "log", "observed", "Progress", "read", "sessions", "sliding", "tumbling"]
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -42,30 +44,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", l
     return rows.groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), key, "n", "total")
 
 
-def archive(rows: DataFrame, key: str = "run_id") -> DataFrame:
-    """Accepted candidates of a stream of (key, cell, quality, arrival), against state by key.
-
-    A candidate without a cell or a quality, or with a null d0 where there is
-    such a column, is none.
-    """
-    update, out, state = stream_fold(key)
-    if "d0" in rows.columns:
-        rows = rows.where("d0 is not null")
-    return rows.select(key, "cell", "quality", "arrival").groupBy(key).applyInPandasWithState(update, out, state, "append", "NoTimeout")
-
-
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append", idle: bool = True) -> DataFrame:
     """Run a stream over what there is and give its rows back as a table of Parquet files.
 
     Appended rows are written by the file sink; in other modes each batch
-    replaces the table, so the last state stays.
+    replaces the table, so the last state stays. State is in RocksDB.
+    Without ``idle`` no batch runs without data; so watermarks flush nothing at the end.
     """
     spark, path = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{name}-rows"
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", path)
     else:
         writer = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
-    query = writer.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with settings(spark, idle):
+        query = writer.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 

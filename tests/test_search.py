@@ -187,22 +187,6 @@ def test_late_rows_progress_and_generations(spark, tmp_path):
     assert counts == [(0, 1), (1, 1), (2, 1), (3, 1)] and ("in", 1) in seen
 
 
-def test_state_is_in_order_across_batches():
-    import pandas as pd
-
-    class State:
-        exists, got = False, None
-
-        def update(self, v):
-            self.got = v
-
-    update, *_ = A.stream_fold()
-    state = State()
-    batches = [pd.DataFrame({"cell": [1.0, None], "quality": [0.9, 0.5], "arrival": [5, 6]}), pd.DataFrame({"cell": [1.0], "quality": [0.4], "arrival": [2]})]
-    out = next(update((7,), iter(batches), state))
-    assert list(out["arrival"]) == [2, 5] and list(out["status"]) == [A.INSERTED, A.REPLACED] and state.got == ([1], [0.9])
-
-
 def test_views(spark):
     best = spark.createDataFrame([("r", 2, 0.4, 1.0, 0.0, 0.0, 3), ("r", 0, 0.2, 9.0, 0.0, 0.0, 1)], "run_id string, cell long, quality double, d0 double, d1 double, d2 double, arrival long")
     centres = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (2, 1.0, 1.0, 1.0)], "idx long, c0 double, c1 double, c2 double")
