@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import unit
@@ -14,6 +15,8 @@ from tessella.sources.tables import stage
 AXES = ("d0", "d1", "d2")
 #: Survivors below which centroids are spread uniformly instead of fitted.
 MIN_SURVIVORS = 20
+#: Centroids that a row scans; beyond, a grid leaves it some of them.
+SCANNED = 64
 #: Centroids of one array.
 BLOCK = 50_000
 
@@ -36,25 +39,84 @@ def axis_scale(rollouts: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("scale", F.when(span > 0, 1 / span).otherwise(F.lit(1.0)))
 
 
-def nearest(points: DataFrame, centroids: DataFrame, idx: str = "idx", axes: tuple[str, ...] = AXES, centre: tuple[str, ...] = ("c0", "c1", "c2")) -> DataFrame:
+def nearest(points: DataFrame, centroids: DataFrame, idx: str = "idx", axes: tuple[str, ...] = AXES, centre: tuple[str, ...] = ("c0", "c1", "c2"), scanned: int = SCANNED) -> DataFrame:
     """points with the idx of their nearest centroid (the lower idx of equals).
 
     Centroids go in blocks of BLOCK, each one array in every row's reach: no join
     by distance, no shuffle of the points. An archive's capacity makes one block;
-    more are folded one after another.
+    more are folded one after another. Beyond ``scanned`` centroids a row looks at
+    those that its cell of a grid leaves; rows with a coordinate that is null or not
+    finite look at all.
     """
     n = max(1, centroids.count())
     blocks = -(-n // BLOCK)
+    ends = bounds(points, centroids, axes, centre) if n > scanned else None
     out = points.withColumn("_b", F.lit(None).cast(f"struct<d2:double,i:{centroids.schema[idx].dataType.simpleString()}>"))
     gap = lambda s: reduce(lambda a, b: a + b, [(s[f"v{k}"] - F.col(a)) * (s[f"v{k}"] - F.col(a)) for k, a in enumerate(axes)])
+    one = lambda s: F.struct(gap(s).alias("d2"), s["i"].alias("i"))
     for b in range(blocks):
         mine = centroids if blocks == 1 else centroids.where(F.pmod(F.xxhash64(idx), F.lit(blocks)) == b)
         packed = mine.agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), *[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(centre)]))).alias("_cells"))
-        best = F.array_min(F.transform("_cells", lambda s: F.struct(gap(s).alias("d2"), s["i"].alias("i"))))
-        out = out.crossJoin(F.broadcast(packed)).withColumn("_b", F.least("_b", best)).drop("_cells")
+        best = F.array_min(F.transform("_cells", one))
+        if ends:
+            packed = grid(packed, ends)
+            near = F.transform(F.get("_grid", cell_number([F.col(a) for a in axes], ends)), lambda i: one(F.get("_cells", i)))
+            best = F.when(reduce(lambda x, y: x & y, [finite(F.col(a)) for a in axes]), F.array_min(near)).otherwise(best)
+        out = out.crossJoin(F.broadcast(packed)).withColumn("_b", F.least("_b", best)).drop("_cells", "_grid")
     return out.withColumn("cell", F.col("_b.i")).withColumn("cell_distance2", F.col("_b.d2")).drop("_b")
 
 
+def finite(c: Column) -> Column:
+    return F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), F.lit(False))
+
+
+def bounds(points: DataFrame, centroids: DataFrame, axes: tuple[str, ...], centre: tuple[str, ...]) -> list[tuple[float, float, int]]:
+    """(low, width, cells) of each axis of a grid that holds all finite points and centroids, about a cell a centroid."""
+    found = []
+    for df, names in ((points, axes), (centroids, centre)):
+        inner = [F.when(finite(F.col(c)), F.col(c).cast("double")) for c in names]
+        found.append(df.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}{k}") for k, c in enumerate(inner) for n, f in (("lo", F.min), ("hi", F.max))]).first())
+    each = max(1, round(min(found[1]["n"], BLOCK) ** (1 / len(axes))))
+    out = []
+    for k in range(len(axes)):
+        lows, highs = [r[f"lo{k}"] for r in found if r[f"lo{k}"] is not None], [r[f"hi{k}"] for r in found if r[f"hi{k}"] is not None]
+        low, width = (min(lows), max(highs) - min(lows)) if lows else (0.0, 0.0)
+        out.append((low, width, each if 0 < width < float("inf") else 1))
+    return out
+
+
+def cell_number(at: list[Column], ends: list[tuple[float, float, int]]) -> Column:
+    """The number of the grid cell of a point, the first axis fastest."""
+    number, step = F.lit(0), 1
+    for c, (low, width, n) in zip(at, ends, strict=True):
+        if n > 1:
+            number = number + F.greatest(F.least(F.floor((c.cast("double") - low) / width * n), F.lit(n - 1)), F.lit(0)) * step
+        step *= n
+    return number.cast("int")
+
+
+def grid(packed: DataFrame, ends: list[tuple[float, float, int]]) -> DataFrame:
+    """``packed`` with ``_grid``: for each cell the places in ``_cells`` of the centroids that may be nearest to a point in it.
+
+    Of a cell's points none is farther than h, half a diagonal, from its middle. So
+    the nearest of any of them is at most 2 h farther from the middle than the
+    middle's own nearest.
+    """
+    half = math.sqrt(sum((w / n / 2) ** 2 for _, w, n in ends)) if all(w < float("inf") for _, w, _ in ends) else float("inf")
+    slack = 1e-9 * sum(abs(low) + w for low, w, _ in ends)  # of rounding at the cells' edges
+    total = math.prod(n for *_, n in ends)
+    cells, step, middle = packed.sparkSession.range(total), 1, []
+    for low, width, n in ends:
+        middle.append(F.lit(low) + (F.floor(F.col("id") / step) % n + 0.5) * F.lit(width / n))
+        step *= n
+    away = F.transform("_cells", lambda s: F.sqrt(reduce(lambda a, b: a + b, [(s[f"v{k}"] - m) * (s[f"v{k}"] - m) for k, m in enumerate(middle)])))
+    far = cells.crossJoin(F.broadcast(packed)).select("id", away.alias("away"))
+    within = lambda least: F.filter(F.transform("away", lambda d, i: F.when(F.coalesce(d <= least + 2 * half + slack, F.lit(True)), i)), lambda i: i.isNotNull())
+    near = F.transform(F.array(F.array_min("away")), within)[0]  # the least distance is taken once a cell, not once a centroid
+    lists = far.select("id", near.alias("near")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "near"))), lambda s: s["near"]).alias("_grid"))
+    return packed.crossJoin(F.broadcast(lists))
+
+
 def kmeans(points: DataFrame, start: DataFrame, rounds: int = 30, axes: tuple[str, ...] = AXES) -> DataFrame:
     """Lloyd's algorithm from the given centroids (idx, c0, c1, c2); empty cells stay where they are."""
     spark = points.sparkSession
