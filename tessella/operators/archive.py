@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import creature_id, unit
 from tessella.operators.percentiles import matched
-from tessella.operators.scans import SEGMENT_ROWS, segments
+from tessella.operators.scans import SEGMENT_ROWS, numbered, segments
 from tessella.session import ship
 from tessella.sources.tables import stage
 
@@ -188,15 +188,12 @@ def labels(edges: DataFrame, run: str) -> DataFrame:
         now = after.drop("moved")
 
 
-def union(*archives: DataFrame, run: str = "run_id") -> DataFrame:
-    """The rows of several archives with an id across all of them, in the order of run and cell.
-
-    Archives have bounded numbers of cells; the ids are one window over all.
-    """
+def union(*archives: DataFrame, run: str = "run_id", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """The rows of several archives with an id across all of them, in the order of run and cell."""
     whole = archives[0]
     for more in archives[1:]:
         whole = whole.unionByName(more, allowMissingColumns=True)
-    return whole.withColumn("id", (F.row_number().over(Window.orderBy(run, "cell")) - 1).cast("long"))
+    return numbered(whole, [], [run, "cell"], segment_rows).done().withColumnRenamed("i", "id")
 
 
 def located(spark, path: str) -> str:

@@ -686,10 +686,10 @@ def viewer_cells(spark, sf_dir):
     return views.cells(best, "run_id", least=0.3, ranges={"d1": (3, 20)}, by="quality").select("run_id", "cell", "quality", "place")
 
 
-@query(f"WITH {V.CELLED}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, cell ORDER BY quality DESC, arrival) AS rn FROM celled WHERE quality IS NOT NULL) WHERE rn = 1) SELECT run_id, arrival, cell, row_number() OVER (ORDER BY run_id, cell) - 1 AS id FROM best WHERE run_id < 4")
+@query(f"WITH {V.CELLED}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, cell ORDER BY quality DESC, arrival) AS rn FROM celled WHERE quality IS NOT NULL) WHERE rn = 1) SELECT run_id, arrival, cell, row_number() OVER (ORDER BY run_id, cell) - 1 AS id FROM best")
 def union_of_archives(spark, sf_dir):
     best = archive.best_per_cell(celled(spark, sf_dir), "run_id")
-    return archive.union(*[best.where(F.col("run_id") == r) for r in range(4)]).select("run_id", "arrival", "cell", "id")
+    return archive.union(*[best.where(F.col("run_id") == r) for r in range(10)]).select("run_id", "arrival", "cell", "id")
 
 
 @query(f"WITH {V.CREATURE} SELECT id, run FROM creature WHERE quality >= 0.45 AND list_max(emission) > 0.25")

@@ -85,3 +85,10 @@ def test_one_run_is_spread_over_segments(spark):
     got = found.scan({"low": ("min", F.col("v")), "total": ("sum", F.col("v"))}, inclusive=False).done().where("arrival in (0, 1, 9999)").orderBy("arrival").collect()
     assert [(r["low"], r["total"]) for r in got] == [(None, 0), (0, 0), (0, sum(i % 97 for i in range(9999)))]
     assert scans.numbered(rows.limit(0), ["run"], ["arrival"]).done().count() == 0
+
+
+@pytest.mark.parametrize("size", [7, 10**6])
+def test_archives_are_numbered_over_all_runs(spark, size):
+    best = spark.createDataFrame([(run, cell) for run in (3, 1, 2) for cell in range(9)], "run_id int, cell int").repartition(4)
+    got = archive.union(best.where("run_id < 3"), best.where("run_id = 3").drop("cell").withColumn("cell", F.lit(4)).limit(1), segment_rows=size).orderBy("id").collect()
+    assert [(r["run_id"], r["cell"], r["id"]) for r in got] == [(1, c, c) for c in range(9)] + [(2, c, 9 + c) for c in range(9)] + [(3, 4, 18)]
