@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import params, text, vectors
-from tessella.operators import archive, calibration, fields, metrics, ownership, pairs, percentiles, quality, series, simulation, spawn, views
+from tessella.operators import archive, calibration, fields, metrics, ownership, pairs, percentiles, quality, ranges, series, simulation, spawn, views
 from tessella.plans import adapters as V
+from tessella.sources.tables import stage
 from tessella.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -688,10 +689,28 @@ def viewer_cells(spark, sf_dir):
 
 @query(f"WITH {V.CELLED}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, cell ORDER BY quality DESC, arrival) AS rn FROM celled WHERE quality IS NOT NULL) WHERE rn = 1) SELECT run_id, arrival, cell, row_number() OVER (ORDER BY run_id, cell) - 1 AS id FROM best")
 def union_of_archives(spark, sf_dir):
-    best = archive.best_per_cell(celled(spark, sf_dir), "run_id")
+    best = stage(archive.best_per_cell(celled(spark, sf_dir), "run_id"), "best")  # read by each run
     return archive.union(*[best.where(F.col("run_id") == r) for r in range(10)]).select("run_id", "arrival", "cell", "id")
 
 
+@query("""WITH b AS (SELECT p_partkey, coalesce(sum(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, p_size FROM part)
+SELECT o_orderkey, p_partkey FROM orders LEFT JOIN b ON 3 * o_orderkey >= low AND 3 * o_orderkey < low + p_size""")
+def cumulative_assignment(spark, sf_dir):
+    """Orders dealt to parts in proportion to their sizes."""
+    orders = V.table(spark, sf_dir, "orders").select("o_orderkey", (3 * F.col("o_orderkey")).alias("at"))
+    parts = V.table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return ranges.assigned(orders, parts, "at", "p_size", "p_partkey").select("o_orderkey", "p_partkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber, (SELECT max(struct_pack(d := o_orderdate, k := o_orderkey)).k FROM orders o WHERE o.o_custkey = l.l_suppkey AND CAST(o_orderdate AS DATE) <= CAST(l.l_shipdate AS DATE)) AS last_order
+FROM lineitem l WHERE l_linenumber = 1""")
+def last_order_before(spark, sf_dir):
+    """The latest order of the customer of the same number before each shipment."""
+    shipped = V.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("who"), F.col("l_shipdate").cast("date").alias("day"))
+    orders = V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("who"), F.col("o_orderdate").cast("date").alias("since"), F.col("o_orderkey").alias("last_order"))
+    return ranges.as_of(shipped, orders, "day", "since", "who").select("l_orderkey", "l_linenumber", "last_order")
+
+
 @query(f"WITH {V.CREATURE} SELECT id, run FROM creature WHERE quality >= 0.45 AND list_max(emission) > 0.25")
 def signal_creatures(spark, sf_dir):
     c = V.creatures(spark, sf_dir).withColumn("emission", F.when(F.array_max("emission") > 0.25, F.col("emission")))
