@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import creature_id, unit
+from tessella.operators.components import components
 from tessella.operators.percentiles import matched
 from tessella.operators.scans import SEGMENT_ROWS, numbered, segments
 from tessella.session import ship
@@ -171,21 +172,8 @@ def occupied_since(candidates: DataFrame, run: str, kind: str, override: float)
 
 
 def labels(edges: DataFrame, run: str) -> DataFrame:
-    """(run, cell, label): the least cell of each connected group of a run's cells, for cells with edges.
-
-    Labels spread along edges and jump to the labels of labels, so paths shrink by
-    half a round. Nodes are cells, not rows.
-    """
-    both = stage(edges.unionByName(edges.select(run, F.col("other").alias("cell"), F.col("cell").alias("other"))).distinct(), "links")
-    now = stage(both.groupBy(run, "cell").agg(F.least(F.col("cell"), F.min("other")).alias("label")), "labels")
-    while True:
-        spread = matched(both, now.select(run, F.col("cell").alias("other"), F.col("label").alias("near")), [run, "other"])
-        least = matched(now, spread.groupBy(run, "cell").agg(F.min("near").alias("near")), [run, "cell"])
-        jump = matched(least.withColumn("at", F.least("label", "near")), now.select(run, F.col("cell").alias("at"), F.col("label").alias("far")), [run, "at"])
-        after = stage(jump.select(run, "cell", F.least("at", "far").alias("label"), (F.least("at", "far") < F.col("label")).alias("moved")), "labels")
-        if after.where("moved").isEmpty():
-            return after.drop("moved")
-        now = after.drop("moved")
+    """(run, cell, label): the least cell of each connected group of a run's cells, for cells with edges (cell, other)."""
+    return components(edges, "cell", "other", run)
 
 
 def union(*archives: DataFrame, run: str = "run_id", segment_rows: int = SEGMENT_ROWS) -> DataFrame:

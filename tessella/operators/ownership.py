@@ -11,12 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.components import components
+from tessella.operators.percentiles import matched
 from tessella.session import ship
+from tessella.sources.tables import stage
 
 #: Fixed thresholds: ownership that counts as presence in a cell, as being there or
 #: away for interaction, as having an owner at all, and as receiving a signal.
 MASK, PRESENT, ABSENT, OWNED, RECEIVING = 0.2, 0.3, 0.05, 0.1, 0.1
 HOMO_SHARE = 0.01
+#: Cells of a side of a tile that is labelled in one task.
+TILE = 512
 
 
 def territory(ownership: DataFrame, *keys: str) -> DataFrame:
@@ -109,23 +114,53 @@ def labelled(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def patches(ownership: DataFrame, size: int, *keys: str, mask: float | None = MASK) -> DataFrame:
+def patches(ownership: DataFrame, size: int, *keys: str, mask: float | None = MASK, tile: int = TILE) -> DataFrame:
     """(keys, species, patch_count, patch_sizes) of cells above the mask; sizes descend.
 
-    A group is one species' grid in one snapshot: size x size cells, a bound.
+    A grid is cut into tiles of ``tile`` x ``tile`` cells that are labelled apart, a
+    task a tile. Labels that touch across the edges of tiles are joined, and their
+    connected groups are the patches. A grid of one tile needs no joining.
     """
     ship(ownership.sparkSession)
     names = [*keys, "species"]
     kinds = ", ".join(f"{k} {ownership.schema[k].dataType.simpleString()}" for k in names)
-
-    def count(group: pa.Table) -> pa.Table:
-        grid = np.zeros((size, size), bool)
+    side = min(size, tile)
+    across = -(-size // side)
+    at = (F.floor(F.col("y") / side) * across + F.floor(F.col("x") / side)).cast("long")
+    cells = ownership.select(*names, at.alias("tile"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("w").cast("double").alias("w"))
+
+    def label(group: pa.Table) -> pa.Table:
+        """A row for each patch of a tile, with its cells, and for each of its cells at the edge of the tile."""
+        number = group["tile"][0].as_py()
+        top, left = number // across * side, number % across * side
+        grid = np.zeros((side, side), bool)
         lit = group["w"].to_numpy() > (mask or 0.0)
-        grid[group["y"].to_numpy()[lit], group["x"].to_numpy()[lit]] = True
-        sizes = sorted(np.bincount(labelled(grid).ravel())[1:].tolist(), reverse=True)
-        return pa.table({k: group[k][:1].combine_chunks() for k in names} | {"patch_count": pa.array([len(sizes)], pa.int64()), "patch_sizes": pa.array([sizes], pa.list_(pa.int64()))})
-
-    return ownership.select(*names, "y", "x", F.col("w").cast("double")).groupBy(*names).applyInArrow(count, f"{kinds}, patch_count long, patch_sizes array<long>")
+        grid[group["y"].to_numpy()[lit] - top, group["x"].to_numpy()[lit] - left] = True
+        found = labelled(grid)
+        sizes = np.bincount(found.ravel())[1:]
+        y, x = np.nonzero(found)
+        if across > 1:
+            edge = (y == 0) | (x == 0) | (y == side - 1) | (x == side - 1)
+            y, x = y[edge], x[edge]
+        else:
+            y, x = y[:0], x[:0]
+        n, k = len(sizes), len(y)
+        part = number * (side * side + 1) + np.r_[np.arange(1, n + 1), found[y, x]]
+        gone = lambda count: pa.nulls(count, pa.int64())
+        return pa.table({c: pa.concat_arrays([group[c][:1].combine_chunks()] * (n + k)) if n + k else group[c][:0].combine_chunks() for c in names} | {"part": pa.array(part, pa.int64()), "cells": pa.concat_arrays([pa.array(sizes, pa.int64()), gone(k)]), "y": pa.concat_arrays([gone(n), pa.array(top + y, pa.int64())]), "x": pa.concat_arrays([gone(n), pa.array(left + x, pa.int64())])})
+
+    found = cells.groupBy(*names, "tile").applyInArrow(label, f"{kinds}, part long, cells long, y long, x long")
+    if across > 1:
+        found = stage(found, "tiles")
+        edge = found.where("cells is null").select(*names, "part", "y", "x")
+        steps = F.explode(F.array(F.struct(F.col("y"), (F.col("x") + 1).alias("x")), F.struct((F.col("y") + 1).alias("y"), F.col("x"))))
+        beside = edge.select(*names, F.col("part").alias("other"), steps.alias("s")).select(*names, "other", "s.*")
+        touching = matched(edge, beside, [*names, "y", "x"], F.expr("part <> other")).select(*names, "part", "other").distinct()
+        whole = components(touching, "part", "other", *names)
+        found = matched(found.where("cells is not null").drop("y", "x"), whole, [*names, "part"], how="left").groupBy(*names, F.coalesce("label", "part").alias("part")).agg(F.sum("cells").alias("cells"))
+    counts = found.where("cells is not null").groupBy(*names).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("cells"), False).alias("sizes"))
+    every = ownership.select(*names).distinct()
+    return matched(every, counts, names, how="left").select(*names, F.coalesce("n", F.lit(0)).cast("long").alias("patch_count"), F.coalesce("sizes", F.array().cast("array<bigint>")).alias("patch_sizes"))
 
 
 def homo_mask(mass: DataFrame, *keys: str) -> DataFrame:
