@@ -83,7 +83,7 @@ def resolve(names: tuple[str, ...], signal: bool = False) -> tuple[Descriptor, .
 
 
 def load_module(path: str) -> list[str]:
-    """Register the user descriptors of a Python file: DESCRIPTORS, a list of (name, aggregate column)."""
+    """Register the user descriptors of a Python file: DESCRIPTORS, a list of (name, aggregate column or function of a trace)."""
     spec = importlib.util.spec_from_file_location("user_descriptors", path)
     if spec is None or spec.loader is None:
         raise ValueError(f"{path} is no Python file")
@@ -93,8 +93,8 @@ def load_module(path: str) -> list[str]:
     if not isinstance(found, list):
         raise TypeError(f"{path} has no list DESCRIPTORS")
     for entry in found:
-        if not (isinstance(entry, tuple) and len(entry) == 2 and isinstance(entry[1], Column)):
-            raise TypeError(f"{path}: {entry!r} is no pair of a name and an aggregate column")
+        if not (isinstance(entry, tuple) and len(entry) == 2 and (isinstance(entry[1], Column) or callable(entry[1]))):
+            raise TypeError(f"{path}: {entry!r} is no pair of a name and an aggregate column or a function")
         series.register(*entry)
     return [n for n, _ in found]
 

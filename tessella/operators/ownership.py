@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import ranges
 from tessella.operators.components import components
 from tessella.operators.percentiles import matched
 from tessella.session import ship
@@ -240,12 +241,6 @@ def final_label(found: DataFrame, *keys: str, priority: tuple[str, ...] = PRIORI
 
 
 def as_of(steps: DataFrame, history: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Each (keys, step) with the last ``value`` of history at or before it.
-
-    One sort of the union, no range join: history rows carry their value
-    forward to the steps after them.
-    """
-    a = steps.select(*keys, "step", F.lit(None).cast(history.schema[value].dataType).alias("_v"), F.lit(1).alias("_ask"))
-    b = history.select(*keys, "step", F.col(value).alias("_v"), F.lit(0).alias("_ask"))
-    by = Window.partitionBy(*keys).orderBy("step", "_ask")
-    return a.unionByName(b).withColumn("_v", F.last("_v", ignorenulls=True).over(by)).where("_ask = 1").select(*keys, "step", F.col("_v").alias(value))
+    """Each (keys, step) with the last ``value`` of history at or before it; of one step's, the greatest."""
+    known = history.where(F.col(value).isNotNull()).select(*keys, F.col("step").alias("_from"), value)
+    return ranges.as_of(steps.select(*keys, "step"), known, "step", "_from", *keys)

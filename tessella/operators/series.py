@@ -6,10 +6,16 @@ asking for eight costs one shuffle. ``tail`` is the number of last steps.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.vectors import clip, wrapped
+from tessella.operators.percentiles import matched
+from tessella.session import ship
 
 TAIL = 50
 CLIP = 100.0
@@ -65,17 +71,44 @@ def descriptors(trace: DataFrame, tail: int = TAIL, *keys: str) -> DataFrame:
     )
 
 
-#: User descriptors: name -> aggregate over framed rows.
-REGISTRY: dict[str, Column] = {}
+#: User descriptors: name -> aggregate over framed rows, or function of a trace.
+REGISTRY: dict[str, Column | Callable[[dict[str, np.ndarray]], float]] = {}
+TRACE = ("step", "com_y", "com_x", "bbox", "gyradius")
+
 
+def register(name: str, descriptor: Column | Callable[[dict[str, np.ndarray]], float]) -> None:
+    """Add or replace a descriptor: an aggregate expression over framed() rows, or a function.
 
-def register(name: str, aggregate: Column) -> None:
-    """Add or replace a descriptor, an aggregate expression over framed() rows."""
-    if not name or not isinstance(aggregate, Column):
-        raise TypeError("a descriptor has a name and an aggregate column")
-    REGISTRY[name] = aggregate
+    A function gets the columns of TRACE as arrays in order of the steps and
+    returns a number; it runs in a task for each creature, and what is not finite
+    counts as 0.
+    """
+    if not name or not (isinstance(descriptor, Column) or callable(descriptor)):
+        raise TypeError("a descriptor has a name and an aggregate column or a function")
+    REGISTRY[name] = descriptor
 
 
 def user_descriptors(trace: DataFrame, tail: int = TAIL, *keys: str) -> DataFrame:
     keys = keys or ("creature",)
-    return framed(trace, tail, *keys).groupBy(*keys).agg(*[c.alias(n) for n, c in REGISTRY.items()])
+    columns = {n: d for n, d in REGISTRY.items() if isinstance(d, Column)}
+    functions = {n: d for n, d in REGISTRY.items() if n not in columns}
+    out = framed(trace, tail, *keys).groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()]) if columns else None
+    if functions:
+        more = computed(trace, functions, *keys)
+        out = more if out is None else matched(out, more, list(keys))
+    return out
+
+
+def computed(trace: DataFrame, functions: dict[str, Callable[[dict[str, np.ndarray]], float]], *keys: str) -> DataFrame:
+    """(keys, a column a function) of each trace; a trace has as many rows as its rollout kept steps."""
+    ship(trace.sparkSession)
+    kinds = [f"{k} {trace.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["step"].to_numpy(), kind="stable")
+        arrays = {c: group[c].to_numpy()[order] for c in TRACE}
+        values = {n: float(f(arrays)) for n, f in functions.items()}
+        found = {n: pa.array([min(max(v, 0.0), CLIP) if np.isfinite(v) else 0.0]) for n, v in values.items()}
+        return pa.table({k: group[k][:1].combine_chunks() for k in keys} | found)
+
+    return trace.select(*keys, *TRACE).groupBy(*keys).applyInArrow(run, ", ".join([*kinds, *[f"`{n}` double" for n in functions]]))
