@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "_stages"
 
 
-#: Folders of the tables that stage() has written in this process, in order.
-STAGED: list[str] = []
+class Staged(threading.local):
+    """Folders of the tables that stage() has written in this thread, in order; queries of other threads have their own."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.folders)
+
+
+STAGED = Staged()
 #: Spark's setting that a finished query deletes its shuffle files.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -58,7 +68,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
-    STAGED.append(path)
+    STAGED.folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,12 +78,12 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
 
 
 def release_since(mark: int, *keep: DataFrame) -> None:
-    """Delete the tables that stage() has written since len(STAGED) was ``mark``, but those that ``keep`` reads."""
+    """Delete the tables that stage() has written in this thread since len(STAGED) was ``mark``, but those that ``keep`` reads."""
     kept = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
-    for folder in STAGED[mark:]:
+    for folder in STAGED.folders[mark:]:
         if folder.rpartition("/")[2] not in kept:
             delete_folder(keep[0].sparkSession, folder)
-    STAGED[mark:] = [f for f in STAGED[mark:] if f.rpartition("/")[2] in kept]
+    STAGED.folders[mark:] = [f for f in STAGED.folders[mark:] if f.rpartition("/")[2] in kept]
 
 
 def release(*frames: DataFrame) -> None:
