@@ -9,6 +9,14 @@ documents of the corpus that have either or both, one of which is put down to
 chance. Words that exceed the threshold, with enough evidence, are spans of kind
 ``term`` in documents with that entity, and are generalised like the rest.
 
+Enough evidence is more than chance brings about anywhere in the corpus. Were
+words dealt to documents at random, each document with as many and each word in
+as many as now, a word would meet an entity in about mu = n_t * L / U classes: L
+different words are in the entity's classes, U in all documents, each with its
+repeats. It meets it in k. The Chernoff bound of a Poisson count puts the chance of
+that at exp(-(k log(k / mu) - k + mu)), which must stay below ``ERROR`` divided by
+entities times words of the corpus; so the bar grows with entities and vocabulary.
+
 Evidence is near-duplicate classes of whole documents: a text and its near copies
 are one. Words count wherever they stand in a document, but not inside of
 personal data. Only entities in several classes have their documents' words
@@ -54,6 +62,8 @@ SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
 WORD = r"[\p{L}\p{N}_]"
 #: Evidence for disclosure; share of an entity's information that discloses it: half; least length of a term.
 MIN_CONTEXTS, DISCLOSURE, MIN_WORD = 3, 0.5, 3
+#: Chance that some word of a corpus without disclosing words is taken for one.
+ERROR = 0.01
 #: Bins and bands of a text's sketch; share of agreeing bins that makes two texts near copies.
 BINS, BAND, NEAR = 64, 4, 0.7
 
@@ -148,10 +158,23 @@ def classes(texts: DataFrame) -> DataFrame:
     return texts.select("key").join(found, F.col("key") == found["node"], "left").select("key", F.coalesce("component", "key").alias("class"))
 
 
-def disclosing_terms(marked: DataFrame, docs: DataFrame, *, min_contexts: int, disclosure: float) -> DataFrame | None:
-    """(entity, term) above the disclosure threshold; None if no word has evidence enough.
+def words(text: Column) -> Column:
+    """Different words of a text that may be terms."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}{{{MIN_WORD},}}"), F.lit(0)))
+    return F.filter(found, lambda w: ~w.rlike("^[0-9]+$"))
+
+
+def beyond_chance(k: Column, mu: Column, tests: Column) -> Column:
+    """Whether a count of ``k`` where ``mu`` are expected is too rare for one of ``tests`` tries."""
+    return (k > mu) & (k * F.log(k / mu) - k + mu >= F.log(tests / F.lit(ERROR)))
 
-    ``marked`` has text and spans of the documents with entities, ``docs`` all texts.
+
+def disclosed(marked: DataFrame, docs: DataFrame, *, min_contexts: int, disclosure: float) -> DataFrame | None:
+    """(key, terms): words of a text that disclose one of its entities; None if no word has evidence enough.
+
+    ``marked`` has text and spans of the documents with entities, ``docs`` all texts;
+    a key is the hash of a text. A text meets terms by its words, so that an entity
+    with many terms brings its documents only those that they hold.
     """
     keyed = marked.withColumn("key", F.xxhash64("text"))
     per = keyed.select("key", F.explode(all_entities("spans")).alias("entity")).groupBy("entity", "key").agg(F.count("*").alias("n"))
@@ -168,17 +191,29 @@ def disclosing_terms(marked: DataFrame, docs: DataFrame, *, min_contexts: int, d
     held = save(held.join(several.select("entity"), "entity", "left_semi"), "evident_entities")
     if held.isEmpty():
         return None
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"{WORD}{{{MIN_WORD},}}"), F.lit(0)))
-    within = texts.join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode(words("outside")).alias("term")).where(~F.col("term").rlike("^[0-9]+$"))
-    df = docs.select(F.explode(words("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= min_contexts)
+    own = held.groupBy("key").agg(F.first("class").alias("class"))
+    within = texts.join(own, "key").select("key", "class", F.explode(words("outside")).alias("term"))
+    counts = save(docs.select(F.explode(words("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "word_counts")
+    df = counts.where(F.col("n_t") >= min_contexts)
     total = float(docs.count() + 1)
+    wide = within.select("class", "term").distinct().groupBy("class").agg(F.count("*").alias("wide"))
+    spread = held.select("entity", "class").distinct().join(wide, "class").groupBy("entity").agg(F.sum("wide").alias("wide"))
+    extent = counts.agg(F.sum("n_t").alias("all_words"), F.count(F.when(F.col("n_t") >= min_contexts, 1)).alias("vocabulary"))
+    tries = held.agg(F.count_distinct("entity").alias("entities"))
     # n_te <= n_e, so a more frequent word cannot reach the threshold
     rare = F.log("n_t") <= disclosure * F.log("n_e") + (1 - disclosure) * F.log(F.lit(total)) + 1e-9
-    seen = held.join(within.join(df, "term"), "key").where(rare)
+    seen = held.drop("class").join(within.join(df, "term"), "key").where(rare)
     each = seen.groupBy("entity", "term", "class").agg(F.sum("n").alias("n"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
-    evidence = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_classes"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    evidence = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("k"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
     pmi = F.log((F.col("n_te") - 1) * total / (F.col("n_t") * F.col("n_e")))
-    return evidence.where((F.col("n_classes") >= min_contexts) & (pmi >= disclosure * F.log(F.lit(total) / F.col("n_e")))).select("entity", "term")
+    near = evidence.where((F.col("k") >= min_contexts) & (pmi >= disclosure * F.log(F.lit(total) / F.col("n_e"))))
+    known = near.join(spread, "entity").join(F.broadcast(extent)).join(F.broadcast(tries))
+    mu = F.col("n_t") * F.col("wide") / F.col("all_words")
+    terms = save(known.where(beyond_chance(F.col("k"), mu, F.col("entities") * F.col("vocabulary"))).select("entity", "term"), "terms")
+    if terms.isEmpty():
+        return None
+    pairs = within.select("key", "term").join(terms, "term").join(held.select("key", "entity"), ["key", "entity"], "left_semi")
+    return save(pairs.groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms")), "own_terms")
 
 
 def mark(docs: DataFrame, *, text_col: str = "text", spans_col: str = "pii_spans", min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -189,17 +224,14 @@ def mark(docs: DataFrame, *, text_col: str = "text", spans_col: str = "pii_spans
     rows = save(docs.withColumn(spans_col, base_spans(text)), "base_spans")
     found = rows.where(F.size(spans_col) > 0)
     marked = found.select(F.col(text_col).alias("text"), F.col(spans_col).alias("spans"))
-    terms = disclosing_terms(marked, rows.select(F.col(text_col).alias("text")), min_contexts=min_contexts, disclosure=disclosure)
-    if terms is None:
+    own = disclosed(marked, rows.select(F.col(text_col).alias("text")), min_contexts=min_contexts, disclosure=disclosure)
+    if own is None:
         return rows
-    by_entity = save(terms, "terms")
-    row, own_terms = free(rows, "_row"), free(rows, "_terms")
-    tagged = found.withColumn(row, F.xxhash64(text, F.to_json(spans_col)))
-    named = tagged.select(F.col(row).alias("row"), F.explode(all_entities(spans_col)).alias("entity")).distinct()
-    own = save(named.join(by_entity, "entity").groupBy("row").agg(F.array_sort(F.collect_set("term")).alias(own_terms)), "own_terms")
+    key, own_terms = free(rows, "_key"), free(rows, "_terms")
+    own = own.select(F.col("key").alias(key), F.col("terms").alias(own_terms))
     pattern = F.concat(F.lit(f"(?iu)(?<!{WORD})(?:"), F.array_join(own_terms, "|"), F.lit(f")(?!{WORD})"))
     more = F.when(F.col(own_terms).isNotNull(), F.filter(located(text, pattern, len(PATTERNS)), lambda t: ~F.exists(spans_col, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))))
-    joined = tagged.join(own.withColumnRenamed("row", row), row, "left").withColumn(spans_col, F.concat(spans_col, F.coalesce(more, F.array().cast(SPAN)))).select(*rows.columns)
+    joined = found.withColumn(key, F.xxhash64(text)).join(own, key, "left").withColumn(spans_col, F.concat(spans_col, F.coalesce(more, F.array().cast(SPAN)))).select(*rows.columns)
     return rows.where(F.size(spans_col) == 0).unionByName(joined)
 
 

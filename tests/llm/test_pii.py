@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 from tessella.llm import pii
 
@@ -87,9 +88,10 @@ def test_evidence_is_different_documents_whatever_stands_beside_the_entity(spark
 
 
 def by_hand(rows, min_contexts=pii.MIN_CONTEXTS, disclosure=pii.DISCLOSURE):
-    """(doc_id, term) by the definition: PMI over IC of documents without near copies."""
+    """(doc_id, term) by the definition: PMI over IC, and more than chance, of documents without near copies."""
     words = {i: {w for w in re.findall(r"\w{3,}", re.sub("|".join(PLAIN.values()), " ", t).lower()) if not w.isdigit()} for i, t in rows}
-    everywhere = {i: set(re.findall(r"\w{3,}", t.lower())) for i, t in rows}
+    everywhere = {i: {w for w in re.findall(r"\w{3,}", t.lower()) if not w.isdigit()} for i, t in rows}
+    counts = Counter(w for ws in everywhere.values() for w in ws)
     held = {}
     for i, t in rows:
         for kind, a, b in brute(t):
@@ -99,10 +101,16 @@ def by_hand(rows, min_contexts=pii.MIN_CONTEXTS, disclosure=pii.DISCLOSURE):
             for e in ((kind, v if kind in ("email", "ip") else d), (kind, "of", of)):
                 held.setdefault(e, set()).add(i)
     total, out = len(rows) + 1, set()
+    held = {e: ids for e, ids in held.items() if len(ids) >= min_contexts}
+    bar = math.log(len(held) * sum(n >= min_contexts for n in counts.values()) / pii.ERROR)
     for ids in held.values():
+        width = sum(len(words[i]) for i in ids)
         for term in set().union(*(words[i] for i in ids)):
             both = sum(term in words[i] for i in ids)
-            n_t = sum(term in w for w in everywhere.values())
+            n_t = counts[term]
+            mu = n_t * width / sum(counts.values())
+            if both <= mu or both * math.log(both / mu) - both + mu < bar:
+                continue
             if both >= min_contexts and math.log((both - 1) * total / (n_t * len(ids))) >= disclosure * math.log(total / len(ids)):
                 out |= {(i, term) for i in ids if term in words[i]}
     return out
@@ -126,9 +134,40 @@ def test_terms_equal_pmi_over_information_content_by_hand(spark):
     assert got == want and {t for _, t in want} >= {"acmecorp", "nearby", "intranet"} and "common" not in {t for _, t in want}
 
 
+def test_a_natural_vocabulary_has_no_terms_by_chance(spark):
+    rng = random.Random(29)
+    names = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(4000)]
+    weights = [1 / (r + 3) for r in range(len(names))]
+    holders = ["often.org", "mail1.net", "mail2.net", "mail3.net"]
+
+    def row(i, word=""):
+        ws = rng.choices(names, weights, k=rng.choice([15, 60, 60, 400]))
+        at = f"p{i}@{rng.choices(holders, [20, 1, 1, 1])[0]}" if i % 3 == 0 else ""
+        return (i, " ".join([*ws, word, at]))
+
+    clean = [row(i) for i in range(1500)]
+    planted = [(5000 + i, f"{row(1)[1]} Veldram x{i}@mail2.net") for i in range(8)]
+    spans = lambda rows: {(r["doc_id"], s) for r in pii.report(pii.mark(spark.createDataFrame(rows, "doc_id long, text string"))).collect() for s in r["spans"].split(",") if s.startswith("term")}
+    assert spans(clean) == set()
+    text = dict(planted)
+    got = spans(clean + planted)
+    assert {(i, text[i][slice(*map(int, s.split(":")[1:]))]) for i, s in got} == {(i, "Veldram") for i, _ in planted}
+
+
+def test_a_text_gets_only_the_terms_that_it_holds(spark):
+    rng = random.Random(3)
+    some = lambda n: " ".join(f"g{rng.randrange(400)}k" for _ in range(n))
+    rows = [(i, f"{some(20)} Alphaxo{i % 3} {some(5)} staff{i}@big.org") for i in range(60)]
+    rows += [(100 + i, some(30)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = docs.withColumn("spans", pii.base_spans(docs["text"])).where("size(spans) > 0").select("text", "spans")
+    own = pii.disclosed(found, docs.select("text"), min_contexts=3, disclosure=0.5)
+    assert sorted(tuple(r["terms"]) for r in own.collect()) == sorted((f"alphaxo{i % 3}",) for i in range(60))
+
+
 def test_clashing_columns_stay(spark):
     rows = [(i, f"text {i} zorbo a@b.org", ["x"], 1, "t", "r") for i in range(4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, PII_spans array<string>, _row int, _terms string, entity string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, PII_spans array<string>, _key int, _terms string, entity string")
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.schema == docs.schema
-    assert all((r["PII_spans"], r["_row"], r["_terms"], r["entity"]) == (["x"], 1, "t", "r") and "@" not in r["text"] for r in out.collect())
+    assert all((r["PII_spans"], r["_key"], r["_terms"], r["entity"]) == (["x"], 1, "t", "r") and "@" not in r["text"] for r in out.collect())
