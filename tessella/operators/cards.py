@@ -11,11 +11,31 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessella.functions.params import MASS_SPECS, SIGNAL_SPECS
 from tessella.operators.simulation import PRESETS
 from tessella.session import ship
 
 
+# Decimal places of a creature's card. Parameters that are not named have four, and the radius stays.
+PLACES = {"emission_rate": 5, "descriptors": 6, "quality": 4, "compute_seconds": 3}
+PARAMETERS = tuple(name for name, *_ in MASS_SPECS + SIGNAL_SPECS if name != "radius")
+
+
+def rounded_to(c: Column, kind: T.DataType, places: int) -> Column:
+    """Every number of ``c``, however deep in arrays, to a number of places."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: rounded_to(x, kind.elementType, places))
+    return F.round(c.cast("double"), places)
+
+
+def creature_cards(creatures: DataFrame) -> DataFrame:
+    """Creatures with the numbers that a card shows; nulls stay, other columns are as they were."""
+    shown = {f.name: PLACES.get(f.name, 4) for f in creatures.schema if f.name in PARAMETERS or f.name in PLACES}
+    return creatures.select(*[rounded_to(F.col(f.name), f.dataType, shown[f.name]).alias(f.name) if f.name in shown else F.col(f"`{f.name}`") for f in creatures.schema])
+
+
 def preset_of(grid: Column) -> Column:
     """The preset with that grid side, else custom."""
     out = F.lit("custom")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import params, text, vectors
-from tessella.operators import archive, calibration, fields, metrics, ownership, pairs, percentiles, quality, ranges, series, simulation, spawn, views
+from tessella.operators import archive, calibration, cards, fields, metrics, ownership, pairs, percentiles, quality, ranges, series, simulation, spawn, views
 from tessella.plans import adapters as V
+from tessella.sources import tables
 from tessella.sources.tables import stage
 from tessella.streaming import events as stream
 
@@ -731,3 +733,83 @@ def stream_archive(spark, sf_dir):
     rows = e.select((F.col("user_id") % 10).alias("run_id"), F.pmod(k, F.lit(16)).alias("cell"), F.when(F.col("event_type") != "error", F.col("value") / (F.col("value") + 50.0)).alias("quality"), F.col("event_id").alias("arrival"))
     name = f"archive_{uuid.uuid4().hex}"
     return stream.drain(stream.archive(rows), name, f"{shared_dir(spark)}/{name}")
+
+
+# --- logs, cards and dispatch ---------------------------------------------------------------------
+
+
+@query(f"WITH {V.STATUS} SELECT CAST(run_id AS VARCHAR) AS run_id, arrival AS completed_count, round(quality, 6) AS quality, status AS insertion_status, CAST(parent AS VARCHAR) AS parent_id FROM status")
+def event_log(spark, sf_dir):
+    """Events written to a log in two appends, and read back; the log goes when its rows are kept."""
+    path = f"{tables.shared_dir(spark)}/event_log-{uuid.uuid4().hex}"
+    rows = with_status(spark, sf_dir)
+    rows = stage(rows.select(F.col("run_id").cast("string").alias("run_id"), F.col("arrival").alias("completed_count"), "seed", F.array("d0", "d1", "d2").alias("d"), "quality", F.col("status").alias("insertion_status"), F.col("parent").cast("string").alias("parent_id"), F.lit(b"png").alias("thumbnail")), "log_rows")
+    for half in (0, 1):
+        tables.append_events(rows.where(F.col("completed_count") % 2 == half), path)
+    read = stage(tables.read_events(spark, path).select("run_id", "completed_count", "quality", "insertion_status", "parent_id"), "log_read")
+    tables.release(rows)
+    tables.delete_folder(spark, path)
+    return read
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS INT) AS index, 'gpu ' || l_suppkey AS name, CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS utilization, CAST(l_partkey AS DOUBLE) AS memory_used, CASE WHEN l_linestatus = 'O' THEN 'P0' END AS pstate, CAST(NULL AS DOUBLE) AS fan FROM lineitem""")
+def gpu_lines(spark, sf_dir):
+    """Telemetry lines made of shipments, and parsed again: missing values are placeholders, or cut off."""
+    li = V.table(spark, sf_dir, "lineitem")
+    missing = F.lit("[N/A]")
+    parts = [F.col("l_linenumber"), F.concat(F.lit("gpu "), "l_suppkey"), F.when(F.col("l_returnflag") == "R", missing).otherwise(F.col("l_quantity").cast("string")), missing, F.col("l_partkey"), F.lit(40000), F.lit(55), missing, F.lit(300), F.lit(1410), F.lit(1215), F.when(F.col("l_linestatus") == "O", "P0").otherwise(missing)]
+    lines = li.select("l_orderkey", "l_linenumber", F.concat_ws(" ,  ", *[c.cast("string") for c in parts]).alias("value"))
+    return tables.parse_gpu_csv(lines, keep=("l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", "index", "name", "utilization", "memory_used", "pstate", "fan")
+
+
+@query(f"""WITH {V.STATUS}, configs AS (SELECT CAST(n_nationkey AS BIGINT) AS run_id, 96 * (1 + n_nationkey % 5) AS grid FROM nation),
+totals AS (SELECT run_id, count(*) AS n, count_if(status IN ('inserted', 'replaced')) / count(*) AS share, count(DISTINCT CASE WHEN quality IS NOT NULL THEN cell END) AS occupied FROM status GROUP BY run_id)
+SELECT run_id, CASE grid WHEN 96 THEN 'dev' WHEN 192 THEN 'standard' WHEN 384 THEN 'pretty' ELSE 'custom' END AS preset, coalesce(n, 0) AS candidates, round(100 * coalesce(share, 0.0), 1) AS inserted_percent, coalesce(occupied, 0) AS occupied, round(100 * coalesce(occupied / {V.CELLS}.0, 0.0), 1) AS fill_percent FROM configs LEFT JOIN totals USING (run_id)""")
+def run_cards(spark, sf_dir):
+    """A card for every nation's number; runs that have no log show zeros."""
+    rows = with_status(spark, sf_dir)
+    configs = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("run_id"), (96 * (1 + F.col("n_nationkey") % 5)).alias("grid"))
+    return cards.run_cards(metrics.status_totals(rows, "run_id"), archive.fill(rows.where("quality IS NOT NULL"), V.CELLS, "run_id"), configs, "run_id")
+
+
+@query(f"WITH {V.CREATURE}, card AS (SELECT id, round(quality, 4) AS quality, list_transform(emission, lambda x: round(x, 4)) AS e, list_transform(receptor, lambda x: round(x, 4)) AS p, list_transform(d, lambda x: round(x, 6)) AS d FROM creature) SELECT id, quality, d[1] AS d0, d[2] AS d1, d[3] AS d2, list_max(e) AS loudest, round(list_sum(e), 4) AS emitted, round(list_sum(p), 4) AS received FROM card")
+def creature_cards(spark, sf_dir):
+    """Creatures as their cards round them."""
+    named = V.creatures(spark, sf_dir).withColumnsRenamed({"emission": "emission_vector", "receptor": "receptor_profile", "d": "descriptors"})
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
+    return cards.creature_cards(named).select("id", "quality", *[F.get("descriptors", F.lit(i)).alias(f"d{i}") for i in range(3)], F.array_max("emission_vector").alias("loudest"), total("emission_vector").alias("emitted"), total("receptor_profile").alias("received"))
+
+
+@query(f"WITH {V.TRACE}, ends AS (SELECT creature, min(step) AS a, max(step) AS b FROM trace GROUP BY creature), wanted AS (SELECT DISTINCT creature, CAST(round(a + i * (b - a) / 15.0) AS BIGINT) AS step FROM ends, range(16) t(i)) SELECT creature, step, round(com_y, 6) AS com_y FROM trace SEMI JOIN wanted USING (creature, step)")
+def frame_samples(spark, sf_dir):
+    return cards.sampled_frames(V.traces(spark, sf_dir), 16, "creature").select("creature", "step", "com_y")
+
+
+@query(f"WITH {V.TRACE} SELECT creature, step, round(com_x, 6) AS com_x FROM framed WHERE step % 20 = 0 OR rn = 1")
+def snapshot_steps(spark, sf_dir):
+    return cards.snapshots(V.traces(spark, sf_dir), 20, "creature").select("creature", "step", "com_x")
+
+
+@query("""SELECT o_orderkey, CASE WHEN count(l_orderkey) = 0 THEN 'lost' WHEN count_if(l_returnflag = 'R') > 0 THEN 'failed' ELSE 'done' END AS state, max(CASE WHEN l_returnflag = 'R' THEN 'part ' || l_partkey END) AS error
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def dispatch_states(spark, sf_dir):
+    """Orders as submitted work, shipments as results, returned ones as failures."""
+    submitted = V.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("submission"))
+    results = V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("part "), "l_partkey")).alias("error"))
+    return cards.dispatched(submitted, results, "o_orderkey").select("o_orderkey", "state", "error")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS name, CASE WHEN l_orderkey % 3 = 0 THEN 'homogeneous' END AS given, string_agg(label, ' ' ORDER BY l_linenumber, label) AS sources, count(*) AS k, CAST(sum(CAST(l_quantity AS INT)) AS INT) AS creatures, max(CASE WHEN l_discount >= 0.05 THEN l_discount ELSE 0 END) AS signal FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN 'c-' || l_partkey ELSE 'run' || l_suppkey || '[' || l_linenumber || ',' || l_partkey % 28 || ']' END AS label FROM lineitem) GROUP BY l_orderkey)
+SELECT name, coalesce(given, CASE WHEN k > 1 THEN 'heterogeneous' ELSE 'homogeneous' END) AS mode, sources, creatures, CAST(CASE WHEN name % 2 = 0 THEN 96 ELSE 128 END AS INT) AS grid_h, CAST(CASE WHEN name % 2 = 0 THEN 192 ELSE 128 END AS INT) AS grid_w, signal > 0 AS has_signal FROM s""")
+def ecosystem_cards(spark, sf_dir):
+    """Orders as summaries of ecosystems: even ones state both sides, odd ones are of the older form."""
+    li = V.table(spark, sf_dir, "lineitem")
+    now = F.col("l_linestatus") == "O"
+    cell = F.array(F.col("l_linenumber").cast("int"), (F.col("l_partkey") % 28).cast("int"))
+    label = F.when(now, F.concat(F.lit("c-"), "l_partkey")).otherwise(F.concat(F.lit("run"), "l_suppkey", F.lit("["), "l_linenumber", F.lit(","), F.col("l_partkey") % 28, F.lit("]")))
+    source = F.struct(F.col("l_linenumber").alias("at"), label.alias("order"), F.when(now, F.concat(F.lit("c-"), "l_partkey")).alias("creature_id"), F.when(~now, F.concat(F.lit("run"), "l_suppkey")).alias("run_id"), F.when(~now, cell).alias("cell"), F.col("l_quantity").cast("int").alias("n"))
+    rows = li.groupBy(F.col("l_orderkey").alias("name")).agg(F.array_sort(F.collect_list(source)).alias("sources"), F.collect_list(F.when(F.col("l_discount") >= 0.05, F.col("l_discount").cast("double")).otherwise(0.0)).alias("signal_total_history"))
+    even = F.col("name") % 2 == 0
+    rows = rows.withColumns({"mode": F.when(F.col("name") % 3 == 0, "homogeneous"), "grid_h": F.when(even, 96), "grid_w": F.when(even, 192), "grid": F.when(~even, 128)})
+    shown = cards.ecosystem_cards(rows).join(rows.select("name", F.array_join(cards.source_names(F.col("sources")), " ").alias("sources")), "name")
+    return shown.select("name", "mode", "sources", "creatures", "grid_h", "grid_w", "has_signal")

@@ -212,12 +212,12 @@ def write_artifacts(files: DataFrame, root: str) -> None:
     files.select("path", "content").foreachPartition(lambda rows: write_partition(rows, root))
 
 
-def parse_gpu_csv(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Columns of the thirteen-field telemetry line; placeholders are null."""
+def parse_gpu_csv(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of the thirteen-field telemetry line, after those to keep; placeholders are null."""
     names = ("index", "name", "utilization", "memory_utilization", "memory_used", "memory_total", "temperature", "power", "power_limit", "clock_sm", "clock_memory", "pstate", "fan")
     part = F.split(F.col(column), r"\s*,\s*")
     text = {"name", "pstate"}
-    return lines.select(*[(F.nullif(F.get(part, F.lit(i)), F.lit("[N/A]")) if n in text else F.trim(F.get(part, F.lit(i))).try_cast("int" if n == "index" else "double")).alias(n) for i, n in enumerate(names)])
+    return lines.select(*keep, *[(F.nullif(F.get(part, F.lit(i)), F.lit("[N/A]")) if n in text else F.trim(F.get(part, F.lit(i))).try_cast("int" if n == "index" else "double")).alias(n) for i, n in enumerate(names)])
 
 
 def write_document(fields: dict, spark: SparkSession, path: str) -> None:

@@ -62,3 +62,16 @@ def test_telemetry_stream_and_documents(spark, tmp_path):
     assert tables.merge_document(spark, f"{tmp_path}/m", {"survivors": 3}) == {"run": "r", "survivors": 3}
     assert tables.merge_document(spark, f"{tmp_path}/none", {"a": 1}) == {"a": 1}
     assert stream.EVENTS.names[0] == "event_id"
+
+
+def test_creature_cards_round_every_number_and_keep_the_rest(spark):
+    rows = [
+        ("x", 7, 12.3456789, [[0.123456, None], []], 0.00123456, [0.12345678, None, -2.00000049], 0.98765, 1.23456, "note"),
+        ("y", 8, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "creature_id string, seed long, radius double, a array<array<double>>, emission_rate double, descriptors array<double>, quality double, compute_seconds double, `odd.name` string")
+    out = cards.creature_cards(df)
+    assert out.columns == df.columns
+    got = {r["creature_id"]: tuple(r) for r in out.collect()}
+    assert got["x"] == ("x", 7, 12.3456789, [[0.1235, None], []], 0.00123, [0.123457, None, -2.0], 0.9877, 1.235, "note")
+    assert got["y"] == rows[1] and cards.creature_cards(df.limit(0)).count() == 0
