@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.vectors import argmax, distance, dot
+from tessella.operators import pair_blocks
+from tessella.session import ship
 
 THRESHOLD = 0.1
-REPULSION, COMPETITION, PURSUIT, BLIND = "repulsion", "competition", "pursuit", "blind"
+REPULSION, COMPETITION, PURSUIT, BLIND = pair_blocks.REPULSION, pair_blocks.COMPETITION, pair_blocks.PURSUIT, pair_blocks.BLIND
 
 
 def mode(ab: Column, ba: Column, t: float = THRESHOLD) -> Column:
@@ -19,10 +22,10 @@ def mode(ab: Column, ba: Column, t: float = THRESHOLD) -> Column:
 def scored_pairs(creatures: DataFrame, *, key: str = "id", cross: str | None = None, min_quality: float = 0.0) -> DataFrame:
     """All pairs i < j with products both ways, mode, distance and score.
 
-    Archives hold a bounded number of creatures, so this is a theta join of a
-    filtered, projected table; Catalyst broadcasts the side if it is small
-    enough and runs a Cartesian product in blocks otherwise. ``cross`` leaves only
-    pairs that differ in that column.
+    A theta join of a filtered, projected table, for callers that need every pair
+    as a row; ``mode_counts``, ``best_pairs`` and ``cross_pairs`` score pairs of
+    blocks and give out totals only. ``cross`` leaves only pairs that differ in
+    that column.
     """
     rows = creatures.where(F.col("quality") >= min_quality)
     names = [key, "emission", "receptor", "d", "quality", *([cross] if cross else [])]
@@ -34,7 +37,7 @@ def scored_pairs(creatures: DataFrame, *, key: str = "id", cross: str | None = N
     out = a.join(b, on)
     ab, ba = dot(F.col("emission_a"), F.col("receptor_b")), dot(F.col("emission_b"), F.col("receptor_a"))
     out = out.select(f"{key}_a", f"{key}_b", *([f"{cross}_a", f"{cross}_b"] if cross else []), ab.alias("ab"), ba.alias("ba"), distance(F.col("d_a"), F.col("d_b")).alias("distance"), ((F.col("quality_a") + F.col("quality_b")) / 2).alias("avg_quality"))
-    return out.withColumn("mode", mode(F.col("ab"), F.col("ba"))).withColumn("score", F.abs("ab") + F.abs("ba") + 0.3 * F.col("distance") + 0.5 * F.col("avg_quality"))
+    return out.withColumn("mode", mode(F.col("ab"), F.col("ba"))).withColumn("score", F.abs("ab") + F.abs("ba") + pair_blocks.FAR * F.col("distance") + pair_blocks.GOOD * F.col("avg_quality"))
 
 
 def top_pairs(pairs: DataFrame, k: int, key: str = "id") -> DataFrame:
@@ -43,6 +46,40 @@ def top_pairs(pairs: DataFrame, k: int, key: str = "id") -> DataFrame:
     return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def block_pairs(creatures: DataFrame, *, key: str = "id", cross: str | None = None, min_quality: float = 0.0) -> DataFrame:
+    """Every two blocks of creatures once, and every block with itself: a Cartesian product of packed blocks."""
+    ship(creatures.sparkSession)
+    numbers = [*[F.col(c).cast("array<double>").alias(c) for c in ("emission", "receptor", "d")], F.col("quality").cast("double").alias("quality")]
+    rows = creatures.where((F.col("quality") >= min_quality) & F.col(key).isNotNull()).select(key, *([cross] if cross else []), *numbers)
+    packed = pair_blocks.pack(rows.where(F.col(cross).isNotNull()) if cross else rows)
+    a, b = (packed.select(*[F.col(c).alias(f"{c}_{side}") for c in packed.columns]) for side in "ab")
+    even = (F.col("block_a") + F.col("block_b")) % 2 == 0
+    # which of two blocks is first alternates, so that every task gets as many pairs
+    return a.hint("shuffle_replicate_nl").join(b, (F.col("block_a") == F.col("block_b")) | ((F.col("block_a") != F.col("block_b")) & ((F.col("block_a") < F.col("block_b")) == even)))
+
+
+def mode_counts(creatures: DataFrame, *, key: str = "id", min_quality: float = 0.0) -> DataFrame:
+    """(mode, n) of all pairs i < j."""
+    counted = block_pairs(creatures, key=key, min_quality=min_quality).mapInArrow(pair_blocks.counter(key, THRESHOLD), "mode string, n long")
+    return counted.groupBy("mode").agg(F.sum("n").alias("n"))
+
+
+def best_pairs(creatures: DataFrame, k: int, *, key: str = "id", min_quality: float = 0.0) -> DataFrame:
+    """top_pairs() of all scored_pairs(): each task keeps the k best of a mode of its blocks."""
+    kind = creatures.schema[key].dataType
+    numbers = ("ab", "ba", "distance", "avg_quality", "score")
+    schema = T.StructType([T.StructField(f"{key}_a", kind), T.StructField(f"{key}_b", kind), T.StructField("mode", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in numbers]])
+    return top_pairs(block_pairs(creatures, key=key, min_quality=min_quality).mapInArrow(pair_blocks.best(key, k, THRESHOLD), schema), k, key)
+
+
+def cross_pairs(creatures: DataFrame, cross: str, *, key: str = "id", min_quality: float = 0.0) -> DataFrame:
+    """(lo, hi, n, best): of any two values of ``cross``, the number of pairs i < j and their best score."""
+    kind = creatures.schema[cross].dataType
+    schema = T.StructType([T.StructField("lo", kind), T.StructField("hi", kind), T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType())])
+    found = block_pairs(creatures, key=key, cross=cross, min_quality=min_quality).mapInArrow(pair_blocks.crossed(key, cross), schema)
+    return found.groupBy("lo", "hi").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+
+
 def emission_matrix(species: DataFrame, key: str = "species") -> DataFrame:
     """Product of every species' emission with every species' receptors, itself included; species are few."""
     a = species.select(F.col(key).alias("a"), "emission")

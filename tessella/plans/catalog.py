@@ -258,7 +258,7 @@ GOOD = PAIRS.replace("a.id < b.id", "a.id < b.id AND a.quality >= 0.5 AND b.qual
 
 @query(f"WITH {GOOD} SELECT mode, rank, printf('{BLOCK}', mode, id_a, id_b, id_a, id_b) AS yaml FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY score DESC, id_a, id_b) AS rank FROM pairs) WHERE rank <= 3")
 def pair_experiments(spark, sf_dir):
-    return pairs.experiment_yaml(pairs.top_pairs(pairs.scored_pairs(V.creatures(spark, sf_dir), min_quality=0.5), 3))
+    return pairs.experiment_yaml(pairs.best_pairs(V.creatures(spark, sf_dir), 3, min_quality=0.5))
 
 
 SPECIES = V.CREATURE + """, species AS (SELECT run AS species, list_transform(range(1, 17), lambda i: list_avg(list_transform(e, lambda v: v[i]))) AS emission, list_transform(range(1, 17), lambda i: list_avg(list_transform(r, lambda v: v[i]))) AS receptor FROM (SELECT run, list(emission ORDER BY id) AS e, list(receptor ORDER BY id) AS r FROM creature GROUP BY run))"""
