@@ -238,7 +238,7 @@ PAIRS = V.CREATURE + f""", pairs AS (SELECT *, CASE WHEN ab < -0.1 AND ba < -0.1
 
 @query(f"WITH {PAIRS} SELECT mode, count(*) AS n FROM pairs GROUP BY mode")
 def pair_modes(spark, sf_dir):
-    return pairs.scored_pairs(V.creatures(spark, sf_dir)).groupBy("mode").agg(F.count("*").alias("n"))
+    return pairs.mode_counts(V.creatures(spark, sf_dir))
 
 
 @query(f"WITH {PAIRS} SELECT mode, rank, id_a, id_b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY score DESC, id_a, id_b) AS rank FROM pairs) WHERE rank <= 5")
