@@ -248,8 +248,7 @@ def pair_topk(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT least(run_a, run_b) AS run_lo, greatest(run_a, run_b) AS run_hi, count(*) AS n, round(max(score), 6) AS best FROM pairs WHERE run_a <> run_b GROUP BY ALL")
 def cross_run_pairs(spark, sf_dir):
-    p = pairs.scored_pairs(V.creatures(spark, sf_dir), cross="run")
-    return p.groupBy(F.least("run_a", "run_b").alias("run_lo"), F.greatest("run_a", "run_b").alias("run_hi")).agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    return pairs.cross_pairs(V.creatures(spark, sf_dir), "run").select(F.col("lo").alias("run_lo"), F.col("hi").alias("run_hi"), "n", "best")
 
 
 BLOCK = "  - name: %s-%d-%d\n    sources:\n      - {creature_id: %d, n: 1}\n      - {creature_id: %d, n: 1}\n"
