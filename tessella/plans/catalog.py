@@ -243,7 +243,7 @@ def pair_modes(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT mode, rank, id_a, id_b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY score DESC, id_a, id_b) AS rank FROM pairs) WHERE rank <= 5")
 def pair_topk(spark, sf_dir):
-    return pairs.top_pairs(pairs.scored_pairs(V.creatures(spark, sf_dir)), 5).select("mode", "rank", "id_a", "id_b", "score")
+    return pairs.best_pairs(V.creatures(spark, sf_dir), 5).select("mode", "rank", "id_a", "id_b", "score")
 
 
 @query(f"WITH {PAIRS} SELECT least(run_a, run_b) AS run_lo, greatest(run_a, run_b) AS run_hi, count(*) AS n, round(max(score), 6) AS best FROM pairs WHERE run_a <> run_b GROUP BY ALL")
