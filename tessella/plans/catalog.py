@@ -559,6 +559,11 @@ def stale_products(spark, sf_dir):
     return orders.join(built, orders["o_orderkey"] == built["l_orderkey"], "left_anti").select("o_orderkey")
 
 
+def numbers(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table's keys as seeds, dealt over all cores: a table of numbers is few files, and each number is much work."""
+    return V.table(spark, sf_dir, name).select(F.col(key).cast("long").alias("seed")).repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 @query("SELECT c_custkey AS seed, 10 AS kernels, true AS in_range FROM customer")
 def sample_population(spark, sf_dir):
     """A record of each customer's number: how many kernels it has, and whether all is in range."""
@@ -569,10 +574,8 @@ def sample_population(spark, sf_dir):
 @query("SELECT c_custkey AS seed, true AS in_range, true AS changed, true AS near FROM customer")
 def mutate_population(spark, sf_dir):
     """A child of each record: in range, not its parent, and the radius within six sigma of its parent's."""
-    first = params.population(V.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("seed")), 10)
-    child = params.mutate(first)
-    both = child.join(first.select("seed", F.col("radius").alias("before"), F.col("m").alias("m_before")), "seed")
-    return both.select("seed", params.in_range().alias("in_range"), (F.col("m") != F.col("m_before")).alias("changed"), (F.abs(F.col("radius") - F.col("before")) <= 6 * 2.3).alias("near"))
+    child = params.mutate(params.population(numbers(spark, sf_dir, "customer", "c_custkey"), 10), before=("radius", "m"))
+    return child.select("seed", params.in_range().alias("in_range"), (F.col("m") != F.col("m_before")).alias("changed"), (F.abs(F.col("radius") - F.col("radius_before")) <= 6 * 2.3).alias("near"))
 
 
 @query("SELECT n_name AS name, CAST(species AS INT) AS species, n, true AS inside, true AS apart FROM (SELECT n_name, unnest([0, 1]) AS species, unnest([4 + n_nationkey % 3, 3]) AS n FROM nation)")
