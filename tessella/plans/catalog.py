@@ -567,8 +567,7 @@ def numbers(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
 @query("SELECT c_custkey AS seed, 10 AS kernels, true AS in_range FROM customer")
 def sample_population(spark, sf_dir):
     """A record of each customer's number: how many kernels it has, and whether all is in range."""
-    seeds = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("seed"))
-    return params.population(seeds, 10, True).select("seed", F.size("r").alias("kernels"), params.in_range(True).alias("in_range"))
+    return params.population(numbers(spark, sf_dir, "customer", "c_custkey"), 10, True).select("seed", F.size("r").alias("kernels"), params.in_range(True).alias("in_range"))
 
 
 @query("SELECT c_custkey AS seed, true AS in_range, true AS changed, true AS near FROM customer")

@@ -30,3 +30,4 @@ def test_a_child_needs_no_join_and_its_numbers_go_to_all_cores(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Scan parquet") == 1
     assert found.rdd.getNumPartitions() >= 8 and found.where("in_range and changed and near").count() == 30
+    assert catalog.QUERIES["sample_population"](spark, path.rpartition("/")[0]).rdd.getNumPartitions() >= 8
