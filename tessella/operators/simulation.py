@@ -90,39 +90,47 @@ class Species:
 
 
 def gradient(f: np.ndarray, border: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sobel slopes along y and x; outside a wall there is zero."""
-    p = np.pad(f, 1, mode="wrap" if border == "torus" else "constant")
-    down, right = p[2:] - p[:-2], p[:, 2:] - p[:, :-2]
-    return down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:], right[:-2] + 2 * right[1:-1] + right[2:]
+    """Sobel slopes along y and x of one field or a stack of them; outside a wall there is zero."""
+    p = np.zeros((*f.shape[:-2], f.shape[-2] + 2, f.shape[-1] + 2), f.dtype)
+    p[..., 1:-1, 1:-1] = f
+    if border == "torus":
+        p[..., 0, 1:-1], p[..., -1, 1:-1] = f[..., -1, :], f[..., 0, :]
+        p[..., 0], p[..., -1] = p[..., -2], p[..., 1]
+    down, right = p[..., 2:, :] - p[..., :-2, :], p[..., :, 2:] - p[..., :, :-2]
+    return down[..., :-2] + 2 * down[..., 1:-1] + down[..., 2:], right[..., :-2, :] + 2 * right[..., 1:-1, :] + right[..., 2:, :]
 
 
 def transport(world: World, fields: np.ndarray, fy: np.ndarray, fx: np.ndarray) -> np.ndarray:
     """Each cell's content, spread over a box of half-width sigma about where the flow takes it.
 
-    ``fields`` is (n, h, w). A box meets a bounded number of cells on each axis,
-    so the content is deposited on those alone, weighted by overlap.
+    ``fields`` is (n, h, w), or (n, lanes, h, w) with a flow (lanes, h, w) for
+    each lane. A box meets a bounded number of cells on each axis, so the content
+    is deposited on those alone, weighted by overlap.
     """
     h, w, s = world.height, world.width, world.sigma
+    if fy.ndim == 2:
+        return transport(world, fields[:, None], fy[None], fx[None])[:, 0]
     most = world.reach - s
     target, spans = [], []
     for flow, size, axis in ((fy, h, 0), (fx, w, 1)):
         at = np.arange(size) + 0.5
-        at = (at[:, None] if axis == 0 else at[None, :]) + np.clip(world.dt * flow, -most, most)
-        at = np.mod(at, size) if world.border == "torus" else np.clip(at, s, size - s)
+        at = (at[:, None] if axis == 0 else at[None, :]) + np.minimum(np.maximum(world.dt * flow, -most), most)
+        at = np.mod(at, size) if world.border == "torus" else np.minimum(np.maximum(at, s), size - s)
         first = np.floor(at - s).astype(int)
         n = int(np.floor(2 * s)) + 2
-        cells = first[None] + np.arange(n)[:, None, None]
-        overlap = np.clip(np.minimum(at[None] + s, cells + 1.0) - np.maximum(at[None] - s, cells), 0.0, None) / (2 * s)
+        cells = first[None] + np.arange(n)[:, None, None, None]
+        overlap = np.maximum(np.minimum(at[None] + s, cells + 1.0) - np.maximum(at[None] - s, cells), 0.0) / (2 * s)
         spans.append(overlap)
-        target.append(np.mod(cells, size) if world.border == "torus" else np.clip(cells, 0, size - 1))
-    out = np.zeros((len(fields), h * w))
+        target.append(np.mod(cells, size) if world.border == "torus" else np.minimum(np.maximum(cells, 0), size - 1))
+    target[0] = target[0] * w + (np.arange(len(fy)) * (h * w))[:, None, None]
+    out = np.zeros((len(fields), fy.size))
     for i in range(len(spans[0])):
         for j in range(len(spans[1])):
-            share = (spans[0][i] * spans[1][j]).ravel()
-            cell = (target[0][i] * w + target[1][j]).ravel()
+            share = spans[0][i] * spans[1][j]
+            cell = (target[0][i] + target[1][j]).ravel()
             for k, f in enumerate(fields):
-                out[k] += np.bincount(cell, weights=f.ravel() * share, minlength=h * w)
-    return out.reshape(len(fields), h, w)
+                out[k] += np.bincount(cell, weights=(f * share).ravel(), minlength=fy.size)
+    return out.reshape(fields.shape)
 
 
 @dataclass
@@ -250,12 +258,10 @@ class Lanes:
             out = np.minimum(np.maximum(g, 0.0) * rate[:, None, None], np.maximum(mass, 0.0))
             signal = (signal + self.emission[:, :, None, None] * out[:, None]) * (1.0 - self.decay[:, :, None, None])
             mass = mass - out
-        moved = np.empty_like(mass)
-        for k in range(len(mass)):
-            uy, ux = gradient(g[k], self.world.border)
-            ay, ax = gradient(mass[k], self.world.border)
-            crowd = np.clip(mass[k] * mass[k], 0.0, 1.0)
-            moved[k] = transport(self.world, mass[k][None], uy * (1 - crowd) - ay * crowd, ux * (1 - crowd) - ax * crowd)[0]
+        uy, ux = gradient(g, self.world.border)
+        ay, ax = gradient(mass, self.world.border)
+        crowd = np.clip(mass * mass, 0.0, 1.0)
+        moved = transport(self.world, mass[None], uy * (1 - crowd) - ay * crowd, ux * (1 - crowd) - ax * crowd)[0]
         return moved, signal
 
 

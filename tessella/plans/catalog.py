@@ -595,8 +595,7 @@ def simulate_mass(spark, sf_dir):
     """A rollout of each supplier's number: mass stays what it was, and the centre stays on the grid."""
     from pyspark.sql import Window
 
-    seeds = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("seed"))
-    trace = simulation.rollouts(params.population(seeds, 4).repartition(8), simulation.World(32, 32, 20, 4), lanes=4)
+    trace = simulation.rollouts(params.population(numbers(spark, sf_dir, "supplier", "s_suppkey"), 4), simulation.World(32, 32, 20, 4), lanes=4)
     first = F.first("mass").over(Window.partitionBy("seed").orderBy("step"))
     return trace.select("seed", "step", (F.abs(F.col("mass") - first) <= 2.5e-4 * first).alias("conserved"), (F.col("com_y").between(0, 31) & F.col("com_x").between(0, 31)).alias("tracked"))
 
